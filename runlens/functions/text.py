@@ -184,7 +184,8 @@ def md_to_html(text: Column) -> Column:
     return text
 
 
-SECRET_PAIR = rf"(?i)(\b[\w-]*(?:{SENSITIVE})[\w-]*\"?\s*[=:]\s*\"?)([^\s\",;]+)"
+NAME = "[A-Za-z0-9_-]*"
+SECRET_PAIR = rf"(?i)({NAME}(?:{SENSITIVE}){NAME}\"?\s*[=:]\s*\"?)([^\s\",;]+)"
 
 
 def redact_text(text: Column) -> Column:
@@ -197,6 +198,6 @@ def secret_kinds(text: Column) -> dict[str, Column]:
     kinds = {"token": "token", "secret": "secret", "password": "password", "api_key": "api[_-]?key",
              "authorization": "authorization", "dsn": "dsn"}
     return {
-        name: F.regexp_count(text, F.lit(rf"(?i)\b[\w-]*(?:{kind})[\w-]*\"?\s*[=:]\s*\"?[^\s\",;]+"))
+        name: F.regexp_count(text, F.lit(rf"(?i){kind}{NAME}\"?\s*[=:]\s*\"?[^\s\",;]+"))
         for name, kind in kinds.items()
     }

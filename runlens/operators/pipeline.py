@@ -1,0 +1,392 @@
+"""Steps, artifacts and decisions of runs: progress, size caps, numbering, replay of writes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from runlens.functions import text as rules
+from runlens.operators.fold import fold_rows
+from runlens.operators.ordered import OrderedRows, last_seen, running_max, running_sum
+from runlens.registry import (
+    FINISH_MARKER,
+    MAX_ARTIFACT_BYTES,
+    MAX_SESSION_BYTES,
+    PIPELINES,
+    TOOLS,
+    steps_table,
+)
+
+
+def required_steps(sessions: DataFrame) -> DataFrame:
+    """(session_id, step_id, pos, title): every step the run's version asks for."""
+    steps = F.broadcast(steps_table(sessions.sparkSession))  # one row per step of the registry
+    runs = sessions.select(F.col("id").alias("session_id"), "version", "current_step")
+    return runs.join(steps, "version").select("session_id", "version", "current_step", "pos", "step_id", "title")
+
+
+def saved_steps(artifacts: DataFrame) -> DataFrame:
+    return artifacts.select("session_id", "step_id").distinct()
+
+
+def progress(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Every step of each run with its done flag and whether the run stands on it."""
+    saved = saved_steps(artifacts).withColumn("saved", F.lit(True))
+    return (
+        required_steps(sessions)
+        .join(saved, ["session_id", "step_id"], "left")
+        .select(
+            "session_id",
+            "pos",
+            "step_id",
+            "title",
+            F.coalesce("saved", F.lit(False)).alias("done"),
+            (F.col("step_id") == F.col("current_step")).alias("current"),
+        )
+    )
+
+
+def can_finish(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Whether all required steps are saved; decisions are not required."""
+    return progress(sessions, artifacts).groupBy("session_id").agg(
+        F.every("done").alias("complete"), F.count_if(F.col("done")).alias("saved")
+    )
+
+
+def missing_steps(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Required pairs minus saved pairs."""
+    return required_steps(sessions).select("session_id", "step_id").subtract(saved_steps(artifacts))
+
+
+def step_lookup(rows: DataFrame) -> DataFrame:
+    """Position (-1 if unknown), first and next step for each (version, step_id) of ``rows``."""
+    spark = rows.sparkSession
+    known = []
+    for version, steps in PIPELINES.items():
+        ids = [step[0] for step in steps]
+        known += [(version, i, pos, ids[pos + 1] if pos + 1 < len(ids) else None) for pos, i in enumerate(ids)]
+    table = F.broadcast(spark.createDataFrame(known, "version string, step_id string, at int, next_step string"))
+    first = F.create_map(*[F.lit(x) for v, steps in PIPELINES.items() for x in (v, steps[0][0])])
+    return rows.join(table, ["version", "step_id"], "left").select(
+        *rows.columns,
+        F.coalesce("at", F.lit(-1)).cast("bigint").alias("pos"),
+        F.try_element_at(first, F.col("version")).alias("first_step"),
+        "next_step",
+    )
+
+
+def artifact_upsert(writes: DataFrame) -> DataFrame:
+    """The current artifact per session and step: the last write. Combines before the shuffle."""
+    return writes.groupBy("session_id", "step_id").agg(
+        F.max("write_no").alias("write_no"), F.max_by("markdown", "write_no").alias("markdown")
+    )
+
+
+def artifact_bytes(
+    writes: DataFrame, max_artifact: int = MAX_ARTIFACT_BYTES, max_session: int = MAX_SESSION_BYTES
+) -> DataFrame:
+    """UTF-8 bytes of the current artifacts per session against both caps; the texts are not shuffled."""
+    sizes = writes.select("session_id", "step_id", "write_no", F.octet_length("markdown").alias("bytes"))
+    current = sizes.groupBy("session_id", "step_id").agg(F.max_by("bytes", "write_no").cast("bigint").alias("bytes"))
+    return current.groupBy("session_id").agg(
+        F.sum("bytes").alias("total_bytes"),
+        F.max("bytes").alias("largest"),
+        F.count_if(F.col("bytes") > max_artifact).alias("oversized"),
+        (F.sum("bytes") > max_session).alias("over_cap"),
+    )
+
+
+def adr_counts(adrs: DataFrame) -> DataFrame:
+    return adrs.groupBy("session_id").agg(
+        F.count("*").alias("adrs"), (F.coalesce(F.max("n"), F.lit(0)) + 1).cast("bigint").alias("next_n")
+    )
+
+
+def adr_numbering(adrs: DataFrame) -> DataFrame:
+    """Decisions numbered 1, 2, 3 .. per session in order of arrival."""
+    rows = OrderedRows.of(adrs.select("session_id", "id", "title"), ["session_id"], ["id"])
+    return rows.scan(n=running_sum("1L")).df
+
+
+def adr_list(adrs: DataFrame) -> DataFrame:
+    return adrs.select("session_id", "n", "id", "title").orderBy("session_id", "n", "id")
+
+
+def last_finished(sessions: DataFrame) -> DataFrame:
+    """The latest finished run of each user."""
+    columns = [c for c in sessions.columns if c != "tg_user_id"]
+    newest = F.max_by(F.struct(*columns), "id").alias("run")
+    return sessions.filter("status = 'finished'").groupBy("tg_user_id").agg(newest).select("tg_user_id", "run.*")
+
+
+def known_pos(step: Column, version: Column) -> Column:
+    """Position of a step in its version, null if unknown; a literal table of 19 steps."""
+    places = {f"{v}/{s[0]}": pos for v, steps in PIPELINES.items() for pos, s in enumerate(steps)}
+    table = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+    return F.try_element_at(table, F.concat_ws("/", version, step))
+
+
+def version_size(version: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for v, steps in PIPELINES.items() for x in (v, len(steps))])
+    return F.try_element_at(table, version)
+
+
+def step_progression(
+    writes: DataFrame, max_artifact: int = MAX_ARTIFACT_BYTES, max_session: int = MAX_SESSION_BYTES
+) -> DataFrame:
+    """What becomes of each artifact write, replayed in order.
+
+    writes: session_id, write_no, version, step_id, bytes, blocked (a question is open). A write of the
+    current step advances the run, one of a past step overwrites, one further ahead is refused. The pointer is
+    the number of steps done so far, each a running maximum that needs the one before. Only sessions whose
+    largest writes together exceed the session cap need the exact replay of sizes; they are folded.
+    """
+    placed = writes.select(
+        "session_id",
+        "write_no",
+        "bytes",
+        known_pos(F.col("step_id"), F.col("version")).alias("pos"),
+        F.coalesce(version_size(F.col("version")), F.lit(0)).alias("steps"),
+        "blocked",
+    )
+    refusal = (
+        F.when(F.col("blocked"), "question_open")
+        .when(F.col("pos").isNull(), "unknown_step")
+        .when(F.col("bytes") > max_artifact, "too_large")
+    )
+    placed = placed.withColumn("refusal", refusal)
+    heavy = (
+        placed.filter("refusal is null")
+        .groupBy("session_id", "pos")
+        .agg(F.max("bytes").alias("bytes"))
+        .groupBy("session_id")
+        .agg(F.sum("bytes").alias("most"))
+        .filter(F.col("most") > max_session)
+        .select("session_id")
+    )
+    light = _light_progression(placed.join(heavy, "session_id", "left_anti"))
+    exact = fold_rows(
+        placed.join(heavy, "session_id", "left_semi"),
+        ["session_id"],
+        ["write_no"],
+        _nothing_saved,
+        _capped_write(max_session),
+        "outcome string, pointer bigint",
+    )
+    return light.unionByName(exact)
+
+
+def _light_progression(placed: DataFrame) -> DataFrame:
+    rows = OrderedRows.of(placed, ["session_id"], ["write_no"])
+    longest = max(len(steps) for steps in PIPELINES.values())
+    for pos in range(longest):
+        ready = f"refusal is null and pos = {pos}" + (f" and done{pos - 1} = 1" if pos else "")
+        rows = rows.scan(**{f"done{pos}": running_max(f"if({ready}, 1, 0)", before=True)}).map(
+            lambda df, c=f"done{pos}": df.withColumn(c, F.coalesce(c, F.lit(0)))
+        )
+    at = " + ".join(f"done{pos}" for pos in range(longest))
+    outcome = F.expr(
+        "case when refusal is not null then refusal when at < steps and pos > at then 'skip_ahead' "
+        "when pos = at then 'advanced' else 'overwritten' end"
+    )
+    return rows.map(
+        lambda df: df.withColumn("at", F.expr(at)).select(
+            "session_id",
+            "write_no",
+            outcome.alias("outcome"),
+            F.expr(f"cast(at + if(refusal is null and pos = at, 1, 0) as bigint)").alias("pointer"),
+        )
+    ).df
+
+
+def _nothing_saved() -> dict:
+    return {"at": 0, "sizes": {}}
+
+
+def _capped_write(max_session: int):
+    def step(state: dict, row) -> tuple:
+        refusal = row.refusal if isinstance(row.refusal, str) else None
+        if refusal is None:
+            refusal, outcome = save(state, int(row.pos), int(row.bytes), int(row.steps), max_session)
+        else:
+            outcome = None
+        return refusal or outcome, state["at"]
+
+    return step
+
+
+def save(state: dict, pos: int, size: int, steps: int, max_session: int) -> tuple[str | None, str | None]:
+    """One admissible write on {'at': pointer, 'sizes': bytes by position}: (refusal, outcome)."""
+    at, sizes = state["at"], state["sizes"]
+    if at < steps and pos > at:
+        return "skip_ahead", None
+    if sum(b for p, b in sizes.items() if p != str(pos)) + size > max_session:
+        return "session_full", None
+    sizes[str(pos)] = size
+    if pos == at:
+        state["at"] = at + 1
+        return None, "advanced"
+    return None, "overwritten"
+
+
+def version_change(calls: DataFrame, initial: str = "lite", max_artifact: int = MAX_ARTIFACT_BYTES) -> DataFrame:
+    """Whether each change of version is allowed: only while the run has no artifact.
+
+    calls: session_id, seq, name, version, step_id, bytes. Until then the version is the latest allowed one, so
+    the first artifact is the first write of that version's first step.
+    """
+    first = F.create_map(*[F.lit(x) for v, steps in PIPELINES.items() for x in (v, steps[0][0])])
+    known = F.col("version").isin(*PIPELINES)
+    rows = OrderedRows.of(calls, ["session_id"], ["seq"])
+    rows = rows.map(lambda df: df.withColumn("picked", F.when((F.col("name") == "set_version") & known, F.col("version"))))
+    rows = rows.scan(now=last_seen("picked", before=True))
+    opens = (
+        (F.col("name") == "save_artifact")
+        & (F.col("step_id") == F.element_at(first, F.coalesce("now", F.lit(initial))))
+        & (F.col("bytes") <= max_artifact)
+    )
+    rows = rows.map(lambda df: df.withColumn("opens", F.coalesce(opens, F.lit(False)).cast("bigint")))
+    rows = rows.scan(saved=running_sum("opens", before=True))
+    return rows.df.filter("name = 'set_version'").select(
+        "session_id",
+        "seq",
+        "version",
+        F.expr(
+            "case when picked is null then 'unknown_version' when saved > 0 then 'has_artifacts' else 'changed' end"
+        ).alias("outcome"),
+    )
+
+
+def tool_args_audit(calls: DataFrame, tools: dict = TOOLS) -> DataFrame:
+    """The first thing wrong with each tool call, or 'ok': name, required arguments, types, allowed values."""
+    parsed = calls.withColumn("_args", F.try_parse_json("args"))
+    verdict = F.when(~F.col("name").isin(*tools), "unknown_tool").when(F.col("_args").isNull(), "not_json")
+    for tool, arguments in tools.items():
+        for arg, required, allowed in arguments:
+            here = F.col("name") == tool
+            kind = F.schema_of_variant(F.try_variant_get("_args", f"$.{arg}", "variant"))
+            value = F.try_variant_get("_args", f"$.{arg}", "string")
+            missing = kind.isNull() | (kind == "VOID")
+            if required:
+                verdict = verdict.when(here & missing, f"missing_{arg}")
+            verdict = verdict.when(here & ~missing & (kind != "STRING"), f"type_{arg}")
+            if allowed:
+                verdict = verdict.when(here & ~missing & ~value.isin(*allowed), f"value_{arg}")
+    return parsed.withColumn("verdict", verdict.otherwise("ok")).drop("_args")
+
+
+def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> DataFrame:
+    """The end state of each session after its tool calls ran, with all guards.
+
+    calls: session_id, turn_id, seq, name, args (JSON), reply (the human's text the turn answers). All text
+    rules are column expressions; the fold carries only the small state of a run.
+    """
+    text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")
+    checked = tool_args_audit(calls).withColumn("_args", F.try_parse_json("args"))
+    question, preamble = text("question"), text("preamble")
+    shown = rules.rendered(preamble, question)
+    asks_well = (
+        (rules.preamble_verdict(preamble) == "ok")
+        & (rules.rendered_verdict(shown) == "ok")
+        & (rules.question_verdict(question) == "ok")
+    )
+    # an unknown step or version is refused by the run, not by the argument check
+    sound = F.col("verdict") == "ok"
+    fine = (
+        F.when(F.col("name") == "ask_question", sound & asks_well)
+        .when(F.col("name") == "set_product_name", sound & (rules.product_name_verdict(text("name")) == "ok"))
+        .when(
+            F.col("name") == "create_adr",
+            sound & (text("title") != "") & (text("markdown") != "")
+            & (F.octet_length(text("markdown")) <= MAX_ARTIFACT_BYTES),
+        )
+        .otherwise(sound)
+    )
+    rows = checked.select(
+        "session_id",
+        "seq",
+        "turn_id",
+        "name",
+        "reply",
+        fine.alias("fine"),
+        text("step_id").alias("step_id"),
+        text("version").alias("version"),
+        text("verdict").alias("said"),
+        rules.slug(text("name")).alias("slug"),
+        F.octet_length(text("markdown")).cast("bigint").alias("bytes"),
+        F.try_variant_get("_args", "$.options", "array<string>").alias("options"),
+        rules.is_dont_know(F.col("reply")).alias("unknown"),
+    )
+    offered = F.when((F.col("name") == "ask_question") & F.col("fine"), F.struct("options"))
+    ordered = OrderedRows.of(rows, ["session_id"], ["seq"]).scan(offer=last_seen(offered, before=True))
+    picked = rules.match_choice(F.col("reply"), F.col("offer.options")).isNotNull()
+    lean = ordered.df.withColumn("picked", picked).drop("reply", "options", "offer")
+    trace = fold_rows(
+        lean,
+        ["session_id"],
+        ["seq"],
+        lambda: {
+            "version": initial, "at": 0, "sizes": {}, "open": False, "spent": 0, "verdict": None, "adrs": 0,
+            "slug": None, "status": "active", "turn": None, "judged": True, "stopped": False,
+        },
+        _replay_step(budget),
+        "version string, at bigint, status string, slug string, verdict string, open boolean, spent bigint, "
+        "artifacts bigint, adrs bigint",
+    )
+    names = ["version", "at", "status", "slug", "verdict", "open", "spent", "artifacts", "adrs"]
+    last = F.max_by(F.struct(*names), "seq").alias("last")
+    steps = F.create_map(
+        *[
+            F.lit(x)
+            for v, pipeline in PIPELINES.items()
+            for x in (v, [s[0] for s in pipeline] + [FINISH_MARKER])
+        ]
+    )
+    return (
+        trace.groupBy("session_id")
+        .agg(last)
+        .select("session_id", "last.*")
+        .withColumn("current_step", F.element_at(steps, F.col("version"))[F.col("at")])
+        .drop("at")
+    )
+
+
+def _replay_step(budget: int):
+    order = {version: [step[0] for step in steps] for version, steps in PIPELINES.items()}
+
+    def run(state: dict, row) -> None:
+        if row.turn_id != state["turn"]:
+            state.update(turn=int(row.turn_id), judged=not state["open"], stopped=False)
+        if state["stopped"] or (not state["judged"] and row.name != "assess_answer") or not row.fine:
+            return
+        steps = order[state["version"]]
+        if row.name == "save_artifact" and not state["open"] and row.step_id in steps:
+            if row.bytes <= MAX_ARTIFACT_BYTES:
+                save(state, steps.index(row.step_id), int(row.bytes), len(steps), MAX_SESSION_BYTES)
+        elif row.name == "set_version" and row.version in order and not state["sizes"]:
+            state.update(version=row.version, at=0)
+        elif row.name == "set_product_name":
+            state["slug"] = row.slug
+        elif row.name == "create_adr":
+            state["adrs"] += 1
+        elif row.name == "ask_question":
+            state.update(open=True, stopped=True)
+        elif row.name == "finish" and state["at"] >= len(steps):
+            state["status"] = "finished"
+        elif row.name == "assess_answer":
+            state.update(judged=True, verdict=row.said)
+            closes = row.unknown or (state["open"] and row.picked) or row.said == "answer"
+            if closes or state["spent"] >= budget:
+                state.update(open=False, spent=0)
+            else:
+                state["spent"] += 1
+
+    def step(state: dict, row) -> tuple:
+        run(state, row)
+        s = state
+        return (
+            s["version"], s["at"], s["status"], s["slug"], s["verdict"], s["open"], s["spent"],
+            len(s["sizes"]), s["adrs"],
+        )
+
+    return step

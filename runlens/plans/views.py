@@ -142,7 +142,7 @@ VIEWS: dict[str, View] = {
         (
             "user_id as session_id",
             "event_id as seq",
-            "event_id div 5 as turn_id",
+            "event_id div 400 as turn_id",
             "case event_id % 9 when 0 then 'save_artifact' when 1 then 'assess_answer' when 2 then 'ask_question' "
             "when 3 then 'save_artifact' when 4 then 'set_version' when 5 then 'create_adr' "
             "when 6 then 'set_product_name' when 7 then 'finish' else 'drop_table' end as name",
