@@ -24,11 +24,9 @@ def access_gate(users: DataFrame, owners: DataFrame, beta: DataFrame) -> DataFra
     """Owners always pass; an empty beta list admits everybody, any other list its members."""
     listed = beta.select("user_id").unionByName(owners.select("user_id")).distinct()
     listed = listed.withColumn("listed", F.lit(True))
-    is_open = beta.limit(1).agg((F.count("*") == 0).alias("is_open"))  # a single row
-    return (
-        users.join(listed, "user_id", "left")
-        .join(F.broadcast(is_open), F.lit(True))
-        .select("user_id", F.coalesce("listed", "is_open").alias("admitted"))
+    everybody = F.lit(beta.isEmpty())
+    return users.join(listed, "user_id", "left").select(
+        "user_id", F.coalesce("listed", everybody).alias("admitted")
     )
 
 

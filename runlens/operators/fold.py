@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from runlens.operators.ordered import SEGMENT, OrderedRows
 from runlens.session import settle
 
-STATE = "_state"
+STATE = "fold_state"
 Step = Callable[[dict, Any], tuple]
 """(state, row) -> the row's results; changes the state, which must stay small and JSON-shaped."""
 

@@ -194,7 +194,7 @@ def _light_progression(placed: DataFrame) -> DataFrame:
             "session_id",
             "write_no",
             outcome.alias("outcome"),
-            F.expr(f"cast(at + if(refusal is null and pos = at, 1, 0) as bigint)").alias("pointer"),
+            F.expr("cast(at + if(refusal is null and pos = at, 1, 0) as bigint)").alias("pointer"),
         )
     ).df
 
@@ -283,7 +283,8 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
     """
     text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")
     checked = tool_args_audit(calls).withColumn("_args", F.try_parse_json("args"))
-    question, preamble = text("question"), text("preamble")
+    question = text("question")
+    preamble = F.when(F.col("verdict") != "type_preamble", text("preamble"))
     shown = rules.rendered(preamble, question)
     asks_well = (
         (rules.preamble_verdict(preamble) == "ok")
@@ -291,7 +292,8 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         & (rules.question_verdict(question) == "ok")
     )
     # an unknown step or version is refused by the run, not by the argument check
-    sound = F.col("verdict") == "ok"
+    # and a lead-in that is not a string counts as none
+    sound = F.col("verdict").isin("ok", "type_preamble")
     fine = (
         F.when(F.col("name") == "ask_question", sound & asks_well)
         .when(F.col("name") == "set_product_name", sound & (rules.product_name_verdict(text("name")) == "ok"))

@@ -1,0 +1,383 @@
+"""Queries on steps, artifacts, decisions, documents and tool calls."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runlens.functions import text as rules
+from runlens.operators import documents as docs
+from runlens.operators import pipeline as ops
+from runlens.plans import rules_sql as sql
+from runlens.plans.query import Catalog, Source
+from runlens.plans.views import View, VIEWS, duck
+from runlens.registry import PIPELINES
+
+catalog = Catalog()
+
+VIEWS["v_prompts"] = View(
+    "documents",
+    (
+        "doc_id",
+        "concat(text, case doc_id % 5 when 0 then ' Задай 5-7 уточняющих вопросов.' "
+        "when 1 then ' предложи им 3 – 4 метафоры' when 2 then ' Задавай вопросы по одному. 5-7 вопросов' else '' end) as prompt",
+    ),
+)
+VIEWS["v_pairs"] = View(
+    "events",
+    (
+        "event_id",
+        "case event_id % 4 when 0 then 'full' when 1 then 'lite' when 2 then 'spec_only' else 'pro' end as version",
+        "concat(case when event_id % 4 = 1 then 'L' else 'F' end, 1 + user_id % 12) as step_id",
+    ),
+)
+
+
+def _values(rows) -> str:
+    quoted = lambda x: "null" if x is None else str(x) if isinstance(x, int) else "'" + x + "'"
+    return "(values " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+
+STEPS = ", steps as (select * from " + _values(
+    [(v, p, s[0], s[2]) for v, steps in PIPELINES.items() for p, s in enumerate(steps)]
+) + " as t(version, pos, step_id, title))"
+NEEDS = STEPS + """
+, needs as (select s.id as session_id, s.version, s.current_step, t.pos, t.step_id, t.title
+  from v_sessions s join steps t on s.version = t.version)
+, saved as (select distinct session_id, step_id from v_artifact_writes)
+, prog as (select n.session_id, n.pos, n.step_id, n.title, v.step_id is not null as done, n.step_id = n.current_step as current
+  from needs n left join saved v on v.session_id = n.session_id and v.step_id = n.step_id)"""
+CURRENT = """
+, current as (select * from (
+    select *, row_number() over (partition by session_id, step_id order by write_no desc) as k from v_artifact_writes)
+  where k = 1)"""
+
+
+def artifacts(s: Source):
+    return ops.artifact_upsert(s.artifact_writes)
+
+
+@catalog.add("progress", duck("v_sessions v_artifact_writes", NEEDS + """
+select session_id, cast(pos as int) as pos, step_id, title, done, current from prog"""))
+def _(s: Source):
+    return ops.progress(s.sessions, s.artifact_writes)
+
+
+@catalog.add("can_finish", duck("v_sessions v_artifact_writes", NEEDS + """
+select session_id, bool_and(done) as complete, count(*) filter (where done) as saved from prog group by session_id"""))
+def _(s: Source):
+    return ops.can_finish(s.sessions, s.artifact_writes)
+
+
+@catalog.add("missing_steps", duck("v_sessions v_artifact_writes", NEEDS + """
+select session_id, step_id from needs except select session_id, step_id from saved"""))
+def _(s: Source):
+    return ops.missing_steps(s.sessions, s.artifact_writes)
+
+
+@catalog.add("step_lookup", duck("v_pairs", STEPS + """
+select p.event_id, p.version, p.step_id, cast(coalesce(t.pos, -1) as bigint) as pos,
+  (select step_id from steps f where f.version = p.version and f.pos = 0) as first_step,
+  (select step_id from steps n where n.version = p.version and n.pos = t.pos + 1) as next_step
+from v_pairs p left join steps t on t.version = p.version and t.step_id = p.step_id"""))
+def _(s: Source):
+    return ops.step_lookup(s.pairs)
+
+
+@catalog.add("artifact_upsert", duck("v_artifact_writes", CURRENT + """
+select session_id, step_id, write_no, markdown from current"""))
+def _(s: Source):
+    return artifacts(s)
+
+
+@catalog.add("artifact_bytes", duck("v_artifact_writes", CURRENT + """
+select session_id, cast(sum(strlen(markdown)) as bigint) as total_bytes, max(strlen(markdown)) as largest,
+  count(*) filter (where strlen(markdown) > 20000) as oversized, sum(strlen(markdown)) > 12000 as over_cap
+from current group by session_id"""))
+def _(s: Source):
+    return ops.artifact_bytes(s.artifact_writes, max_session=12_000)
+
+
+@catalog.add("adr_counts", duck("v_adrs", """
+select session_id, count(*) as adrs, max(n) + 1 as next_n from v_adrs group by session_id"""))
+def _(s: Source):
+    return ops.adr_counts(s.adrs)
+
+
+@catalog.add("adr_numbering", duck("v_adrs", """
+select session_id, id, title, row_number() over (partition by session_id order by id) as n from v_adrs"""))
+def _(s: Source):
+    return ops.adr_numbering(s.adrs)
+
+
+@catalog.add("adr_list", duck("v_adrs", "select session_id, n, id, title from v_adrs order by 1, 2, 3"))
+def _(s: Source):
+    return ops.adr_list(s.adrs)
+
+
+@catalog.add("last_finished", duck("v_sessions", """
+select tg_user_id, id, slug, version, consumed from (
+  select *, row_number() over (partition by tg_user_id order by id desc) as k from v_sessions where status = 'finished')
+where k = 1"""))
+def _(s: Source):
+    return ops.last_finished(s.sessions).select("tg_user_id", "id", "slug", "version", "consumed")
+
+
+def write_fold(max_artifact: int, max_session: int) -> str:
+    return duck("v_artifact_writes", STEPS + f"""
+, sized as (
+  select w.session_id, w.write_no, strlen(w.markdown) as bytes, t.pos, n.steps, w.write_no % 31 = 0 as blocked,
+    row_number() over (partition by w.session_id order by w.write_no) as rn
+  from v_artifact_writes w left join steps t on t.version = w.version and t.step_id = w.step_id
+  join (select version, count(*) as steps from steps group by version) n on n.version = w.version
+), r as (
+  select distinct session_id, cast(null as bigint) as write_no, cast(0 as bigint) as rn, cast(0 as bigint) as pointer,
+    [0::bigint, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0] as sizes, cast(null as varchar) as outcome from sized
+  union all
+  select session_id, write_no, rn, pointer + case when outcome = 'advanced' then 1 else 0 end,
+    case when outcome in ('advanced', 'overwritten')
+      then list_concat(list_concat(sizes[1:pos], [bytes]), sizes[pos + 2:]) else sizes end, outcome
+  from (
+    select e.session_id, e.write_no, e.rn, r.pointer, r.sizes, e.pos, e.bytes,
+      case when e.blocked then 'question_open' when e.pos is null then 'unknown_step'
+        when e.bytes > {max_artifact} then 'too_large'
+        when r.pointer < e.steps and e.pos > r.pointer then 'skip_ahead'
+        when list_sum(r.sizes) - r.sizes[e.pos + 1] + e.bytes > {max_session} then 'session_full'
+        when e.pos = r.pointer then 'advanced' else 'overwritten' end as outcome
+    from r join sized e on e.session_id = r.session_id and e.rn = r.rn + 1)
+)
+select session_id, write_no, outcome, pointer from r where rn > 0""", recursive=True)
+
+
+def writes(s: Source):
+    return s.artifact_writes.select(
+        "session_id", "write_no", "version", "step_id",
+        F.octet_length("markdown").cast("bigint").alias("bytes"), (F.col("write_no") % 31 == 0).alias("blocked"),
+    )
+
+
+@catalog.add("step_progression", write_fold(20_000, 200_000))
+def _(s: Source):
+    return ops.step_progression(writes(s))
+
+
+@catalog.add("step_progression_small_caps", write_fold(6_000, 9_000))
+def _(s: Source):
+    return ops.step_progression(writes(s), 6_000, 9_000)
+
+
+@catalog.add("version_change", duck("v_tool_calls", """
+, ev as (
+  select session_id, seq, name, json_extract_string(args, '$.version') as version,
+    json_extract_string(args, '$.step_id') as step_id, row_number() over (partition by session_id order by seq) as rn
+  from v_tool_calls where name in ('set_version', 'save_artifact')
+), r as (
+  select distinct session_id, cast(null as bigint) as seq, cast(0 as bigint) as rn, 'lite' as now, false as has,
+    cast(null as varchar) as version, cast(null as varchar) as outcome from ev
+  union all
+  select e.session_id, e.seq, e.rn,
+    case when e.name = 'set_version' and not r.has and e.version in ('lite', 'full', 'spec_only') then e.version else r.now end,
+    r.has or (e.name = 'save_artifact' and e.step_id = case r.now when 'lite' then 'L1' when 'full' then 'F1' else 'F8' end),
+    e.version,
+    case when e.name = 'set_version' then case when e.version not in ('lite', 'full', 'spec_only') then 'unknown_version'
+      when r.has then 'has_artifacts' else 'changed' end end
+  from r join ev e on e.session_id = r.session_id and e.rn = r.rn + 1
+)
+select session_id, seq, version, outcome from r where outcome is not null""", recursive=True))
+def _(s: Source):
+    arg = lambda name: F.get_json_object("args", f"$.{name}").alias(name)
+    calls = s.tool_calls.filter("name in ('set_version', 'save_artifact')").select(
+        "session_id", "seq", "name", arg("version"), arg("step_id"),
+        F.octet_length(F.get_json_object("args", "$.markdown")).alias("bytes"),
+    )
+    return ops.version_change(calls)
+
+
+AUDIT = """
+, typed as (
+  select session_id, seq, turn_id, name, args, reply,
+    json_type(args, '$.step_id') as k_step, json_type(args, '$.markdown') as k_md, json_type(args, '$.version') as k_ver,
+    json_type(args, '$.name') as k_name, json_type(args, '$.question') as k_q, json_type(args, '$.verdict') as k_say,
+    json_type(args, '$.title') as k_title, json_extract_string(args, '$.step_id') as step_id,
+    json_extract_string(args, '$.markdown') as md, json_extract_string(args, '$.version') as ver,
+    json_extract_string(args, '$.name') as pname, json_extract_string(args, '$.question') as q,
+    json_extract_string(args, '$.verdict') as say, json_extract_string(args, '$.title') as title
+  from v_tool_calls
+), audit as (
+  select *, case name
+    when 'save_artifact' then case when coalesce(k_step, 'NULL') = 'NULL' then 'missing_step_id'
+      when k_step <> 'VARCHAR' then 'type_step_id' when coalesce(k_md, 'NULL') = 'NULL' then 'missing_markdown'
+      when k_md <> 'VARCHAR' then 'type_markdown' else 'ok' end
+    when 'set_version' then case when ver not in ('lite', 'full', 'spec_only') then 'value_version' else 'ok' end
+    when 'set_product_name' then case when coalesce(k_name, 'NULL') = 'NULL' then 'missing_name' else 'ok' end
+    when 'ask_question' then case when k_q = 'VARCHAR' then 'ok' else 'missing_question' end
+    when 'assess_answer' then case when say not in ('answer', 'partial', 'offtopic') then 'value_verdict' else 'ok' end
+    when 'create_adr' then case when k_title is null then 'missing_title' when k_md is null then 'missing_markdown' else 'ok' end
+    when 'finish' then 'ok' else 'unknown_tool' end as verdict from typed
+)"""
+
+
+@catalog.add("tool_args_audit", duck("v_tool_calls", AUDIT + "select session_id, seq, name, verdict from audit"))
+def _(s: Source):
+    return ops.tool_args_audit(s.tool_calls).select("session_id", "seq", "name", "verdict")
+
+
+IDS = "case version when 'lite' then {lite} when 'full' then {full} else {spec_only} end".format(
+    **{v: str([x[0] for x in steps]) for v, steps in PIPELINES.items()}
+)
+QT = sql.strip(sql.marks("q"))
+
+
+@catalog.add("tool_replay", duck("v_tool_calls", AUDIT + f"""
+, ready as (
+  select *, verdict = 'ok' and case name
+      when 'ask_question' then {sql.question(QT, 'q')} = 'ok' and {sql.rendered(QT)} = 'ok'
+      when 'set_product_name' then {sql.strip('pname')} <> '' and length({sql.strip('pname')}) <= 120
+        and length({sql.slug('pname')}) >= 3 and {sql.slug('pname')} <> 'product'
+      when 'create_adr' then title <> '' and md <> '' else true end as fine,
+    {sql.slug("coalesce(pname, '')")} as made, {sql.dont_know(sql.plain_reply('reply'))} as unknown,
+    row_number() over (partition by session_id order by seq) as rn
+  from audit
+), r as (
+  select distinct session_id, cast(0 as bigint) as rn, 'lite' as version, cast(0 as bigint) as pointer,
+    cast([] as bigint[]) as kept, false as open, cast(0 as bigint) as spent, cast(null as varchar) as verdict,
+    cast(0 as bigint) as adrs, cast(null as varchar) as slug, 'active' as status, cast(-1 as bigint) as turn_id,
+    true as judged, false as stopped from ready
+  union all
+  select session_id, rn,
+    case when act = 'set_version' and len(kept) = 0 then ver else version end,
+    case when act = 'set_version' and len(kept) = 0 then 0 when saves and spot = pointer + 1 then pointer + 1 else pointer end,
+    case when saves then list_distinct(list_append(kept, spot)) else kept end,
+    case when act = 'ask_question' then true when closes then false else open end,
+    case when closes then 0 when act = 'assess_answer' then spent + 1 else spent end,
+    case when act = 'assess_answer' then say else verdict end,
+    case when act = 'create_adr' then adrs + 1 else adrs end,
+    case when act = 'set_product_name' then made else slug end,
+    case when act = 'finish' and pointer >= len(ids) then 'finished' else status end,
+    turn_id, judged or act = 'assess_answer', stopped or act = 'ask_question'
+  from (
+    select *, act = 'save_artifact' and not open and spot > 0 and (pointer >= len(ids) or spot <= pointer + 1) as saves,
+      act = 'assess_answer' and (unknown or say = 'answer' or spent >= 2) as closes
+    from (
+      select *, {IDS} as ids, coalesce(list_position({IDS}, step_id), 0) as spot,
+        case when fine and not stopped and (judged or name = 'assess_answer') then name else 'none' end as act
+      from (
+        select e.session_id, e.rn, e.turn_id, e.name, e.fine, e.ver, e.step_id, e.say, e.made, e.unknown,
+          r.version, r.pointer, r.kept, r.open, r.spent, r.verdict, r.adrs, r.slug, r.status,
+          case when e.turn_id <> r.turn_id then not r.open else r.judged end as judged,
+          case when e.turn_id <> r.turn_id then false else r.stopped end as stopped
+        from r join ready e on e.session_id = r.session_id and e.rn = r.rn + 1)))
+)
+select session_id, version, status, slug, verdict, open, spent, len(kept) as artifacts, adrs,
+  coalesce(({IDS})[pointer + 1], '_finish') as current_step
+from (select *, row_number() over (partition by session_id order by rn desc) as k from r) where k = 1""", recursive=True))
+def _(s: Source):
+    return ops.tool_replay(s.tool_calls)
+
+
+def spec_sql(runs: str) -> str:
+    return STEPS + CURRENT + f"""
+, runs as ({runs})
+, blocks as (
+  select id as session_id, -1 as place, 0 as id, concat('# ', slug, ' — Product Spec\n\n_Сгенерировано автоматически (версия: ', version, ')._') as block from runs
+  union all
+  select c.session_id, t.pos, 0, concat('## ', t.step_id, '. ', t.title, '\n\n', {sql.strip('c.markdown')})
+  from current c join runs r on r.id = c.session_id join steps t on t.version = r.version and t.step_id = c.step_id
+  where c.markdown <> ''
+  union all select distinct session_id, 100, 0, '## Решения (ADR)' from v_adrs where session_id in (select id from runs)
+  union all select session_id, 1000 + n, id, concat('### ADR-', n, ': ', title, '\n\n', {sql.strip('markdown')})
+  from v_adrs where session_id in (select id from runs)
+), spec as (
+  select session_id, cast(0 as bigint) as part,
+    concat(regexp_replace(string_agg(block, '\n\n' order by place, id), '{sql.SPACE}+$', ''), '\n') as spec
+  from blocks group by session_id
+)"""
+
+
+@catalog.add("assemble_spec", duck("v_sessions v_artifact_writes v_adrs", spec_sql(
+    "select id, slug, version from v_sessions") + "select session_id, part, spec from spec"))
+def _(s: Source):
+    return docs.assemble_spec(s.sessions, artifacts(s), s.adrs)
+
+
+REDELIVERY = duck("v_sessions v_artifact_writes v_adrs", spec_sql("""
+select tg_user_id, id, slug, version from (
+  select *, row_number() over (partition by tg_user_id order by id desc) as k from v_sessions where status = 'finished')
+where k = 1""") + """
+select tg_user_id, session_id, part, concat(slug, '-spec.md') as file_name, spec
+from spec join runs on runs.id = spec.session_id""")
+
+
+@catalog.add("spec_redelivery", REDELIVERY)
+def _(s: Source):
+    return docs.spec_redelivery(s.sessions, artifacts(s), s.adrs)
+
+
+@catalog.add("write_specs", REDELIVERY)
+def _(s: Source):
+    from runlens.session import fresh_path
+    from runlens.sources.workspace import read_specs, write_specs
+
+    path = fresh_path(s.spark, "specs")
+    write_specs(docs.spec_redelivery(s.sessions, artifacts(s), s.adrs), path)
+    return read_specs(s.spark, path)
+
+
+@catalog.add("slugs", duck("v_names", f"select doc_id, {sql.slug('name')} as slug from v_names"))
+def _(s: Source):
+    return s.names.select("doc_id", rules.slug(F.col("name")).alias("slug"))
+
+
+@catalog.add("slug_collisions", duck("v_names", f"""
+select {sql.slug('name')} as slug, count(*) as times from v_names group by 1 having count(*) > 1"""))
+def _(s: Source):
+    return docs.slug_collisions(s.names)
+
+
+@catalog.add("product_names", duck("v_names", f"""
+, g as (select *, {sql.slug('name')} as s, {sql.strip('name')} as raw from v_names)
+, v as (select *, raw <> '' and length(raw) <= 120 and length(s) >= 3 and s <> 'product' as good from g)
+select user_id, coalesce(arg_max(s, doc_id) filter (where good), concat('product-', user_id)) as slug,
+  count(*) filter (where not good) as refused from v group by user_id"""))
+def _(s: Source):
+    return docs.product_names(s.names)
+
+
+@catalog.add("redact_events", duck("v_error_events", """
+select doc_id, concat('{"message": "boom «REDACTED» and «REDACTED»x", "extra": {"bot_token": "«REDACTED»", ',
+  '"user": {"Password": "«REDACTED»"}, "text": "«REDACTED»", "n": ', doc_id, '}}') as event from v_error_events"""))
+def _(s: Source):
+    return docs.redact_events(s.error_events)
+
+
+NAME = "[A-Za-z0-9_-]*"
+SECRET = rf"(?i)({NAME}(?:token|secret|password|api[_-]?key|authorization|dsn){NAME}\"?\s*[=:]\s*\"?)([^\s\",;]+)"
+KINDS = {"token": "token", "secret": "secret", "password": "password", "api_key": "api[_-]?key",
+         "authorization": "authorization", "dsn": "dsn"}
+
+
+@catalog.add("redact_text", "select doc_id, regexp_replace(text, '"
+             + SECRET + r"', '\1«REDACTED»', 'g') as text, " + ", ".join(
+    rf"len(regexp_extract_all(text, '(?i){k}{NAME}\"?\s*[=:]\s*\"?[^\s\",;]+')) as {n}" for n, k in KINDS.items())
+    + " from documents")
+def _(s: Source):
+    text = F.col("text")
+    kinds = [c.cast("bigint").alias(n) for n, c in rules.secret_kinds(text).items()]
+    return s.table("documents").select("doc_id", rules.redact_text(text).alias("text"), *kinds)
+
+
+@catalog.add("md_to_html")
+def _(s: Source):
+    return s.table("documents").select("doc_id", rules.md_to_html(F.col("text")).alias("html"))
+
+
+@catalog.add("chunk_documents")
+def _(s: Source):
+    marked = s.table("documents").select("doc_id", rules.md_to_html(F.col("text")).alias("text"))
+    return docs.chunk_documents(marked)
+
+
+@catalog.add("registry_lint", duck("v_prompts", """
+select doc_id, regexp_matches(prompt, '(?i)(зада(й|вай)|спроси|предложи)[^.]{0,40}?\\d+\\s*[-–—]\\s*\\d+\\s*[^.]{0,20}?(вопрос|метафор)') as asks_many
+from v_prompts"""))
+def _(s: Source):
+    return s.prompts.select("doc_id", F.col("prompt").rlike(rules.MULTI_ASK).alias("asks_many"))

@@ -24,7 +24,10 @@ class View:
     distinct: bool = False
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = load(spark, sf_dir, self.source)
+        return self.over(load(spark, sf_dir, self.source))
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """The view on a table or stream of its source."""
         if self.where:
             df = df.filter(self.where)
         df = df.selectExpr(*[c.replace("{us}", SPARK_US) for c in self.columns])
