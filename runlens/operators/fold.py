@@ -61,17 +61,17 @@ def fold_rows(
     done = fold(rows.usual.withColumn(STATE, fresh)).drop(STATE)
     if rows.hot is None:
         return done
-    # at most as many segments as partitions, so the loop is short and its list small
-    segments = sorted(r[0] for r in rows.hot.select(SEGMENT).distinct().collect())
+    # the r-th segment of every hot key is folded in round r; one row per hot key in all tables below
+    first = rows.hot.groupBy(*key).agg(F.min(SEGMENT).alias("_first"))
+    hot = rows.hot.join(F.broadcast(first), key).withColumn("_round", F.col(SEGMENT) - F.col("_first"))
+    rounds = hot.agg(F.max("_round")).first()[0] + 1
+    hot = hot.drop(SEGMENT, "_first")
     states = None
-    for segment in segments:
-        now = rows.hot.filter(F.col(SEGMENT) == segment).drop(SEGMENT)
-        # states: one row per hot key
-        now = now.withColumn(STATE, fresh) if states is None else now.join(F.broadcast(states), key, "left")
-        folded = settle(fold(now))
-        ended = folded.filter(F.col(STATE).isNotNull()).select(*key, STATE)
-        if states is not None:
-            ended = ended.unionByName(states.join(F.broadcast(ended.select(*key)), key, "left_anti"))
-        states = settle(ended)
+    for now in range(rounds):
+        part = hot.filter(F.col("_round") == now).drop("_round")
+        part = part.withColumn(STATE, fresh) if states is None else part.join(F.broadcast(states), key, "left")
+        folded = settle(fold(part))
+        # a key's segments follow each other, so the states of this round are all the next one needs
+        states = folded.filter(F.col(STATE).isNotNull()).select(*key, STATE)
         done = done.unionByName(folded.drop(STATE))
     return done

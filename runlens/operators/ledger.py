@@ -44,6 +44,24 @@ def dedup_payments(payments: DataFrame, price: int = RUN_PRICE, currency: str =
     )
 
 
+CARRY = {
+    "carry_cycle": "0L",
+    "carry_credits": "0L",
+    "carry_prior": "cast(null as struct<cycle: bigint, credits: bigint>)",
+    "carry_delivered": "0L",
+    "carry_floor": "0L",
+}
+"""What a user's earlier events leave behind, and its value before the first event."""
+
+
+def run_events(events: DataFrame, credited: DataFrame) -> DataFrame:
+    """The events that touch an entitlement; of the payments only the credited ones."""
+    kinds = ["start", "pay", "finish", "abandon"]
+    events = events.select("event_id", "us", "user_id", "kind").filter(F.col("kind").isin(kinds))
+    paid = credited.select("event_id", F.lit(1).alias("pay"))
+    return events.join(paid, "event_id", "left").filter("kind <> 'pay' or pay = 1").drop("pay")
+
+
 def ledger_rows(
     events: DataFrame, credited: DataFrame, owners: DataFrame, free_runs: int = FREE_RUNS
 ) -> OrderedRows:
@@ -52,23 +70,27 @@ def ledger_rows(
     events: event_id, us, user_id, kind. credited: event_id of the payments that count.
     owners: user_id of the users who are never billed.
     """
-    kinds = ["start", "pay", "finish", "abandon"]
-    events = events.select("event_id", "us", "user_id", "kind").filter(F.col("kind").isin(kinds))
-    paid = credited.select("event_id", F.lit(1).alias("pay"))
-    events = events.join(paid, "event_id", "left").filter("kind <> 'pay' or pay = 1")
-    rows = OrderedRows.of(events, ["user_id"], ["us", "event_id"])
+    rows = OrderedRows.of(run_events(events, credited), ["user_id"], ["us", "event_id"])
     rows = rows.attach(owners.select("user_id").distinct().withColumn("owner", F.lit(True)))
     rows = rows.map(lambda df: df.withColumn("owner", F.coalesce("owner", F.lit(False))))
+    rows = rows.map(lambda df: df.withColumns({name: F.expr(zero) for name, zero in CARRY.items()}))
+    return ledger_scans(rows, free_runs)
+
 
+def ledger_scans(rows: OrderedRows, free_runs: int = FREE_RUNS) -> OrderedRows:
+    """The running values, going on from the carry of each user. rows: us, event_id, kind, owner, CARRY."""
     # one cycle = everything up to and including a closing event
-    closing = "kind in ('finish', 'abandon')"
     rows = rows.scan(
-        cycle=running_sum(f"if({closing}, 1L, 0L)", before=True),
+        cycle=running_sum("if(kind in ('finish', 'abandon'), 1L, 0L)", before=True),
         credits=running_sum("if(kind = 'pay', 1L, 0L)"),
     )
-    rows = rows.scan(
-        prior=last_seen("if(kind = 'start', struct(cycle, credits), null)", before=True),
+    rows = rows.map(
+        lambda df: df.withColumns(
+            {"cycle": F.expr("cycle + carry_cycle"), "credits": F.expr("credits + carry_credits")}
+        )
     )
+    rows = rows.scan(prior=last_seen("if(kind = 'start', struct(cycle, credits), null)", before=True))
+    rows = rows.map(lambda df: df.withColumn("prior", F.expr("coalesce(prior, carry_prior)")))
     asked = "coalesce(prior.cycle = cycle, false)"
     rows = rows.map(
         lambda df: df.withColumns(
@@ -80,7 +102,7 @@ def ledger_rows(
     free = f"greatest(0L, delivered - {free_runs})"
     after = f"greatest(0L, delivered + 1 - {free_runs})"
     rows = rows.map(
-        lambda df: df.withColumns(
+        lambda df: df.withColumn("delivered", F.expr("delivered + carry_delivered")).withColumns(
             {
                 "spent": F.expr(free),
                 "trough": F.expr(f"if(spends and delivered >= {free_runs}, prior.credits - {after}, null)"),
@@ -88,9 +110,8 @@ def ledger_rows(
         )
     )
     rows = rows.scan(floor=running_min("trough", before=True))
-    floor = F.least(F.lit(0), F.coalesce("floor", F.lit(0)))
     return rows.map(
-        lambda df: df.withColumn("floor", floor).withColumns(
+        lambda df: df.withColumn("floor", F.least(F.lit(0), "carry_floor", F.coalesce("floor", F.lit(0)))).withColumns(
             {
                 "on_free": F.expr(f"not owner and delivered < {free_runs}"),
                 "funded": F.expr("credits - spent - floor > 0"),
@@ -100,6 +121,21 @@ def ledger_rows(
     )
 
 
+def ledger_carry(rows: DataFrame) -> DataFrame:
+    """What each user's rows leave behind for the events to come. Combines before the shuffle."""
+    started = F.when(F.col("kind") == "start", F.struct("cycle", "credits"))
+    closing = F.expr("if(kind in ('finish', 'abandon'), 1L, 0L)")
+    return rows.groupBy("user_id").agg(
+        F.max("us").alias("last_us"),
+        F.max(F.struct("us", "event_id"))["event_id"].alias("last_id"),
+        F.max(F.col("cycle") + closing).alias("carry_cycle"),
+        F.max("credits").alias("carry_credits"),
+        F.max(F.coalesce(started, "prior")).alias("carry_prior"),
+        F.max(F.expr("delivered + if(spends, 1L, 0L)")).alias("carry_delivered"),
+        F.min(F.least("floor", F.coalesce("trough", F.lit(0)))).cast("bigint").alias("carry_floor"),
+    )
+
+
 def with_outcomes(rows: OrderedRows) -> OrderedRows:
     """What each event did to the user's entitlement."""
     settled = "owner or on_free"

@@ -29,8 +29,8 @@ def _(s: Source):
 @catalog.add("stream_double_users", dialogue.oracles["double_user_rows"])
 def _(s: Source):
     rows = stream(s, "v_messages").selectExpr("session_id", "0L as us", "id as event_id", "role as kind")
-    found = live.drained(live.live_double_users(rows), "append", "double-users")
-    return found.filter("verdict = 'double'").select("session_id", F.col("event_id").alias("id"))
+    found = live.live_double_users(rows)
+    return found.filter("result = 'double'").select("session_id", F.col("event_id").alias("id"))
 
 
 @catalog.add("stream_dedup_payments", money.oracles["dedup_payments"])
@@ -50,14 +50,14 @@ def _(s: Source):
         .join(owners, "user_id", "left")
         .select("user_id", "us", "event_id", "kind", F.coalesce("owner", F.lit(False)).alias("owner"))
     )
-    found = live.drained(live.live_ledger(events), "append", "ledger")
-    return found.select("event_id", "us", "user_id", "kind", "outcome")
+    found = live.live_ledger(events)
+    return found.select("event_id", "us", "user_id", "kind", F.col("result").alias("outcome"))
 
 
 @catalog.add("stream_pending_choice", money.oracles["pending_choice"])
 def _(s: Source):
-    found = live.drained(live.live_choice(stream(s, "v_updates")), "append", "choice")
-    return found.filter("kind = 'message'").select("event_id", "user_id", "version")
+    found = live.live_choice(stream(s, "v_updates"))
+    return found.filter("kind = 'message'").select("event_id", "user_id", F.col("result").alias("version"))
 
 
 @catalog.add("stream_alert_no_replicas", telemetry.oracles["alert_no_replicas"])

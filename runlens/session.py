@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="runlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    spark.sparkContext.setCheckpointDir(made)
     return made
 
 

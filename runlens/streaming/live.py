@@ -7,20 +7,18 @@ reported as late instead.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from runlens.operators.ledger import valid_payments
+from runlens.operators.ledger import CARRY, ledger_carry, ledger_scans, valid_payments, with_outcomes
+from runlens.operators.ordered import OrderedRows, last_seen
 from runlens.operators.telemetry import CRITICAL_TERMS, failure_flags, has_any
 from runlens.registry import FREE_RUNS, PIPELINES
 from runlens.session import fresh_path
 
 FILES_PER_TRIGGER = 64
-"""Bounds a micro-batch, and with it what one task sorts of one key."""
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,42 +84,76 @@ def payments_of(results: DataFrame) -> DataFrame:
     )
 
 
-def in_order(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """What a micro-batch brought for one key, sorted: batches come in any order."""
-    return pd.concat(list(pdfs)).sort_values(["us", "event_id"])
+class CarryLog:
+    """Small per-key state between micro-batches, as files below the shared folder.
+
+    A micro-batch writes the keys it changed; every ``COMPACT``-th one writes all keys, so reading never goes
+    back further. A repeated micro-batch reads the same files and replaces its own.
+    """
+
+    COMPACT = 20
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], schema: str):
+        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+
+    def before(self, batch_id: int) -> DataFrame:
+        """The newest state of every key before a micro-batch."""
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        since = (batch_id - 1) // self.COMPACT * self.COMPACT
+        paths = [f"{self.path}/batch={i}" for i in range(since, batch_id)]
+        logged = self.spark.read.schema(f"{self.schema}, batch bigint").option("basePath", self.path).parquet(*paths)
+        return latest(logged, self.key)
+
+    def write(self, batch_id: int, changed: DataFrame) -> None:
+        if batch_id and batch_id % self.COMPACT == 0:
+            kept = self.before(batch_id).join(changed.select(*self.key), self.key, "left_anti")
+            changed = changed.unionByName(kept)
+        changed.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
 
-def stateful(
-    stream: DataFrame, key: str, results: str, state: str, start: tuple, step: Callable[[list, object], object]
-) -> DataFrame:
-    """Apply ``step(state, row)`` to each row of a key in order of (us, event_id).
+Step = Callable[[OrderedRows], tuple[DataFrame, DataFrame]]
+"""Rows of a micro-batch with their key's carry -> (results, changed carries)."""
 
-    The state's first two fields are the place of the last applied row; a row before it yields 'late'.
+
+def carried(stream: DataFrame, key: list[str], carry: str, zero: dict[str, str], step: Step, name: str) -> DataFrame:
+    """Run a stream whose keys carry state: rows of a key are taken in order of (us, event_id).
+
+    A micro-batch is an ordinary batch job on the running values, so a key with a third of all rows is split
+    like there. A row that comes after a later one of its key was applied is not applied: it gives the
+    result 'late'. ``carry`` is the DDL of the state, ``zero`` its values for a new key.
     """
-    names = [part.split()[0] for part in results.split(",")]
-    kind = dict(stream.dtypes)[key]
-
-    def run(owner: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(held.get) if held.exists else [-1, -1, *start]
-        out = []
-        for row in in_order(pdfs).itertuples(index=False):
-            place = (int(row.us), int(row.event_id))
-            if place <= (now[0], now[1]):
-                result = "late"
-            else:
-                result = step(now, row)
-                now[0], now[1] = place
-            out.append((owner[0], *place, row.kind, result))
-        held.update(tuple(now))
-        yield pd.DataFrame(out, columns=[key, "us", "event_id", "kind", *names])
-
-    return stream.groupBy(key).applyInPandasWithState(
-        run,
-        f"{key} {kind}, us bigint, event_id bigint, kind string, {results}",
-        f"last_us bigint, last_id bigint, {state}",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    spark = stream.sparkSession
+    path, state = fresh_path(spark, name), fresh_path(spark, f"{name}-carry")
+    kinds = dict(stream.dtypes)
+    keys = ", ".join(f"{k} {kinds[k]}" for k in key)
+    log = CarryLog(spark, state, key, f"{keys}, last_us bigint, last_id bigint, {carry}")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        rows = OrderedRows.of(batch, key, ["us", "event_id"]).attach(log.before(batch_id))
+        rows = rows.map(lambda df: df.withColumns({c: F.expr(f"coalesce({c}, {z})") for c, z in zero.items()}))
+        late = F.expr("coalesce(struct(us, event_id) <= struct(last_us, last_id), false)")
+        results, changed = step(rows.map(lambda df: df.filter(~late)))
+        passed = rows.df.filter(late).select(*key, "us", "event_id", "kind", F.lit("late").alias("result"))
+        results.unionByName(passed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        log.write(batch_id, changed)
+        batch.unpersist()
+
+    query = (
+        stream.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", fresh_path(spark, f"{name}-progress"))
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    return spark.read.schema(
+        f"{keys}, us bigint, event_id bigint, kind string, result string, batch bigint"
+    ).parquet(path)
+
+
+def outcomes(rows: OrderedRows, key: list[str], result: str) -> DataFrame:
+    return rows.df.select(*key, "us", "event_id", "kind", F.expr(result).alias("result"))
 
 
 def live_ledger(events: DataFrame, free_runs: int = FREE_RUNS) -> DataFrame:
@@ -130,59 +162,50 @@ def live_ledger(events: DataFrame, free_runs: int = FREE_RUNS) -> DataFrame:
     events: user_id, us, event_id, kind, owner. Payments are valid and credited once already.
     """
 
-    def step(state: list, row) -> str:
-        _, _, used, paid, bucket = state
-        if row.kind == "pay":
-            state[3] = paid + 1
-            return "credited"
-        if row.kind == "start":
-            if bucket is not None:
-                return "resumed"
-            if row.owner:
-                state[4] = "none"
-                return "owner"
-            if used < free_runs:
-                state[2], state[4] = used + 1, "free"
-            elif paid > 0:
-                state[3], state[4] = paid - 1, "paid"
-            return state[4] or "needs_payment"
-        if bucket is None:
-            return "ignored"
-        state[4] = None
-        if row.kind == "finish":
-            return "delivered"
-        state[2] -= bucket == "free"
-        state[3] += bucket == "paid"
-        return "no_refund" if bucket == "none" else f"refunded_{bucket}"
+    def step(rows: OrderedRows) -> tuple[DataFrame, DataFrame]:
+        scanned = ledger_scans(rows, free_runs)
+        return outcomes(with_outcomes(scanned), ["user_id"], "outcome"), ledger_carry(scanned.df)
 
+    state = "carry_cycle bigint, carry_credits bigint, carry_prior struct<cycle: bigint, credits: bigint>, " \
+        "carry_delivered bigint, carry_floor bigint"
     runs = events.filter(F.col("kind").isin("start", "pay", "finish", "abandon"))
-    return stateful(
-        runs, "user_id", "outcome string", "used bigint, paid bigint, bucket string", (0, 0, None), step
-    )
+    return carried(runs, ["user_id"], state, CARRY, step, "ledger")
+
+
+def last_place() -> list[Column]:
+    place = F.max(F.struct("us", "event_id"))
+    return [place["us"].alias("last_us"), place["event_id"].alias("last_id")]
 
 
 def live_choice(updates: DataFrame) -> DataFrame:
     """The version each message starts with: the pick since the last message or reset."""
 
-    def step(state: list, row):
-        if row.kind == "pick":
-            if row.version in PIPELINES:
-                state[2] = row.version
-            return None
-        taken, state[2] = state[2], None
-        return taken if row.kind == "message" else None
+    def step(rows: OrderedRows) -> tuple[DataFrame, DataFrame]:
+        # what a row leaves pending: its pick, or nothing
+        leaves = "named_struct('version', if(kind = 'pick', version, null))"
+        rows = rows.scan(before=last_seen(leaves, before=True))
+        rows = rows.map(lambda df: df.withColumn("taken", F.expr("if(before is null, pending, before.version)")))
+        after = F.max_by(F.when(F.col("kind") == "pick", F.col("version")), F.struct("us", "event_id"))
+        changed = rows.df.groupBy("user_id").agg(*last_place(), after.alias("pending"))
+        return outcomes(rows, ["user_id"], "if(kind = 'message', taken, null)"), changed
 
-    return stateful(updates, "user_id", "version string", "pending string", (None,), step)
+    known = updates.filter((F.col("kind") != "pick") | F.col("version").isin(*PIPELINES))
+    return carried(known, ["user_id"], "pending string", {}, step, "choice")
 
 
 def live_double_users(messages: DataFrame) -> DataFrame:
-    """User messages right after a user message, as the transcript grows: us is 0, event_id the message id."""
+    """User messages right after a user message, as the transcript grows.
+
+    messages: session_id, us (0), event_id (the message id), kind (the role).
+    """
 
-    def step(state: list, row) -> str:
-        last, state[2] = state[2], row.kind
-        return "double" if row.kind == "user" and last == "user" else "fine"
+    def step(rows: OrderedRows) -> tuple[DataFrame, DataFrame]:
+        rows = rows.scan(before=last_seen("kind", before=True))
+        verdict = "if(kind = 'user' and coalesce(before, role) = 'user', 'double', 'fine')"
+        after = F.max_by("kind", F.struct("us", "event_id")).alias("role")
+        return outcomes(rows, ["session_id"], verdict), rows.df.groupBy("session_id").agg(*last_place(), after)
 
-    return stateful(messages, "session_id", "verdict string", "role string", (None,), step)
+    return carried(messages, ["session_id"], "role string", {}, step, "double-users")
 
 
 def event_time(us: Column) -> Column:
