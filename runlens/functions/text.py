@@ -146,9 +146,18 @@ def match_choice(text: Column, options: Column) -> Column:
         parted = F.regexp_replace(t, r"(?U)(\s)", f"{edge}$1{edge}")
         return F.concat(F.lit(edge), parted, F.lit(edge))
 
-    t = words(plain_reply(text))
-    fits = F.filter(options, lambda o: (plain_reply(o) != "") & F.contains(t, words(plain_reply(o))))
-    return F.when(plain_reply(text) != "", F.try_element_at(fits, F.lit(1)))
+    def fits(t: Column, o: Column) -> Column:
+        return (o != "") & F.contains(t, words(o))
+
+    # the one-element array binds the cleaned reply, so that it is made once and not once per option
+    once = F.array(F.when(options.isNotNull(), words(plain_reply(text))))
+    found = F.transform(
+        once,
+        lambda t: F.when(
+            t != edge * 2, F.try_element_at(F.filter(options, lambda o: fits(t, plain_reply(o))), F.lit(1))
+        ),
+    )
+    return F.element_at(found, 1)
 
 
 def slug(text: Column) -> Column:
@@ -185,7 +194,9 @@ def md_to_html(text: Column) -> Column:
 
 
 NAME = "[A-Za-z0-9_-]*"
-SECRET_PAIR = rf"(?i)({NAME}(?:{SENSITIVE}){NAME}\"?\s*[=:]\s*\"?)([^\s\",;]+)"
+SECRET_PAIR = rf"(?i)((?:{SENSITIVE}){NAME}\"?\s*[=:]\s*\"?)([^\s\",;]+)"
+SECRET_KINDS = {"token": "token", "secret": "secret", "password": "password", "api_key": "api[_-]?key",
+                "authorization": "authorization", "dsn": "dsn"}
 
 
 def redact_text(text: Column) -> Column:
@@ -193,11 +204,15 @@ def redact_text(text: Column) -> Column:
     return F.regexp_replace(text, SECRET_PAIR, f"$1{REDACTED}")
 
 
-def secret_kinds(text: Column) -> dict[str, Column]:
-    """How many sensitive names of each kind are followed by a value."""
-    kinds = {"token": "token", "secret": "secret", "password": "password", "api_key": "api[_-]?key",
-             "authorization": "authorization", "dsn": "dsn"}
-    return {
-        name: F.regexp_count(text, F.lit(rf"(?i){kind}{NAME}\"?\s*[=:]\s*\"?[^\s\",;]+"))
-        for name, kind in kinds.items()
-    }
+def secret_names(text: Column) -> Column:
+    """The sensitive names that are followed by a value, as an array in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(SECRET_PAIR), 1), F.lower)
+
+
+def secret_kinds(names: Column) -> dict[str, Column]:
+    """How many of the names are of each kind."""
+
+    def of_kind(pattern: str) -> Column:
+        return F.size(F.filter(names, lambda name: name.rlike(pattern))).cast("bigint")
+
+    return {kind: of_kind(pattern) for kind, pattern in SECRET_KINDS.items()}

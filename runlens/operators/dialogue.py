@@ -59,10 +59,9 @@ def double_user_rows(messages: DataFrame) -> DataFrame:
 
 def verbatim_reask(messages: DataFrame) -> DataFrame:
     """Assistant messages that ask the very question of the assistant's previous question."""
-    asked = messages.filter("role = 'assistant'").select(
-        "session_id", "id", rules.first_question(F.col("text")).alias("question")
-    )
-    rows = OrderedRows.of(asked.filter("question is not null"), ["session_id"], ["id"])
+    said = messages.filter("role = 'assistant'")
+    asked = said.select("session_id", "id", rules.first_question(F.col("text")).alias("question"))
+    rows = OrderedRows.of(asked, ["session_id"], ["id"], bound=said)
     rows = rows.scan(previous=last_seen("question", before=True))
     return rows.df.filter("question = previous").select("session_id", "id", "question")
 
@@ -151,7 +150,7 @@ def answer_resolution(answers: DataFrame, budget: int = CLARIFY_BUDGET) -> DataF
         "session_id", "seq", "verdict", "reason",
         F.when(F.col("reason") == "deterministic_choice_match", F.col("value")).alias("value"),
     )
-    ordered = OrderedRows.of(rows, ["session_id"], ["seq"])
+    ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=answers)
     ordered = ordered.scan(weak=running_sum("if(reason is null, 1L, 0L)"))
     ordered = ordered.scan(base=last_seen("if(reason is not null, weak, null)", before=True))
     spent = "(weak - coalesce(base, 0L))"

@@ -24,9 +24,18 @@ Step = Callable[[dict, Any], tuple]
 
 
 def fold_rows(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], start: Callable[[], dict], step: Step, results: str
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    start: Callable[[], dict],
+    step: Step,
+    results: str,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """``key`` and ``order`` of each row with the ``results`` (a DDL list) of the step."""
+    """``key`` and ``order`` of each row with the ``results`` (a DDL list) of the step.
+
+    ``bound``: see OrderedRows.of.
+    """
     key, order = list(key), list(order)
     names = [*key, *order]
     fields = dict(df.dtypes)
@@ -57,7 +66,7 @@ def fold_rows(
         return placed.mapInPandas(run, schema)
 
     fresh = F.lit(None).cast("string")
-    rows = OrderedRows.of(df, key, order)
+    rows = OrderedRows.of(df, key, order, bound)
     done = fold(rows.usual.withColumn(STATE, fresh)).drop(STATE)
     if rows.hot is None:
         return done

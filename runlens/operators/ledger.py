@@ -70,7 +70,7 @@ def ledger_rows(
     events: event_id, us, user_id, kind. credited: event_id of the payments that count.
     owners: user_id of the users who are never billed.
     """
-    rows = OrderedRows.of(run_events(events, credited), ["user_id"], ["us", "event_id"])
+    rows = OrderedRows.of(run_events(events, credited), ["user_id"], ["us", "event_id"], bound=events)
     rows = rows.attach(owners.select("user_id").distinct().withColumn("owner", F.lit(True)))
     rows = rows.map(lambda df: df.withColumn("owner", F.coalesce("owner", F.lit(False))))
     rows = rows.map(lambda df: df.withColumns({name: F.expr(zero) for name, zero in CARRY.items()}))

@@ -66,12 +66,13 @@ def contract_lint(documents: DataFrame) -> DataFrame:
 
 def unresolved_markers(documents: DataFrame) -> DataFrame:
     """Open questions of the draft: still in the final contract, or resolved."""
-    draft = F.array_distinct(markers(F.col("draft")))
-    kept = F.array_intersect(draft, markers(F.col("final")))
-    gone = F.array_except(draft, markers(F.col("final")))
+    found = documents.select(
+        "doc_id", F.array_distinct(markers(F.col("draft"))).alias("draft"), markers(F.col("final")).alias("final")
+    )
+    kept, gone = F.array_intersect("draft", "final"), F.array_except("draft", "final")
     state = lambda name, found: F.transform(found, lambda q: F.struct(q.alias("question"), F.lit(name).alias("state")))
     both = F.concat(state("unresolved", kept), state("resolved", gone))
-    return documents.select("doc_id", F.explode(both).alias("m")).select("doc_id", "m.question", "m.state")
+    return found.select("doc_id", F.explode(both).alias("m")).select("doc_id", "m.question", "m.state")
 
 
 def research_questions(text: Column) -> Column:
@@ -100,8 +101,8 @@ def rq_priority(briefs: DataFrame) -> DataFrame:
 
 def rq_flags(briefs: DataFrame) -> DataFrame:
     """Briefs with questions nobody can check, without a critical one, or with too many."""
-    q = research_questions(F.col("text"))
-    return briefs.select(
+    q = F.col("q")
+    return briefs.select("doc_id", research_questions(F.col("text")).alias("q")).select(
         "doc_id",
         F.size(q).cast("bigint").alias("questions"),
         F.size(F.filter(q, lambda x: ~x["has_method"])).cast("bigint").alias("without_method"),
@@ -142,7 +143,9 @@ def backlog_lint(tasks: DataFrame) -> DataFrame:
             problem(F.col("title").rlike(EPIC_TITLE), "looks_like_epic"),
         )
     )
-    own = tasks.select("doc_id", "task", F.explode(found).alias("problem"))
+    # the texts are read once: what follows needs the narrow rows only
+    tasks = settle(tasks.select("doc_id", "task", "needs", found.alias("found")))
+    own = tasks.select("doc_id", "task", F.explode("found").alias("problem"))
     needs = tasks.select("doc_id", "task", F.explode("needs").alias("need")).distinct()
     known = tasks.select("doc_id", F.col("task").alias("need")).distinct()
     dangling = needs.join(known, ["doc_id", "need"], "left_anti")
@@ -157,6 +160,8 @@ def backlog_waves(tasks: DataFrame) -> DataFrame:
     One round per wave: tasks without an open need are placed, and the needs they fulfil are struck out. Rounds
     are as many as the longest chain; each one is written to the checkpoint folder.
     """
+    # the texts are read once: what follows needs the narrow rows only
+    tasks = settle(tasks.select("doc_id", "task", "needs"))
     known = tasks.select("doc_id", "task").distinct()
     needs = (
         tasks.select("doc_id", "task", F.explode("needs").alias("need"))

@@ -87,11 +87,16 @@ class OrderedRows:
         self.usual, self.hot, self.key, self.order = usual, hot, key, order
 
     @classmethod
-    def of(cls, df: DataFrame, key: Sequence[str], order: Sequence[str]) -> OrderedRows:
-        """Count the rows per key (one narrow, map-side combined pass) and split off hot keys if any."""
+    def of(
+        cls, df: DataFrame, key: Sequence[str], order: Sequence[str], bound: DataFrame | None = None
+    ) -> OrderedRows:
+        """Count the rows per key (one narrow, map-side combined pass) and split off hot keys if any.
+
+        ``bound``: rows that are cheaper to count and at least as many per key.
+        """
         key, order = list(key), list(order)
         limit = hot_key_rows(df)
-        sizes = df.groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
+        sizes = (df if bound is None else bound).groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
         if sizes.isEmpty():
             return cls(df, None, key, order)
         sizes = settle(sizes)

@@ -257,8 +257,11 @@ def version_change(calls: DataFrame, initial: str = "lite", max_artifact: int =
     )
 
 
-def tool_args_audit(calls: DataFrame, tools: dict = TOOLS) -> DataFrame:
-    """The first thing wrong with each tool call, or 'ok': name, required arguments, types, allowed values."""
+def tool_args_audit(calls: DataFrame, tools: dict = TOOLS, keep: str | None = None) -> DataFrame:
+    """The first thing wrong with each tool call, or 'ok': name, required arguments, types, allowed values.
+
+    ``keep``: a name for the parsed arguments, to go on with them.
+    """
     parsed = calls.withColumn("_args", F.try_parse_json("args"))
     verdict = F.when(~F.col("name").isin(*tools), "unknown_tool").when(F.col("_args").isNull(), "not_json")
     for tool, arguments in tools.items():
@@ -272,7 +275,8 @@ def tool_args_audit(calls: DataFrame, tools: dict = TOOLS) -> DataFrame:
             verdict = verdict.when(here & ~missing & (kind != "STRING"), f"type_{arg}")
             if allowed:
                 verdict = verdict.when(here & ~missing & ~value.isin(*allowed), f"value_{arg}")
-    return parsed.withColumn("verdict", verdict.otherwise("ok")).drop("_args")
+    done = parsed.withColumn("verdict", verdict.otherwise("ok"))
+    return done.withColumnRenamed("_args", keep) if keep else done.drop("_args")
 
 
 def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> DataFrame:
@@ -282,7 +286,7 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
     rules are column expressions; the fold carries only the small state of a run.
     """
     text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")
-    checked = tool_args_audit(calls).withColumn("_args", F.try_parse_json("args"))
+    checked = tool_args_audit(calls, keep="_args")
     question = text("question")
     preamble = F.when(F.col("verdict") != "type_preamble", text("preamble"))
     shown = rules.rendered(preamble, question)
@@ -320,7 +324,7 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         rules.is_dont_know(F.col("reply")).alias("unknown"),
     )
     offered = F.when((F.col("name") == "ask_question") & F.col("fine"), F.struct("options"))
-    ordered = OrderedRows.of(rows, ["session_id"], ["seq"]).scan(offer=last_seen(offered, before=True))
+    ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=calls).scan(offer=last_seen(offered, before=True))
     picked = rules.match_choice(F.col("reply"), F.col("offer.options")).isNotNull()
     lean = ordered.df.withColumn("picked", picked).drop("reply", "options", "offer")
     trace = fold_rows(
@@ -334,6 +338,7 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         _replay_step(budget),
         "version string, at bigint, status string, slug string, verdict string, open boolean, spent bigint, "
         "artifacts bigint, adrs bigint",
+        bound=calls,
     )
     names = ["version", "at", "status", "slug", "verdict", "open", "spent", "artifacts", "adrs"]
     last = F.max_by(F.struct(*names), "seq").alias("last")

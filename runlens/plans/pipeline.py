@@ -361,8 +361,10 @@ KINDS = {"token": "token", "secret": "secret", "password": "password", "api_key"
     + " from documents")
 def _(s: Source):
     text = F.col("text")
-    kinds = [c.cast("bigint").alias(n) for n, c in rules.secret_kinds(text).items()]
-    return s.table("documents").select("doc_id", rules.redact_text(text).alias("text"), *kinds)
+    hidden = s.table("documents").select(
+        "doc_id", rules.redact_text(text).alias("text"), rules.secret_names(text).alias("names")
+    )
+    return hidden.withColumns(rules.secret_kinds(F.col("names"))).drop("names")
 
 
 @catalog.add("md_to_html")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.plans.views import view
+from runlens.plans.views import load, view
 
 
 @dataclass
@@ -21,7 +21,7 @@ class Source:
         return view(self.spark, self.sf_dir, f"v_{name}")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return load(self.spark, self.sf_dir, name)
 
 
 @dataclass

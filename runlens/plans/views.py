@@ -12,7 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["events", "conversations", "documents", "labels", "pages", "benchmark"]
-SPARK_US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
+# from the parts of the local time, so that the session's time zone plays no role
+SPARK_US = (
+    "(unix_date(to_date(ts)) * 86400000000L + (hour(ts) * 60L + minute(ts)) * 60000000L "
+    "+ cast(extract(second from ts) * 1000000 as bigint))"
+)
 DUCK_US = "epoch_us(ts)"
 
 
@@ -340,7 +344,14 @@ VIEWS: dict[str, View] = {
 }
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small file over all cores. A table with a split per core or more is left as it is, so this never
+    moves more than one split (spark.sql.files.maxPartitionBytes) per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
