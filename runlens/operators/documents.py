@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
-from runlens.operators.pipeline import last_finished
+from runlens.operators.steps import last_finished
 from runlens.registry import steps_table
 
 DECISIONS_PER_PART = 1000

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-SUBJECTS = ["money", "dialogue", "pipeline", "telemetry", "methodology", "streams"]
+SUBJECTS = ["money", "dialogue", "steps", "telemetry", "methodology", "streams"]
 
 
 def _run(job, spark: SparkSession, sf_dir: str) -> DataFrame:

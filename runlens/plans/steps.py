@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
 from runlens.operators import documents as docs
-from runlens.operators import pipeline as ops
+from runlens.operators import steps as ops
 from runlens.plans import rules_sql as sql
 from runlens.plans.query import Catalog, Source
 from runlens.plans.views import View, VIEWS, duck
@@ -367,14 +367,65 @@ def _(s: Source):
     return hidden.withColumns(rules.secret_kinds(F.col("names"))).drop("names")
 
 
-@catalog.add("md_to_html")
+VIEWS["v_markdown"] = View(
+    "documents",
+    (
+        "doc_id",
+        "concat('  ## ', source, ' <', lang, '> \n\n- *first* & **bold ', lang, '** word\n* _second_ `x_y`, 2*3 a_b_c\n\n', "
+        "text, '\n### \"end\"  ') as text",
+    ),
+)
+HTML = "text"
+for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+    HTML = f"replace({HTML}, '{sign}', '{entity}')"
+for pattern, tag in (
+    (r"\*\*(.+?)\*\*", r"<b>\1</b>"),
+    (r"(?m)^\s{0,3}#{1,6}\s*(.+?)\s*$", r"<b>\1</b>"),
+    (r"(?m)^(\s*)[-*]\s+", r"\1• "),
+    (r"\*([^*\s][^*\n]*?)\*", r"<i>\1</i>"),
+    (rf"(^|[^{sql.WORD}])_([^_\s][^_\n]*?)_($|[^{sql.WORD}])", r"\1<i>\2</i>\3"),
+    (r"`([^`\n]+?)`", r"<code>\1</code>"),
+):
+    HTML = f"regexp_replace({HTML}, '{pattern}', '{tag}', 'g')"
+
+
+@catalog.add("md_to_html", duck("v_markdown", f"select doc_id, {HTML} as html from v_markdown"))
+def _(s: Source):
+    return s.markdown.select("doc_id", rules.md_to_html(F.col("text")).alias("html"))
+
+
+# texts without tags: lines are cut at 4048 characters and put together as long as they fit
+CHUNKS = """with recursive lines as (
+  select doc_id, unnest(string_split(text, E'\\n')) as line, unnest(range(len(string_split(text, E'\\n')))) as line_no
+  from documents where length(text) > 4096
+), pieces as (
+  select doc_id, line_no, cut, substring(line, cut * 4048 + 1, 4048) as piece
+  from (select *, unnest(range(greatest(1, (length(line) + 4047) // 4048))) as cut from lines)
+), numbered as (
+  select *, length(piece) as size, row_number() over (partition by doc_id order by line_no, cut) as rn from pieces
+), packed as (
+  select distinct doc_id, cast(0 as bigint) as rn, cast(0 as bigint) as held, cast(0 as bigint) as chunk_no, '' as piece, false as kept
+  from numbered
+  union all
+  select n.doc_id, n.rn,
+    case when p.held > 0 and p.held + 1 + n.size <= 4048 then p.held + 1 + n.size else n.size end,
+    case when p.held > 0 and p.held + 1 + n.size > 4048 then p.chunk_no + 1 else p.chunk_no end,
+    n.piece, n.size > 0 or (p.held > 0 and p.held + 1 + n.size <= 4048)
+  from packed p join numbered n on n.doc_id = p.doc_id and n.rn = p.rn + 1
+)
+select doc_id, cast(chunk_no as int) as chunk_no, string_agg(piece, E'\\n' order by rn) as chunk
+from packed where kept group by doc_id, chunk_no
+union all select doc_id, 0, text from documents where length(text) <= 4096"""
+
+
+@catalog.add("chunk_documents", CHUNKS)
 def _(s: Source):
-    return s.table("documents").select("doc_id", rules.md_to_html(F.col("text")).alias("html"))
+    return docs.chunk_documents(s.table("documents"))
 
 
-@catalog.add("chunk_documents")
+@catalog.add("chunk_html")
 def _(s: Source):
-    marked = s.table("documents").select("doc_id", rules.md_to_html(F.col("text")).alias("text"))
+    marked = s.markdown.select("doc_id", rules.md_to_html(F.col("text")).alias("text"))
     return docs.chunk_documents(marked)
 
 

@@ -221,11 +221,10 @@ VIEWS: dict[str, View] = {
         (
             "doc_id as id",
             "doc_id div 9 as session_id",
-            "doc_id % 9 div 4 + doc_id % 9 % 4 + 1 as n",
+            "doc_id % 9 % 7 + 1 as n",
             "concat('Decision ', doc_id) as title",
             "text as markdown",
         ),
-        "doc_id % 3 = 0",
     ),
     "v_pieces": View(
         "documents",
@@ -241,9 +240,9 @@ VIEWS: dict[str, View] = {
         (
             "doc_id",
             "doc_id div 5 as user_id",
-            "case doc_id % 8 when 0 then '' when 1 then concat('  ', substring(text, 1, 12), ' ') "
+            "case doc_id % 8 when 0 then '' when 1 then concat('  ', source, ' ', lang, ' ') "
             "when 2 then 'Да!' when 3 then 'Product' when 4 then concat('AI-рекрутер ', doc_id % 40) "
-            "when 5 then substring(text, 1, 125) when 6 then concat('_', substring(text, 1, 60), '_') "
+            "when 5 then text when 6 then concat('_', source, ' ', text, '_') "
             "else concat('Бот_', source) end as name",
         ),
     ),
@@ -265,7 +264,7 @@ VIEWS: dict[str, View] = {
         "documents",
         (
             "doc_id",
-            "concat('# Vision Contract Draft: ', source, '\n\n## Блок A. Проблема\n\n', substring(text, 1, 200), "
+            "concat('# Vision Contract Draft: ', source, '\n\n## Блок A. Проблема\n\n', lang, "
             "'\n[NEEDS CLARIFICATION: who pays for ', source, ']\n\n', "
             "case when doc_id % 6 = 0 then '' else '## Блок B. Аудитория\n\nперсона\n\n' end, "
             "'## Блок C. Решение\n\n1. сценарий ', lang, ' [НУЖНО УТОЧНИТЬ: срок ', doc_id % 7, ']\n\n', "
@@ -283,7 +282,7 @@ VIEWS: dict[str, View] = {
         (
             "doc_id",
             "concat('# Research Brief: ', source, '\n\n### RQ-01: кто платит за ', lang, '\n\n**Возник из:** Блок A\n', "
-            "'**Приоритет:** 🟢 Желательный\n**Способ проверки:**\n- интервью\n- ', substring(replace(text, '\n', ' '), 1, 80), "
+            "'**Приоритет:** 🟢 Желательный\n**Способ проверки:**\n- интервью\n- ', replace(text, '\n', ' '), "
             "'\n\n### RQ-02: какой срок\n\n**Приоритет:** ', case when doc_id % 3 = 0 then '🟡 Важный' else '🔴 Критический' end, "
             "'\n', case when doc_id % 4 = 0 then '' else '**Способ проверки:**\n- отзывы\n' end, "
             "'\n### RQ-03: бюджет\n\n**Приоритет:** 🟡 Важный\n**Способ проверки:**\n- счёт\n', "
@@ -328,7 +327,7 @@ VIEWS: dict[str, View] = {
             "doc_id div 6 as product",
             "doc_id as check_no",
             "concat('# Story Sync Check\n\n## Расхождения\n\n- аудитория: сузили, см. ADR-00', 1 + doc_id % 8, '\n', "
-            "'- метафора: ', substring(replace(text, '\n', ' '), 1, 60), '\n', "
+            "'- метафора: ', replace(text, '\n', ' '), '\n', "
             "case when doc_id % 3 = 0 then '- скорость пропала из контракта\n- срок сдвинут\n' else '' end, "
             "'\n## Итог\n\n- обновить файл\n') as text",
         ),

@@ -42,7 +42,7 @@ def ledger_input(spark):
     return rows, {r.event_id: r.outcome for r in batch.collect()}
 
 
-@pytest.mark.parametrize("limit", [None, "12"])
+@pytest.mark.parametrize("limit", [None, "4"])
 def test_ledger_over_batches_equals_batch(spark, tmp_path, monkeypatch, limit):
     monkeypatch.setattr(live.CarryLog, "COMPACT", 3)
     rows, wanted = ledger_input(spark)
