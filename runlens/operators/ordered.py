@@ -139,9 +139,9 @@ class OrderedRows:
                 for name, r in running.items()
             ],
         )
-        # one row per (hot key, partition): bounded by the number of partitions plus hot keys
+        # the rows are grouped by (key, segment) for the window already, and no such group is large
         joined = self.hot.withColumns({name: r.local(inside) for name, r in running.items()}).join(
-            F.broadcast(carries), [*self.key, SEGMENT]
+            carries, [*self.key, SEGMENT]
         )
         done = joined.withColumns(
             {name: r.join(F.col(f"_carry_{name}"), F.col(name)) for name, r in running.items()}

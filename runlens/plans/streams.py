@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runlens.functions.text import question_marks
 from runlens.operators.ledger import dedup_payments
 from runlens.plans.dialogue import catalog as dialogue
 from runlens.plans.money import catalog as money
 from runlens.plans.money import folded
 from runlens.plans.query import Catalog, Source
+from runlens.plans.rules_sql import marks
 from runlens.plans.telemetry import catalog as telemetry
 from runlens.plans.telemetry import FLAGGED, windows
 from runlens.plans.views import VIEWS, duck
@@ -26,11 +28,33 @@ def _(s: Source):
     return live.drained(stream(s, "v_messages"), "append", "messages").drop("batch")
 
 
+def transcript(s: Source):
+    marks = question_marks(F.col("text")).alias("marks")
+    rows = stream(s, "v_messages").select(
+        "session_id", F.lit(0).cast("bigint").alias("us"), F.col("id").alias("event_id"), F.col("role").alias("kind"), marks
+    )
+    return live.live_messages(rows)
+
+
 @catalog.add("stream_double_users", dialogue.oracles["double_user_rows"])
 def _(s: Source):
-    rows = stream(s, "v_messages").selectExpr("session_id", "0L as us", "id as event_id", "role as kind")
-    found = live.live_double_users(rows)
-    return found.filter("result = 'double'").select("session_id", F.col("event_id").alias("id"))
+    found = transcript(s).filter("result = 'double_user'")
+    return found.select("session_id", F.col("event_id").alias("id"))
+
+
+@catalog.add("live_messages", duck("v_messages v_sessions", f"""
+, seen as (
+  select *, lag(role) over w as before, row_number() over (partition by session_id order by id desc) as back
+  from v_messages window w as (partition by session_id order by id)
+), tails as (
+  select case when m.role = 'user' then 'no_reply' when not contains({marks('text')}, '?')
+    and s.status = 'active' and s.current_question is null then 'nothing_asked' end as detector, m.session_id, m.id
+  from seen m left join v_sessions s on s.id = m.session_id where m.back = 1
+)
+select 'double_user' as detector, session_id, id from seen where role = 'user' and before = 'user'
+union all select * from tails where detector is not null"""))
+def _(s: Source):
+    return live.live_detectors(transcript(s), s.sessions)
 
 
 @catalog.add("stream_dedup_payments", money.oracles["dedup_payments"])

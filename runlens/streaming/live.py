@@ -193,19 +193,38 @@ def live_choice(updates: DataFrame) -> DataFrame:
     return carried(known, ["user_id"], "pending string", {}, step, "choice")
 
 
-def live_double_users(messages: DataFrame) -> DataFrame:
-    """User messages right after a user message, as the transcript grows.
+def live_messages(messages: DataFrame) -> DataFrame:
+    """The transcript as it grows, each row with what the detectors make of it.
 
-    messages: session_id, us (0), event_id (the message id), kind (the role).
+    messages: session_id, us (0), event_id (the message id), kind (the role), marks (question marks). The
+    result is 'double_user' for a user message right after one, else 'user', 'asked' or 'said'.
     """
 
     def step(rows: OrderedRows) -> tuple[DataFrame, DataFrame]:
         rows = rows.scan(before=last_seen("kind", before=True))
-        verdict = "if(kind = 'user' and coalesce(before, role) = 'user', 'double', 'fine')"
+        verdict = """case when kind = 'user' and coalesce(before, role) = 'user' then 'double_user'
+            when kind = 'user' then 'user' when marks > 0 then 'asked' else 'said' end"""
         after = F.max_by("kind", F.struct("us", "event_id")).alias("role")
         return outcomes(rows, ["session_id"], verdict), rows.df.groupBy("session_id").agg(*last_place(), after)
 
-    return carried(messages, ["session_id"], "role string", {}, step, "double-users")
+    return carried(messages, ["session_id"], "role string", {}, step, "transcript")
+
+
+def live_detectors(transcript: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Lost replies and stranded sessions in what ``live_messages`` has written so far."""
+    lost = transcript.filter("result = 'double_user'").select(
+        F.lit("double_user").alias("detector"), "session_id", F.col("event_id").alias("id")
+    )
+    idle = F.expr("status = 'active' and current_question is null")
+    states = sessions.select(F.col("id").alias("session_id"), idle.alias("idle"))
+    last = transcript.groupBy("session_id").agg(
+        F.max_by("result", "event_id").alias("result"), F.max("event_id").alias("id")
+    )
+    ended = F.when(F.col("result").isin("user", "double_user"), "no_reply").when(
+        (F.col("result") == "said") & F.coalesce("idle", F.lit(False)), "nothing_asked"
+    )
+    tails = last.join(states, "session_id", "left").select(ended.alias("detector"), "session_id", "id")
+    return lost.unionByName(tails.filter("detector is not null"))
 
 
 def event_time(us: Column) -> Column:

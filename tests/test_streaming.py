@@ -79,10 +79,18 @@ def test_picks_and_messages_over_batches(spark, tmp_path):
 
 
 def test_lost_replies_over_batches(spark, tmp_path):
-    parts = [[(1, 0, 0, "user")], [(1, 0, 1, "user"), (1, 0, 2, "assistant")], [(1, 0, 3, "user"), (2, 0, 0, "user")]]
-    stream = files(spark, tmp_path, parts, "session_id long, us long, event_id long, kind string")
-    got = live.live_double_users(stream).filter("result = 'double'").collect()
-    assert [(r.session_id, r.event_id) for r in got] == [(1, 1)]
+    parts = [
+        [(1, 0, 0, "user", 0)],
+        [(1, 0, 1, "user", 0), (1, 0, 2, "assistant", 1)],
+        [(1, 0, 3, "user", 0), (2, 0, 0, "user", 0), (2, 0, 1, "assistant", 0), (3, 0, 0, "assistant", 0)],
+    ]
+    stream = files(spark, tmp_path, parts, "session_id long, us long, event_id long, kind string, marks int")
+    log = live.live_messages(stream)
+    sessions = spark.createDataFrame(
+        [(1, "active", None), (2, "active", None), (3, "active", "open?")], "id long, status string, current_question string"
+    )
+    got = {tuple(r) for r in live.live_detectors(log, sessions).collect()}
+    assert got == {("double_user", 1, 1), ("no_reply", 1, 3), ("nothing_asked", 2, 1)}
 
 
 def test_payments_stay_single_over_batches(spark, tmp_path):
