@@ -16,6 +16,7 @@ from runlens.registry import (
     TOOLS,
     steps_table,
 )
+from runlens.session import settle
 
 
 def required_steps(sessions: DataFrame) -> DataFrame:
@@ -154,7 +155,8 @@ def step_progression(
         .when(F.col("pos").isNull(), "unknown_step")
         .when(F.col("bytes") > max_artifact, "too_large")
     )
-    placed = placed.withColumn("refusal", refusal)
+    # what follows needs sizes and places only, so the texts behind ``bytes`` are read this once
+    placed = settle(placed.withColumn("refusal", refusal))
     heavy = (
         placed.filter("refusal is null")
         .groupBy("session_id", "pos")
@@ -181,10 +183,8 @@ def _light_progression(placed: DataFrame) -> DataFrame:
     longest = max(len(steps) for steps in PIPELINES.values())
     for pos in range(longest):
         ready = f"refusal is null and pos = {pos}" + (f" and done{pos - 1} = 1" if pos else "")
-        rows = rows.scan(**{f"done{pos}": running_max(f"if({ready}, 1, 0)", before=True)}).map(
-            lambda df, c=f"done{pos}": df.withColumn(c, F.coalesce(c, F.lit(0)))
-        )
-    at = " + ".join(f"done{pos}" for pos in range(longest))
+        rows = rows.scan(**{f"done{pos}": running_max(f"if({ready}, 1, 0)", before=True)})
+    at = " + ".join(f"coalesce(done{pos}, 0)" for pos in range(longest))
     outcome = F.expr(
         "case when refusal is not null then refusal when at < steps and pos > at then 'skip_ahead' "
         "when pos = at then 'advanced' else 'overwritten' end"

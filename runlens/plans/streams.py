@@ -13,14 +13,15 @@ from runlens.plans.query import Catalog, Source
 from runlens.plans.rules_sql import marks
 from runlens.plans.telemetry import catalog as telemetry
 from runlens.plans.telemetry import FLAGGED, windows
-from runlens.plans.views import VIEWS, duck
+from runlens.plans.views import TABLES, VIEWS, duck
 from runlens.streaming import live
 
 catalog = Catalog()
 
 
 def stream(s: Source, view: str):
-    return VIEWS[view].over(live.table_stream(s.spark, s.sf_dir, VIEWS[view].source))
+    source = VIEWS[view].source
+    return VIEWS[view].over(live.table_stream(s.spark, s.sf_dir, source, TABLES[source]))
 
 
 @catalog.add("stream_append_messages", dialogue.oracles["append_messages"])

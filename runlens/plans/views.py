@@ -11,7 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["events", "conversations", "documents", "labels", "pages", "benchmark"]
+# The schemas of the tables the views read, stated so that no job has to look them up.
+TABLES = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
 # from the parts of the local time, so that the session's time zone plays no role
 SPARK_US = (
     "(unix_date(to_date(ts)) * 86400000000L + (hour(ts) * 60L + minute(ts)) * 60000000L "
@@ -343,7 +348,7 @@ VIEWS: dict[str, View] = {
 }
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -21,9 +21,8 @@ from runlens.session import fresh_path
 FILES_PER_TRIGGER = 64
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The files of a table as a stream, in the schema they have."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+def table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The files of a table as a stream."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
