@@ -20,7 +20,8 @@ QUESTION_MARKS = "？؟⁇︖﹖"
 WORD = r"\p{L}\p{N}_"
 LIST_MARK = r"(?dmU)(?:^\s*|\s)(\d+[.)]|[-*•])\s+"
 SENTENCE_END = r"(?U)[.!?]+(?:\s|$)"
-ONE_QUESTION = r"([^.!?\n]{3,}+\?)"
+# only at the start of a sentence: a later start could not match either, and long sentences stay linear
+ONE_QUESTION = r"(?<![^.!?\n])([^.!?\n]{3,}+\?)"
 REQUESTS = "расскажи|опиши|назови|перечисли|укажи|уточни|дай|напиши|поясни|объясни|сформулируй|ответь"
 IMPERATIVE = rf"(?dimuU)(?:^|[\n;]|\d+[.)]\s*|[-*•]\s*)\s*({REQUESTS})(?![{WORD}])"
 SENSITIVE = "token|secret|password|api[_-]?key|authorization|dsn"
@@ -31,8 +32,8 @@ MULTI_ASK = (
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends. Runs inside the text are passed over once."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def blank(text: Column) -> Column:

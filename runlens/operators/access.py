@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.text import strip
 from runlens.registry import FINISH_MARKER, PIPELINES, labels_table
 
 
 def parse_id_list(df: DataFrame, column: str) -> DataFrame:
     """Distinct ids of a comma-separated column; chunks that are not plain ASCII digits are dropped."""
-    chunks = df.select(F.explode(F.split(column, ",")).alias("chunk")).select(F.trim("chunk").alias("chunk"))
+    chunks = df.select(F.explode(F.split(column, ",")).alias("chunk")).select(strip(F.col("chunk")).alias("chunk"))
     numbers = chunks.filter(F.col("chunk").rlike("^[0-9]+$"))
     return numbers.select(F.col("chunk").try_cast("bigint").alias("user_id")).filter("user_id is not null").distinct()
 

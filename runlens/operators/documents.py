@@ -71,7 +71,7 @@ def assemble_spec(
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "block"))), lambda b: b["block"]), "\n\n"
     )
-    whole = F.concat(F.regexp_replace(joined, r"(?U)\s+$", ""), F.lit("\n"))
+    whole = F.concat(F.regexp_replace(joined, r"(?U)(?<!\s)\s++$", ""), F.lit("\n"))
     return blocks.groupBy("session_id", "part").agg(whole.alias("spec"))
 
 
@@ -169,6 +169,7 @@ def chunk_documents(documents: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame
             rows = [
                 (doc_id, no, chunk)
                 for doc_id, text in zip(batch["doc_id"], batch["text"])
+                if text is not None
                 for no, chunk in enumerate(chunks_of(text, limit))
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])

@@ -61,8 +61,7 @@ def fold_rows(
             yield pd.DataFrame([(*held, json.dumps(state))], columns=[*names, *columns, STATE])
 
     def fold(rows: DataFrame) -> DataFrame:
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = rows.repartition(parts, *key).sortWithinPartitions(*names)
+        placed = rows.repartition(*key).sortWithinPartitions(*names)
         return placed.mapInPandas(run, schema)
 
     fresh = F.lit(None).cast("string")

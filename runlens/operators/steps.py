@@ -314,7 +314,7 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         "turn_id",
         "name",
         "reply",
-        fine.alias("fine"),
+        F.coalesce(fine, F.lit(False)).alias("fine"),
         text("step_id").alias("step_id"),
         text("version").alias("version"),
         text("verdict").alias("said"),
