@@ -61,12 +61,19 @@ def list_like(text: Column) -> Column:
     return text.rlike(LIST_MARK) | (count_of(text, ";") >= 2)
 
 
-def question_verdict(text: Column) -> Column:
+def cleaned(text: Column) -> Column:
+    """What the text rules judge: one kind of question mark, no white space at the ends, '' for null.
+
+    The rules take a cleaned column, so that several of them share one cleaning.
+    """
+    return strip(normalize_marks(text))
+
+
+def question_verdict(t: Column) -> Column:
     """The first rule a question breaks, or 'ok': exactly one short question and no list."""
-    t = strip(normalize_marks(text))
     marks = count_of(t, "?")
     return (
-        F.when(blank(text), "empty")
+        F.when(t == "", "empty")
         .when(F.char_length(t) > MAX_QUESTION, "too_long")
         .when(marks == 0, "no_question")
         .when(marks > 1, "several_questions")
@@ -76,22 +83,19 @@ def question_verdict(text: Column) -> Column:
     )
 
 
-def prose_verdict(text: Column) -> Column:
+def prose_verdict(t: Column) -> Column:
     """Prose asks nothing: no question mark and fewer than two requests. Lists are content."""
-    t = strip(normalize_marks(text))
     return (
-        F.when(t == "", "ok")
-        .when(F.contains(t, F.lit("?")), "question_in_prose")
+        F.when(F.contains(t, F.lit("?")), "question_in_prose")
         .when(F.regexp_count(t, F.lit(IMPERATIVE)) >= 2, "request_dump")
         .otherwise("ok")
     )
 
 
-def preamble_verdict(text: Column) -> Column:
-    t = strip(normalize_marks(text))
+def preamble_verdict(t: Column) -> Column:
+    """A lead-in may be missing; it is short and asks nothing."""
     return (
-        F.when(blank(text), "ok")
-        .when(F.char_length(t) > MAX_PREAMBLE, "too_long")
+        F.when(F.char_length(t) > MAX_PREAMBLE, "too_long")
         .when(F.contains(t, F.lit("?")), "question_in_preamble")
         .when(sentences(t) > MAX_PREAMBLE_SENTENCES, "too_many_sentences")
         .otherwise("ok")
@@ -104,10 +108,10 @@ def rendered(preamble: Column, question: Column) -> Column:
     return F.when(blank(preamble), strip(question)).otherwise(F.concat_ws("\n\n", lead, strip(question)))
 
 
-def rendered_verdict(text: Column) -> Column:
-    t = strip(normalize_marks(text))
+def rendered_verdict(t: Column) -> Column:
+    """The whole message the reader gets holds exactly one question."""
     return (
-        F.when(blank(text), "empty")
+        F.when(t == "", "empty")
         .when(F.char_length(t) > MAX_RENDERED, "too_long")
         .when(count_of(t, "?") != 1, "not_one_question")
         .otherwise("ok")

@@ -103,14 +103,14 @@ def turn_rollup(pieces: DataFrame) -> DataFrame:
 
 def question_lint(messages: DataFrame) -> DataFrame:
     """Every message under the four text rules."""
-    text = F.col("text")
-    return messages.withColumns(
+    t = F.col("text")
+    return messages.withColumn("text", rules.cleaned(t)).withColumns(
         {
-            "question": rules.question_verdict(text),
-            "prose": rules.prose_verdict(text),
-            "preamble": rules.preamble_verdict(text),
-            "rendered": rules.rendered_verdict(text),
-            "marks": rules.question_marks(text).cast("bigint"),
+            "question": rules.question_verdict(t),
+            "prose": rules.prose_verdict(t),
+            "preamble": rules.preamble_verdict(t),
+            "rendered": rules.rendered_verdict(t),
+            "marks": rules.count_of(t, "?").cast("bigint"),
         }
     ).drop("text")
 

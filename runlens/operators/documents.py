@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
 from runlens.operators.steps import last_finished
-from runlens.registry import steps_table
+from runlens.registry import PIPELINES, steps_table
 
 DECISIONS_PER_PART = 1000
 """Decisions in one part of a document. Steps and the first thousand decisions are part 0."""
@@ -28,8 +28,8 @@ def assemble_spec(
     """One markdown document per run: title, steps in pipeline order, then the decisions.
 
     artifacts: the current one per session and step. A row is one part; a run with more than a thousand
-    decisions has several, which give the whole document when joined by a line end. Groups are bounded by the
-    size caps of artifacts and decisions.
+    decisions has several, which give the whole document when joined by a line end. Groups are bounded: a run
+    has one artifact per step of the registry, and decision numbers are unique in a run.
     """
     runs = sessions.select(F.col("id").alias("session_id"), "slug", "version")
     before, after = made_by.split("{version}")
@@ -39,8 +39,9 @@ def assemble_spec(
         F.concat(F.lit("# "), "slug", F.lit(f" — Product Spec\n\n{before}"), "version", F.lit(after)).alias("block"),
     )
     steps = F.broadcast(steps_table(sessions.sparkSession))  # one row per step of the registry
+    known = sorted({step[0] for pipeline in PIPELINES.values() for step in pipeline})
     bodies = (
-        artifacts.filter("markdown <> ''")
+        artifacts.filter((F.col("markdown") != "") & F.col("step_id").isin(known))
         .join(runs.select("session_id", "version"), "session_id")
         .join(steps, ["version", "step_id"])
         .select(

@@ -291,9 +291,9 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
     preamble = F.when(F.col("verdict") != "type_preamble", text("preamble"))
     shown = rules.rendered(preamble, question)
     asks_well = (
-        (rules.preamble_verdict(preamble) == "ok")
-        & (rules.rendered_verdict(shown) == "ok")
-        & (rules.question_verdict(question) == "ok")
+        (rules.preamble_verdict(rules.cleaned(preamble)) == "ok")
+        & (rules.rendered_verdict(rules.cleaned(shown)) == "ok")
+        & (rules.question_verdict(rules.cleaned(question)) == "ok")
     )
     # an unknown step or version is refused by the run, not by the argument check
     # and a lead-in that is not a string counts as none

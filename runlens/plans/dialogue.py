@@ -168,7 +168,7 @@ select session_id, id, shown, {sql.rendered('t')} as verdict from n"""))
 def _(s: Source):
     shown = rules.rendered(F.col("preamble"), F.col("question"))
     return s.rendered.select("session_id", "id", shown.alias("shown")).withColumn(
-        "verdict", rules.rendered_verdict(F.col("shown"))
+        "verdict", rules.rendered_verdict(rules.cleaned(F.col("shown")))
     )
 
 

@@ -63,6 +63,15 @@ def write_specs(specs: DataFrame, path: str) -> None:
     specs.write.mode("overwrite").parquet(path)
 
 
+def write_spec_texts(specs: DataFrame, path: str) -> None:
+    """Documents as text files, a folder per file name: for the runs somebody wants to read."""
+    # the writer ends every row with a line end itself
+    text = F.regexp_replace("spec", r"\n\z", "")
+    specs.select("file_name", text.alias("value")).write.partitionBy(
+        "file_name"
+    ).text(path)
+
+
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(
         "tg_user_id long, session_id long, part long, file_name string, spec string"

@@ -7,6 +7,10 @@ from runlens.functions import text as rules
 from runlens.operators import dialogue, documents
 
 
+def judged(rule):
+    return lambda t: rule(rules.cleaned(t))
+
+
 def value(spark, expr_of, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     return [r[1] for r in sorted(df.select("i", expr_of(F.col("t"))).collect())]
@@ -14,7 +18,7 @@ def value(spark, expr_of, *texts):
 
 def test_question_rules(spark):
     got = value(
-        spark, rules.question_verdict,
+        spark, judged(rules.question_verdict),
         "Кто страдает?", "Кто? Какая боль?", "Кто？ Что？ Где？", "Ответь: 1) кто 2) что?", "А. Б. В. Г?", None, "  ",
         "Опиши боль", "x" * 400 + "?", "раз; два; три?", "Кто платит？",
     )
@@ -24,7 +28,7 @@ def test_question_rules(spark):
 
 def test_prose_rules(spark):
     got = value(
-        spark, rules.prose_verdict,
+        spark, judged(rules.prose_verdict),
         "Теперь:\n1. Расскажи про X\n2. Опиши Y", "Отлично, зафиксировал. Идём дальше.", "Как дела？", None,
         "- поток предсказуем\n- команда мала", "Дай X; уточни Y", "РАССКАЖИ про X", "Дайджест\nНазовите",
     )
@@ -32,9 +36,9 @@ def test_prose_rules(spark):
 
 
 def test_preamble_and_rendered(spark):
-    assert value(spark, rules.preamble_verdict, "Ок.", "Что?", "а. " * 13, "б" * 1201, "") == [
+    assert value(spark, judged(rules.preamble_verdict), "Ок.", "Что?", "а. " * 13, "б" * 1201, "") == [
         "ok", "question_in_preamble", "too_many_sentences", "too_long", "ok"]
-    assert value(spark, rules.rendered_verdict, "Ок.\n\nЧто?", "Что? Кто?", "", "ж" * 1800 + "?", "нет") == [
+    assert value(spark, judged(rules.rendered_verdict), "Ок.\n\nЧто?", "Что? Кто?", "", "ж" * 1800 + "?", "нет") == [
         "ok", "not_one_question", "empty", "too_long", "not_one_question"]
 
 
@@ -91,6 +95,27 @@ def test_short_text_is_untouched(spark):
     assert got[0] == (1, 0, "<b>open") and [len(r[2]) for r in got[1:]] == [4048, 952]
 
 
+def test_marked_up_documents_survive_chunking(spark):
+    import re
+
+    import runlens.plans.steps  # noqa: F401  (its views)
+
+    from runlens.plans.query import Source
+
+    marked = Source(spark, "/root/testdata/sf0.001").markdown
+    marked = marked.select("doc_id", rules.md_to_html(F.col("text")).alias("text"))
+    whole = {r.doc_id: r.text for r in marked.collect()}
+    parts = {}
+    for r in documents.chunk_documents(marked).orderBy("doc_id", "chunk_no").collect():
+        assert len(r.chunk) <= 4096
+        for tag in ("b", "i", "code"):
+            assert r.chunk.count(f"<{tag}>") == r.chunk.count(f"</{tag}>") or len(whole[r.doc_id]) <= 4096
+        parts.setdefault(r.doc_id, []).append(r.chunk)
+    bare = lambda s: re.sub(r"</?(b|i|code)>|\n", "", s)
+    assert set(parts) == set(whole)
+    assert all(bare("".join(parts[d])) == bare(whole[d]) for d in whole)
+
+
 def test_redaction(spark):
     event = '{"message": "boom 123:abc", "extra": [{"bot_token": "123:abc", "api-key": "123", "caption": "hi", "n": 1}]}'
     df = spark.createDataFrame([(event,), (None,)], "event string")

@@ -155,3 +155,42 @@ def test_time_zone_plays_no_role(spark):
         assert job.run_events.agg(F.sum("us")).first()[0] == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_specs_as_text_files(spark, tmp_path):
+    from runlens.sources.workspace import write_spec_texts
+
+    specs = spark.createDataFrame([(1, 0, "a-spec.md", "# a\n\nend\n")], "session_id long, part long, file_name string, spec string")
+    write_spec_texts(specs, str(tmp_path / "out"))
+    (found,) = (tmp_path / "out").glob("file_name=a-spec.md/*.txt")
+    assert found.read_text(encoding="utf-8") == "# a\n\nend\n"
+
+
+def test_replay_of_a_whole_run(spark):
+    import json
+
+    from runlens.operators.steps import tool_replay
+
+    calls = [
+        (1, "ask_question", {"question": "Что важнее?", "options": ["скорость", "цена"]}, "начнём"),
+        (1, "save_artifact", {"step_id": "L1", "markdown": "x"}, "начнём"),  # after a question: skipped
+        (2, "save_artifact", {"step_id": "L1", "markdown": "x"}, "Скорость!"),  # not assessed yet: gated
+        (2, "assess_answer", {"verdict": "offtopic"}, "Скорость!"),  # the option decides
+        (2, "save_artifact", {"step_id": "L2", "markdown": "x"}, "Скорость!"),  # ahead
+        (2, "save_artifact", {"step_id": "L1", "markdown": "x"}, "Скорость!"),
+        (2, "set_version", {"version": "full"}, "Скорость!"),  # has an artifact
+        (2, "finish", {}, "Скорость!"),  # not complete
+        (3, "save_artifact", {"step_id": "L2", "markdown": "я" * 10_001}, "дальше"),  # too large
+        (3, "save_artifact", {"step_id": "L2", "markdown": "y"}, "дальше"),
+        (3, "save_artifact", {"step_id": "L3", "markdown": "y"}, "дальше"),
+        (3, "save_artifact", {"step_id": "L4", "markdown": "y"}, "дальше"),
+        (3, "create_adr", {"title": "t", "markdown": "m"}, "дальше"),
+        (3, "set_product_name", {"name": "AI-рекрутер"}, "дальше"),
+        (3, "assess_answer", {"verdict": "partial"}, "скорость"),  # nothing open: no option counts
+        (3, "finish", {}, "дальше"),
+    ]
+    rows = [(7, turn, i, name, json.dumps(args), reply) for i, (turn, name, args, reply) in enumerate(calls)]
+    df = spark.createDataFrame(rows, "session_id long, turn_id long, seq long, name string, args string, reply string")
+    (end,) = tool_replay(df).collect()
+    assert (end.version, end.status, end.current_step, end.artifacts, end.adrs) == ("lite", "finished", "_finish", 4, 1)
+    assert (end.slug, end.verdict, end.open, end.spent) == ("ai-рекрутер", "partial", False, 1)
