@@ -8,7 +8,7 @@ checkpoint folder, starts the next one. All hot keys advance together.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -23,22 +23,11 @@ Step = Callable[[dict, Any], tuple]
 """(state, row) -> the row's results; changes the state, which must stay small and JSON-shaped."""
 
 
-def fold_rows(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    start: Callable[[], dict],
-    step: Step,
-    results: str,
-    bound: DataFrame | None = None,
-) -> DataFrame:
-    """``key`` and ``order`` of each row with the ``results`` (a DDL list) of the step.
-
-    ``bound``: see OrderedRows.of.
-    """
-    key, order = list(key), list(order)
-    names = [*key, *order]
-    fields = dict(df.dtypes)
+def fold_rows(rows: OrderedRows, start: Callable[[], dict], step: Step, results: str) -> DataFrame:
+    """Key and order of each row with the ``results`` (a DDL list) of the step."""
+    key = rows.key
+    names = [*key, *rows.order]
+    fields = dict(rows.usual.dtypes)
     schema = ", ".join(f"`{n}` {fields[n]}" for n in names) + f", {results}, {STATE} string"
     columns = [part.split()[0] for part in results.split(",")]
 
@@ -60,26 +49,27 @@ def fold_rows(
         if held is not None:
             yield pd.DataFrame([(*held, json.dumps(state))], columns=[*names, *columns, STATE])
 
-    def fold(rows: DataFrame) -> DataFrame:
-        placed = rows.repartition(*key).sortWithinPartitions(*names)
+    def fold(part: DataFrame) -> DataFrame:
+        placed = part.repartition(*key).sortWithinPartitions(*names)
         return placed.mapInPandas(run, schema)
 
     fresh = F.lit(None).cast("string")
-    rows = OrderedRows.of(df, key, order, bound)
     done = fold(rows.usual.withColumn(STATE, fresh)).drop(STATE)
     if rows.hot is None:
         return done
     # the r-th segment of every hot key is folded in round r; one row per hot key in all tables below
     first = rows.hot.groupBy(*key).agg(F.min(SEGMENT).alias("_first"))
     hot = rows.hot.join(F.broadcast(first), key).withColumn("_round", F.col(SEGMENT) - F.col("_first"))
-    rounds = hot.agg(F.max("_round")).first()[0] + 1
+    rounds = hot.agg(F.coalesce(F.max("_round") + 1, F.lit(0))).first()[0]
     hot = hot.drop(SEGMENT, "_first")
     states = None
     for now in range(rounds):
         part = hot.filter(F.col("_round") == now).drop("_round")
         part = part.withColumn(STATE, fresh) if states is None else part.join(F.broadcast(states), key, "left")
         folded = settle(fold(part))
-        # a key's segments follow each other, so the states of this round are all the next one needs
-        states = folded.filter(F.col(STATE).isNotNull()).select(*key, STATE)
+        ended = folded.filter(F.col(STATE).isNotNull()).select(*key, STATE)
+        if states is not None:  # a key without rows in this round keeps its state
+            ended = ended.unionByName(states.join(F.broadcast(ended.select(*key)), key, "left_anti"))
+        states = settle(ended)
         done = done.unionByName(folded.drop(STATE))
     return done

@@ -166,11 +166,10 @@ def step_progression(
         .filter(F.col("most") > max_session)
         .select("session_id")
     )
-    light = _light_progression(placed.join(heavy, "session_id", "left_anti"))
+    rows = OrderedRows.of(placed, ["session_id"], ["write_no"]).attach(heavy.withColumn("heavy", F.lit(True)))
+    light = _light_progression(rows.map(lambda df: df.filter("heavy is null").drop("heavy")))
     exact = fold_rows(
-        placed.join(heavy, "session_id", "left_semi"),
-        ["session_id"],
-        ["write_no"],
+        rows.map(lambda df: df.filter("heavy").drop("heavy")),
         _nothing_saved,
         _capped_write(max_session),
         "outcome string, pointer bigint",
@@ -178,8 +177,7 @@ def step_progression(
     return light.unionByName(exact)
 
 
-def _light_progression(placed: DataFrame) -> DataFrame:
-    rows = OrderedRows.of(placed, ["session_id"], ["write_no"])
+def _light_progression(rows: OrderedRows) -> DataFrame:
     longest = max(len(steps) for steps in PIPELINES.values())
     for pos in range(longest):
         ready = f"refusal is null and pos = {pos}" + (f" and done{pos - 1} = 1" if pos else "")
@@ -326,11 +324,9 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
     offered = F.when((F.col("name") == "ask_question") & F.col("fine"), F.struct("options"))
     ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=calls).scan(offer=last_seen(offered, before=True))
     picked = rules.match_choice(F.col("reply"), F.col("offer.options")).isNotNull()
-    lean = ordered.df.withColumn("picked", picked).drop("reply", "options", "offer")
+    lean = ordered.map(lambda df: df.withColumn("picked", picked).drop("reply", "options", "offer"))
     trace = fold_rows(
         lean,
-        ["session_id"],
-        ["seq"],
         lambda: {
             "version": initial, "at": 0, "sizes": {}, "open": False, "spent": 0, "verdict": None, "adrs": 0,
             "slug": None, "status": "active", "turn": None, "judged": True, "stopped": False,
@@ -338,7 +334,6 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         _replay_step(budget),
         "version string, at bigint, status string, slug string, verdict string, open boolean, spent bigint, "
         "artifacts bigint, adrs bigint",
-        bound=calls,
     )
     names = ["version", "at", "status", "slug", "verdict", "open", "spent", "artifacts", "adrs"]
     last = F.max_by(F.struct(*names), "seq").alias("last")

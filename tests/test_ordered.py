@@ -69,7 +69,7 @@ def total_fold(df):
         state["n"] = state["n"] * 3 % 1009 + row.i
         return (state["n"],)
 
-    return sorted(map(tuple, fold_rows(df, ["k"], ["t", "i"], lambda: {"n": 7}, step, "n bigint").collect()))
+    return sorted(map(tuple, fold_rows(OrderedRows.of(df, ["k"], ["t", "i"]), lambda: {"n": 7}, step, "n bigint").collect()))
 
 
 def test_fold_of_hot_keys_goes_on_over_segments(spark):
@@ -84,6 +84,18 @@ def test_fold_of_hot_keys_goes_on_over_segments(spark):
     assert len(plain) == len(rows)
 
 
+def test_fold_keeps_states_over_removed_segments(hot):
+    df = hot.range(200).select(F.lit(1).alias("k"), F.col("id").alias("i"))
+    rows = OrderedRows.of(df, ["k"], ["i"]).map(lambda d: d.filter("i < 20 or i >= 150"))
+
+    def step(state, row):
+        state["n"] += 1
+        return (state["n"],)
+
+    got = fold_rows(rows, lambda: {"n": 0}, step, "n bigint")
+    assert [r.n for r in got.orderBy("i").collect()] == list(range(1, 71))
+
+
 def test_tail_limits_before_the_shuffle(spark):
     from runlens.operators.dialogue import transcript_tail
 
