@@ -1,14 +1,17 @@
-"""Ordered folds of a bounded state, for rules that running values cannot express.
+"""Ordered folds of a small state, for rules that running values cannot express.
 
 Rows are shuffled by key, sorted, and streamed through a small Python step: no group is ever held in memory.
-A hot key is folded segment after segment: each segment is one bounded task, and its end state, written to the
-checkpoint folder, starts the next one. All hot keys advance together.
+Hot keys come in bounded segments (see ``ordered``). If the state has few values, every segment is folded from
+each of them at once, the segments' ends are chained, and all segments run again from their now known start:
+two parallel passes. Otherwise a hot key is folded segment after segment, its state written to the checkpoint
+folder in between; all hot keys advance together.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -19,57 +22,131 @@ from runlens.operators.ordered import SEGMENT, OrderedRows
 from runlens.session import settle
 
 STATE = "fold_state"
-Step = Callable[[dict, Any], tuple]
-"""(state, row) -> the row's results; changes the state, which must stay small and JSON-shaped."""
+Step = Callable[[Any, Any], tuple[Any, tuple]]
+"""(state, row) -> (new state, the row's results). The state is small and JSON-shaped."""
 
 
-def fold_rows(rows: OrderedRows, start: Callable[[], dict], step: Step, results: str) -> DataFrame:
-    """Key and order of each row with the ``results`` (a DDL list) of the step."""
-    key = rows.key
-    names = [*key, *rows.order]
-    fields = dict(rows.usual.dtypes)
-    schema = ", ".join(f"`{n}` {fields[n]}" for n in names) + f", {results}, {STATE} string"
-    columns = [part.split()[0] for part in results.split(",")]
+def by_group(batches: Iterator[pd.DataFrame], group: Sequence[str]) -> Iterator[tuple[tuple, Any]]:
+    """(group, row) of sorted batches."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            yield tuple(getattr(row, name) for name in group), row
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def in_batches(rows: Iterator[tuple], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    yield pd.DataFrame(held, columns=columns)
+
+
+def ddl(df: DataFrame, names: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{name}` {kinds[name]}" for name in names)
+
+
+def sorted_groups(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.repartition(*group).sortWithinPartitions(*group, *order)
+
+
+def fold_groups(df: DataFrame, group: list[str], order: list[str], start: Any, step: Step, results: str) -> DataFrame:
+    """The results of each row; the last row of a group has the end state in ``STATE``, the others null.
+
+    A group starts from the JSON in its column ``STATE``, or from ``start`` where that is null.
+    """
+    names = [*group, *order]
+    columns = [*names, *[part.split()[0] for part in results.split(",")], STATE]
+    begin = json.dumps(start)
+
+    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         owner, state, held = None, None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                mine = tuple(getattr(row, k) for k in key)
-                if mine != owner:
-                    if held is not None:
-                        out.append((*held, json.dumps(state)))
-                    given = getattr(row, STATE)
-                    owner, state = mine, json.loads(given) if isinstance(given, str) else start()
-                elif held is not None:
-                    out.append((*held, None))
-                held = (*(getattr(row, n) for n in names), *step(state, row))
-            yield pd.DataFrame(out, columns=[*names, *columns, STATE])
+        for mine, row in by_group(batches, group):
+            if mine != owner:
+                if held is not None:
+                    yield (*held, json.dumps(state))
+                given = getattr(row, STATE)
+                owner, state = mine, json.loads(given if isinstance(given, str) else begin)
+            elif held is not None:
+                yield (*held, None)
+            state, found = step(state, row)
+            held = (*(getattr(row, name) for name in names), *found)
         if held is not None:
-            yield pd.DataFrame([(*held, json.dumps(state))], columns=[*names, *columns, STATE])
+            yield (*held, json.dumps(state))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return in_batches(traced(batches), columns)
+
+    return sorted_groups(df, group, order).mapInPandas(run, f"{ddl(df, names)}, {results}, {STATE} string")
+
+
+def segment_ends(df: DataFrame, group: list[str], order: list[str], states: list, step: Step) -> DataFrame:
+    """Where each segment leads from every possible state: (group, begin, end), a row per state."""
+    columns = [*group, "begin", "end"]
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        owner, reached = None, {}
+        for mine, row in by_group(batches, group):
+            if mine != owner:
+                yield from ((*owner, json.dumps(b), json.dumps(e)) for e, bs in reached.items() for b in bs)
+                owner, reached = mine, {state: [state] for state in states}
+            after: dict = {}
+            for state, begun in reached.items():  # starts that have met go on as one
+                after.setdefault(tuple(step(state, row)[0]), []).extend(begun)
+            reached = after
+        yield from ((*owner, json.dumps(b), json.dumps(e)) for e, bs in reached.items() for b in bs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return in_batches(ends(batches), columns)
+
+    return sorted_groups(df, group, order).mapInPandas(run, f"{ddl(df, group)}, begin string, end string")
+
+
+def segment_starts(ends: DataFrame, key: list[str], start: Any) -> DataFrame:
+    """The state each segment of a key starts from. A key has at most as many segments as partitions."""
+    begin = json.dumps(start)
+
+    def chain(table: pd.DataFrame) -> pd.DataFrame:
+        state, out = begin, []
+        for segment, part in table.sort_values(SEGMENT).groupby(SEGMENT, sort=True):
+            out.append((*part.iloc[0][key], segment, state))
+            state = part.loc[part["begin"] == state, "end"].iloc[0]
+        return pd.DataFrame(out, columns=[*key, SEGMENT, STATE])
+
+    return ends.groupBy(*key).applyInPandas(chain, f"{ddl(ends, [*key, SEGMENT])}, {STATE} string")
+
 
-    def fold(part: DataFrame) -> DataFrame:
-        placed = part.repartition(*key).sortWithinPartitions(*names)
-        return placed.mapInPandas(run, schema)
+def fold_rows(
+    rows: OrderedRows, start: Any, step: Step, results: str, states: list[tuple] | None = None
+) -> OrderedRows:
+    """Key and order of each row with the ``results`` (a DDL list) of the step.
 
+    ``states``: all values the state can take, if they are few; tuples of JSON values.
+    """
+    key, order = rows.key, rows.order
     fresh = F.lit(None).cast("string")
-    done = fold(rows.usual.withColumn(STATE, fresh)).drop(STATE)
+    usual = fold_groups(rows.usual.withColumn(STATE, fresh), key, order, start, step, results).drop(STATE)
     if rows.hot is None:
-        return done
-    # the r-th segment of every hot key is folded in round r; one row per hot key in all tables below
+        return OrderedRows(usual, None, key, order)
+    if states is not None:
+        group = [*key, SEGMENT]
+        begins = segment_starts(segment_ends(rows.hot, group, order, states, step), key, start)
+        hot = fold_groups(rows.hot.join(begins, group), group, order, start, step, results).drop(STATE)
+        return OrderedRows(usual, settle(hot), key, order)
+    # the r-th segment of every hot key is folded in round r; one row per hot key in the tables of states
     first = rows.hot.groupBy(*key).agg(F.min(SEGMENT).alias("_first"))
     hot = rows.hot.join(F.broadcast(first), key).withColumn("_round", F.col(SEGMENT) - F.col("_first"))
     rounds = hot.agg(F.coalesce(F.max("_round") + 1, F.lit(0))).first()[0]
-    hot = hot.drop(SEGMENT, "_first")
-    states = None
+    carried, folded = None, []
     for now in range(rounds):
-        part = hot.filter(F.col("_round") == now).drop("_round")
-        part = part.withColumn(STATE, fresh) if states is None else part.join(F.broadcast(states), key, "left")
-        folded = settle(fold(part))
-        ended = folded.filter(F.col(STATE).isNotNull()).select(*key, STATE)
-        if states is not None:  # a key without rows in this round keeps its state
-            ended = ended.unionByName(states.join(F.broadcast(ended.select(*key)), key, "left_anti"))
-        states = settle(ended)
-        done = done.unionByName(folded.drop(STATE))
-    return done
+        part = hot.filter(F.col("_round") == now)
+        part = part.withColumn(STATE, fresh) if carried is None else part.join(F.broadcast(carried), key, "left")
+        done = settle(fold_groups(part, key, [SEGMENT, *order], start, step, results))
+        folded.append(done.drop(STATE))
+        ended = done.filter(F.col(STATE).isNotNull()).select(*key, STATE)
+        if carried is not None:  # a key without rows in this round keeps its state
+            ended = ended.unionByName(carried.join(F.broadcast(ended.select(*key)), key, "left_anti"))
+        carried = settle(ended)
+    return OrderedRows(usual, reduce(DataFrame.unionByName, folded) if folded else None, key, order)

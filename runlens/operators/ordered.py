@@ -20,7 +20,7 @@ from runlens.session import settle
 HOT_KEY_ROWS = 1_000_000
 """A key with more rows than this is split. The setting runlens.hotKeyRows overrides it."""
 
-SEGMENT = "_segment"
+SEGMENT = "key_segment"
 
 
 @dataclass(frozen=True)

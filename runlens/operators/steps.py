@@ -142,6 +142,12 @@ def step_progression(
     the number of steps done so far, each a running maximum that needs the one before. Only sessions whose
     largest writes together exceed the session cap need the exact replay of sizes; they are folded.
     """
+    # what follows needs sizes and places only, so the texts behind ``bytes`` are read this once
+    return _progression(settle(_placed(writes, max_artifact)), max_session)
+
+
+def _placed(writes: DataFrame, max_artifact: int) -> DataFrame:
+    """Writes with their place in the version and the reason to refuse them whatever came before."""
     placed = writes.select(
         "session_id",
         "write_no",
@@ -155,8 +161,10 @@ def step_progression(
         .when(F.col("pos").isNull(), "unknown_step")
         .when(F.col("bytes") > max_artifact, "too_large")
     )
-    # what follows needs sizes and places only, so the texts behind ``bytes`` are read this once
-    placed = settle(placed.withColumn("refusal", refusal))
+    return placed.withColumn("refusal", refusal)
+
+
+def _progression(placed: DataFrame, max_session: int) -> DataFrame:
     heavy = (
         placed.filter("refusal is null")
         .groupBy("session_id", "pos")
@@ -170,10 +178,10 @@ def step_progression(
     light = _light_progression(rows.map(lambda df: df.filter("heavy is null").drop("heavy")))
     exact = fold_rows(
         rows.map(lambda df: df.filter("heavy").drop("heavy")),
-        _nothing_saved,
+        {"at": 0, "sizes": {}},
         _capped_write(max_session),
         "outcome string, pointer bigint",
-    )
+    ).df
     return light.unionByName(exact)
 
 
@@ -197,36 +205,29 @@ def _light_progression(rows: OrderedRows) -> DataFrame:
     ).df
 
 
-def _nothing_saved() -> dict:
-    return {"at": 0, "sizes": {}}
+def _capped_write(max_session: int):
+    """Replay of a write on {'at': pointer, 'sizes': bytes by position}, with the cap on their sum."""
 
+    def outcome(at: int, sizes: dict, row) -> str:
+        if isinstance(row.refusal, str):
+            return row.refusal
+        if at < row.steps and row.pos > at:
+            return "skip_ahead"
+        if sum(b for p, b in sizes.items() if p != str(int(row.pos))) + row.bytes > max_session:
+            return "session_full"
+        return "advanced" if row.pos == at else "overwritten"
 
-def _capped_write(max_session: int):
     def step(state: dict, row) -> tuple:
-        refusal = row.refusal if isinstance(row.refusal, str) else None
-        if refusal is None:
-            refusal, outcome = save(state, int(row.pos), int(row.bytes), int(row.steps), max_session)
-        else:
-            outcome = None
-        return refusal or outcome, state["at"]
+        at, sizes = state["at"], state["sizes"]
+        found = outcome(at, sizes, row)
+        if found in ("advanced", "overwritten"):
+            sizes = {**sizes, str(int(row.pos)): int(row.bytes)}
+            at += found == "advanced"
+        return {"at": at, "sizes": sizes}, (found, at)
 
     return step
 
 
-def save(state: dict, pos: int, size: int, steps: int, max_session: int) -> tuple[str | None, str | None]:
-    """One admissible write on {'at': pointer, 'sizes': bytes by position}: (refusal, outcome)."""
-    at, sizes = state["at"], state["sizes"]
-    if at < steps and pos > at:
-        return "skip_ahead", None
-    if sum(b for p, b in sizes.items() if p != str(pos)) + size > max_session:
-        return "session_full", None
-    sizes[str(pos)] = size
-    if pos == at:
-        state["at"] = at + 1
-        return None, "advanced"
-    return None, "overwritten"
-
-
 def version_change(calls: DataFrame, initial: str = "lite", max_artifact: int = MAX_ARTIFACT_BYTES) -> DataFrame:
     """Whether each change of version is allowed: only while the run has no artifact.
 
@@ -280,8 +281,8 @@ def tool_args_audit(calls: DataFrame, tools: dict = TOOLS, keep: str | None = No
 def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> DataFrame:
     """The end state of each session after its tool calls ran, with all guards.
 
-    calls: session_id, turn_id, seq, name, args (JSON), reply (the human's text the turn answers). All text
-    rules are column expressions; the fold carries only the small state of a run.
+    calls: session_id, turn_id, seq, name, args (JSON), reply (the human's text the turn answers). Text rules
+    are column expressions, a small fold tells which calls run, and running values give the rest.
     """
     text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")
     checked = tool_args_audit(calls, keep="_args")
@@ -322,73 +323,109 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         rules.is_dont_know(F.col("reply")).alias("unknown"),
     )
     offered = F.when((F.col("name") == "ask_question") & F.col("fine"), F.struct("options"))
-    ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=calls).scan(offer=last_seen(offered, before=True))
+    ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=calls)
+    ordered = ordered.scan(offer=last_seen(offered, before=True), last_turn=last_seen("turn_id", before=True))
     picked = rules.match_choice(F.col("reply"), F.col("offer.options")).isNotNull()
-    lean = ordered.map(lambda df: df.withColumn("picked", picked).drop("reply", "options", "offer"))
-    trace = fold_rows(
-        lean,
-        lambda: {
-            "version": initial, "at": 0, "sizes": {}, "open": False, "spent": 0, "verdict": None, "adrs": 0,
-            "slug": None, "status": "active", "turn": None, "judged": True, "stopped": False,
-        },
-        _replay_step(budget),
-        "version string, at bigint, status string, slug string, verdict string, open boolean, spent bigint, "
-        "artifacts bigint, adrs bigint",
+    ordered = ordered.map(
+        lambda df: df.withColumns(
+            {"picked": picked, "new_turn": F.expr("not (turn_id <=> last_turn)")}
+        ).drop("reply", "options", "offer", "turn_id", "last_turn")
+    )
+    return _end_states(_guarded(ordered, budget), initial)
+
+
+def _guarded(rows: OrderedRows, budget: int) -> OrderedRows:
+    """The calls with whether they run, and the open question and spent clarifications around them.
+
+    The state has a handful of values (open, spent, judged, stopped), so hot keys fold in parallel.
+    """
+    passed = ["name", "step_id", "version", "said", "slug", "bytes"]
+
+    def step(state, row) -> tuple:
+        asked, spent, judged, stopped = state
+        if row.new_turn:
+            judged, stopped = not asked, False
+        runs = bool(row.fine) and not stopped and (judged or row.name == "assess_answer")
+        before = asked
+        if runs and row.name == "ask_question":
+            asked, stopped = True, True
+        elif runs and row.name == "assess_answer":
+            judged = True
+            closes = row.unknown or (asked and row.picked) or row.said == "answer" or spent >= budget
+            asked, spent = (False, 0) if closes else (asked, spent + 1)
+        facts = (runs, before, asked, spent, *(getattr(row, name) for name in passed))
+        return (asked, spent, judged, stopped), facts
+
+    flags = (False, True)
+    states = [(a, n, j, s) for a in flags for n in range(budget + 1) for j in flags for s in flags]
+    results = (
+        "runs boolean, was_open boolean, open boolean, spent bigint, name string, step_id string, "
+        "version string, said string, slug string, bytes bigint"
+    )
+    return fold_rows(rows, (False, 0, True, False), step, results, states)
+
+
+def _end_states(rows: OrderedRows, initial: str) -> DataFrame:
+    """The end state per session of calls of which it is known whether they ran."""
+    first = F.create_map(*[F.lit(x) for v, steps in PIPELINES.items() for x in (v, steps[0][0])])
+    rows = rows.map(
+        lambda df: df.withColumns(
+            {
+                "writes": F.expr("runs and not was_open and name = 'save_artifact'"),
+                "pick": F.expr("if(runs and name = 'set_version', version, null)"),
+            }
+        )
+    )
+    # the version can change until its first step is saved
+    rows = rows.scan(now=last_seen("pick", before=True))
+    opens = (
+        F.col("writes")
+        & (F.col("bytes") <= MAX_ARTIFACT_BYTES)
+        & (F.col("step_id") == F.element_at(first, F.coalesce("now", F.lit(initial))))
+    )
+    rows = rows.map(lambda df: df.withColumn("opens", F.coalesce(opens, F.lit(False)).cast("bigint")))
+    rows = rows.scan(saved=running_sum("opens", before=True))
+    rows = rows.map(lambda df: df.withColumn("pick", F.expr("if(saved = 0, pick, null)")))
+    rows = rows.scan(held=last_seen("pick"))
+    traced = settle(rows.map(lambda df: df.withColumn("version", F.coalesce("held", F.lit(initial)))).df)
+
+    writes = traced.filter("writes").select(
+        "session_id", F.col("seq").alias("write_no"), "version", "step_id", "bytes", F.lit(False).alias("blocked")
+    )
+    written = _progression(_placed(writes, MAX_ARTIFACT_BYTES), MAX_SESSION_BYTES)
+    reached = written.groupBy("session_id").agg(
+        F.max("pointer").alias("at"),
+        F.min(F.struct(-F.col("pointer"), "write_no"))["write_no"].alias("reached_at"),
+    )
+    ran = lambda tool, value: F.max_by(
+        F.when(F.col("runs") & (F.col("name") == tool), F.col(value)),
+        F.when(F.col("runs") & (F.col("name") == tool), F.col("seq")),
+    )
+    ends = traced.groupBy("session_id").agg(
+        F.max_by(F.struct("version", "open", "spent"), "seq").alias("last"),
+        ran("assess_answer", "said").alias("verdict"),
+        ran("set_product_name", "slug").alias("slug"),
+        F.count_if(F.col("runs") & (F.col("name") == "create_adr")).alias("adrs"),
+        ran("finish", "seq").alias("finish_at"),
     )
-    names = ["version", "at", "status", "slug", "verdict", "open", "spent", "artifacts", "adrs"]
-    last = F.max_by(F.struct(*names), "seq").alias("last")
-    steps = F.create_map(
+    places = F.create_map(
         *[
             F.lit(x)
             for v, pipeline in PIPELINES.items()
-            for x in (v, [s[0] for s in pipeline] + [FINISH_MARKER])
+            for x in (v, F.array(*[F.lit(s[0]) for s in pipeline], F.lit(FINISH_MARKER)))
         ]
     )
+    complete = F.col("artifacts") >= version_size(F.col("version"))
     return (
-        trace.groupBy("session_id")
-        .agg(last)
-        .select("session_id", "last.*")
-        .withColumn("current_step", F.element_at(steps, F.col("version"))[F.col("at")])
-        .drop("at")
-    )
-
-
-def _replay_step(budget: int):
-    order = {version: [step[0] for step in steps] for version, steps in PIPELINES.items()}
-
-    def run(state: dict, row) -> None:
-        if row.turn_id != state["turn"]:
-            state.update(turn=int(row.turn_id), judged=not state["open"], stopped=False)
-        if state["stopped"] or (not state["judged"] and row.name != "assess_answer") or not row.fine:
-            return
-        steps = order[state["version"]]
-        if row.name == "save_artifact" and not state["open"] and row.step_id in steps:
-            if row.bytes <= MAX_ARTIFACT_BYTES:
-                save(state, steps.index(row.step_id), int(row.bytes), len(steps), MAX_SESSION_BYTES)
-        elif row.name == "set_version" and row.version in order and not state["sizes"]:
-            state.update(version=row.version, at=0)
-        elif row.name == "set_product_name":
-            state["slug"] = row.slug
-        elif row.name == "create_adr":
-            state["adrs"] += 1
-        elif row.name == "ask_question":
-            state.update(open=True, stopped=True)
-        elif row.name == "finish" and state["at"] >= len(steps):
-            state["status"] = "finished"
-        elif row.name == "assess_answer":
-            state.update(judged=True, verdict=row.said)
-            closes = row.unknown or (state["open"] and row.picked) or row.said == "answer"
-            if closes or state["spent"] >= budget:
-                state.update(open=False, spent=0)
-            else:
-                state["spent"] += 1
-
-    def step(state: dict, row) -> tuple:
-        run(state, row)
-        s = state
-        return (
-            s["version"], s["at"], s["status"], s["slug"], s["verdict"], s["open"], s["spent"],
-            len(s["sizes"]), s["adrs"],
+        ends.join(reached, "session_id", "left")
+        .select(
+            "session_id", "last.version", "last.open", "last.spent", "verdict", "slug", "adrs", "finish_at",
+            "reached_at", F.coalesce("at", F.lit(0)).cast("bigint").alias("artifacts"),
         )
-
-    return step
+        .withColumn("current_step", F.element_at(places, F.col("version"))[F.col("artifacts").cast("int")])
+        .withColumn(
+            "status",
+            F.when(complete & (F.col("finish_at") > F.col("reached_at")), "finished").otherwise("active"),
+        )
+        .drop("finish_at", "reached_at")
+    )

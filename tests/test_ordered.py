@@ -51,7 +51,7 @@ def test_split_scan(hot):
     rows, df = sample(hot, seed=2)
     ordered, got = scanned(df)
     assert ordered.hot is not None
-    spans = ordered.hot.filter("k = 0").select("_segment").distinct().count()
+    spans = ordered.hot.filter("k = 0").select("key_segment").distinct().count()
     assert spans > 1, "the hot key must span several partitions"
     assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in expected(rows)]
 
@@ -66,10 +66,11 @@ def test_attach_keeps_every_row(hot):
 
 def total_fold(df):
     def step(state, row):
-        state["n"] = state["n"] * 3 % 1009 + row.i
-        return (state["n"],)
+        n = state["n"] * 3 % 1009 + row.i
+        return {"n": n}, (n,)
 
-    return sorted(map(tuple, fold_rows(OrderedRows.of(df, ["k"], ["t", "i"]), lambda: {"n": 7}, step, "n bigint").collect()))
+    rows = OrderedRows.of(df, ["k"], ["t", "i"])
+    return sorted(map(tuple, fold_rows(rows, {"n": 7}, step, "n bigint").df.collect()))
 
 
 def test_fold_of_hot_keys_goes_on_over_segments(spark):
@@ -89,13 +90,34 @@ def test_fold_keeps_states_over_removed_segments(hot):
     rows = OrderedRows.of(df, ["k"], ["i"]).map(lambda d: d.filter("i < 20 or i >= 150"))
 
     def step(state, row):
-        state["n"] += 1
-        return (state["n"],)
+        return {"n": state["n"] + 1}, (state["n"] + 1,)
 
-    got = fold_rows(rows, lambda: {"n": 0}, step, "n bigint")
+    got = fold_rows(rows, {"n": 0}, step, "n bigint").df
     assert [r.n for r in got.orderBy("i").collect()] == list(range(1, 71))
 
 
+def test_finite_fold_runs_segments_apart(spark):
+    rows, df = sample(spark, seed=5)
+
+    def step(state, row):
+        a, b = state
+        after = ((a + row.i) % 5, not b) if row.i % 3 else (b * 2, a > 2)
+        return after, (after[0], after[1])
+
+    def run():
+        ordered = OrderedRows.of(df.drop("v"), ["k"], ["t", "i"])
+        states = [(a, b) for a in range(5) for b in (False, True)]
+        return sorted(map(tuple, fold_rows(ordered, (0, False), step, "a int, b boolean", states).df.collect()))
+
+    plain = run()
+    spark.conf.set("runlens.hotKeyRows", "12")
+    try:
+        assert run() == plain
+    finally:
+        spark.conf.unset("runlens.hotKeyRows")
+    assert len(plain) == len(rows)
+
+
 def test_tail_limits_before_the_shuffle(spark):
     from runlens.operators.dialogue import transcript_tail
 
