@@ -285,43 +285,51 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
     are column expressions, a small fold tells which calls run, and running values give the rest.
     """
     text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")
-    checked = tool_args_audit(calls, keep="_args")
-    question = text("question")
-    preamble = F.when(F.col("verdict") != "type_preamble", text("preamble"))
-    shown = rules.rendered(preamble, question)
-    asks_well = (
-        (rules.preamble_verdict(rules.cleaned(preamble)) == "ok")
-        & (rules.rendered_verdict(rules.cleaned(shown)) == "ok")
-        & (rules.question_verdict(rules.cleaned(question)) == "ok")
-    )
-    # an unknown step or version is refused by the run, not by the argument check
-    # and a lead-in that is not a string counts as none
-    sound = F.col("verdict").isin("ok", "type_preamble")
-    fine = (
-        F.when(F.col("name") == "ask_question", sound & asks_well)
-        .when(F.col("name") == "set_product_name", sound & (rules.product_name_verdict(text("name")) == "ok"))
-        .when(
-            F.col("name") == "create_adr",
-            sound & (text("title") != "") & (text("markdown") != "")
-            & (F.octet_length(text("markdown")) <= MAX_ARTIFACT_BYTES),
-        )
-        .otherwise(sound)
-    )
-    rows = checked.select(
+    asks, names, decides = (F.col("name") == n for n in ("ask_question", "set_product_name", "create_adr"))
+    # a lead-in that is not a string counts as none
+    lead = F.when(asks & (F.col("verdict") != "type_preamble"), text("preamble"))
+    rows = tool_args_audit(calls, keep="_args").select(
         "session_id",
         "seq",
         "turn_id",
         "name",
         "reply",
-        F.coalesce(fine, F.lit(False)).alias("fine"),
+        F.col("verdict").isin("ok", "type_preamble").alias("sound"),
         text("step_id").alias("step_id"),
         text("version").alias("version"),
         text("verdict").alias("said"),
-        rules.slug(text("name")).alias("slug"),
+        F.when(names, text("name")).alias("given"),
+        F.when(names, rules.slug(text("name"))).alias("slug"),
+        F.when(decides, text("title")).alias("title"),
         F.octet_length(text("markdown")).cast("bigint").alias("bytes"),
-        F.try_variant_get("_args", "$.options", "array<string>").alias("options"),
-        rules.is_dont_know(F.col("reply")).alias("unknown"),
+        F.when(asks, text("question")).alias("question"),
+        lead.alias("lead"),
+        F.when(asks, F.try_variant_get("_args", "$.options", "array<string>")).alias("options"),
+    )
+    # each text is cleaned once, in a column of its own, for the rules that read it
+    rows = rows.withColumns(
+        {
+            "shown": F.when(asks, rules.cleaned(rules.rendered(F.col("lead"), F.col("question")))),
+            "asked": F.when(asks, rules.cleaned(F.col("question"))),
+            "led": F.when(asks, rules.cleaned(F.col("lead"))),
+        }
+    )
+    asks_well = (
+        (rules.preamble_verdict(F.col("led")) == "ok")
+        & (rules.rendered_verdict(F.col("shown")) == "ok")
+        & (rules.question_verdict(F.col("asked")) == "ok")
+    )
+    fine = (
+        F.when(~F.col("sound"), False)
+        .when(asks, asks_well)
+        .when(names, rules.product_name_verdict(F.col("given")) == "ok")
+        .when(decides, (F.col("title") != "") & F.col("bytes").between(1, MAX_ARTIFACT_BYTES))
+        .otherwise(True)
     )
+    # an unknown step is refused by the run, not here
+    rows = rows.withColumns(
+        {"fine": F.coalesce(fine, F.lit(False)), "unknown": rules.is_dont_know(F.col("reply"))}
+    ).drop("sound", "given", "title", "question", "lead", "shown", "asked", "led")
     offered = F.when((F.col("name") == "ask_question") & F.col("fine"), F.struct("options"))
     ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=calls)
     ordered = ordered.scan(offer=last_seen(offered, before=True), last_turn=last_seen("turn_id", before=True))
