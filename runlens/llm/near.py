@@ -10,8 +10,9 @@ class at once; the rest works on one representative of each class.
 3. Survivors are verified on their full sets; only that makes a link.
 
 Round one verifies each text with the hub it shares most bands with, round two the other hubs of texts that are still
-apart, round three all pairs of members of a bucket that lie in different components. So no link that could join two
-components is left out, while the members of a joined group are never paired with one another.
+apart, round three all pairs of members of a bucket that lie in different components and that their sizes and the shingles
+no other open set has still allow. So no link that could join two components is left out, while the members of a joined
+group are never paired with one another.
 
 Defined cases: a text without words (or null) has an empty set and no link; a text with fewer words than a shingle is one
 shingle; a null id is linked with nothing and is its own, null component; rows that share an id and a set are one
@@ -199,6 +200,47 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(known, F.col(column) == F.col("_id"), "left").withColumn(name, F.coalesce("_component", column)).drop("_id", "_component")
 
 
+def lone_shingles(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep) -> rep, lone: how many shingles of its set are in no other of these sets."""
+    bits = bloom(reps, "rep")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_BYTES):
+            batch = batch.filter(pa.array(passing(bits, batch.column("doc_id").to_numpy().view(np.uint64))))
+            owner, shingles = shingle_sets(filled(batch.column("text")), size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(shingles.view(np.int64))], names=["rep", "shingle"])
+
+    every = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(listed, "rep long, shingle long").join(reps, "rep", "left_semi")
+    alone = every.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def across(members: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, rep, component) -> the pairs (a > b) of one bucket and two components that can still be links.
+
+    Two sets that share k shingles have at most n - lone of each in common, so of a set with n shingles only sets of
+    percent * n / 100 up to ((100 + percent) * (n - lone) - percent * n) / percent can be partners. The larger set looks for
+    the smaller by size class: a text of a large group that is far from all others meets none of them.
+    """
+    members = settled(members, "near-members")
+    split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    members = settled(members.join(split, "bucket", "left_semi"), "near-open")
+    reps = settled(members.select("rep").distinct(), "near-open-reps")
+    lone = lone_shingles(reps, docs, size)
+    sizes = settled(reps.join(signed.select("rep", F.col("n_shingles").alias("n")), "rep").join(lone, "rep", "left").select(
+        "rep", "n", (((100 + percent) * (F.col("n") - F.coalesce("lone", F.lit(0))) - percent * F.col("n")) / percent).alias("most")), "near-sizes")
+    sized = settled(members.join(sizes, "rep").where(F.col("most") * 100 >= F.col("n") * percent), "near-sized")
+    cell = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
+    low, high = F.col("n") * (percent / 100), F.least("n", "most")
+    x = sized.select("bucket", F.explode(F.sequence(cell(low) - 1, cell(high) + 1)).alias("cell"), F.col("rep").alias("x"), F.col("component").alias("cx"),
+                     F.col("n").alias("nx"), F.col("most").alias("mx"))
+    y = sized.select("bucket", cell(F.col("n")).alias("cell"), F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"))
+    fit = (F.col("cx") != F.col("cy")) & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (
+        F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
+    met = x.join(y, (x["bucket"] == y["bucket"]) & (x["cell"] == y["cell"]) & fit)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, set_a, set_b, component_id."""
     sketched = settled(sketches(docs, size), "near-sketches")
@@ -207,7 +249,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     # ids are spread evenly, sets are not
     signed = settled(
         sketched.join(groups.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-        .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("rep"), "signature"), "near-signed")
+        .dropDuplicates(["doc_id", *same]).select(F.col("doc_id").alias("rep"), "n_shingles", "signature"), "near-signed")
     buckets = settled(banded(signed), "near-buckets")
     hubs = settled(buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub"), "near-hubs")
     live = settled(buckets.join(hubs, "bucket"), "near-live")  # buckets with more than one member
@@ -217,9 +259,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     links = settled(verified(settled(surviving(first, signed, percent), "near-survivors"), docs, size, percent), "near-links")
     labels = components(links)
 
-    def joined(candidates: DataFrame, links: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    def joined(apart: DataFrame, links: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Candidates in different components, pruned and verified, added to the links."""
-        apart = _labelled(_labelled(candidates, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b")
         found = settled(surviving(settled(apart, f"near-{name}-apart"), signed, percent), f"near-{name}-survivors")
         if found.isEmpty():
             return links, labels
@@ -227,14 +268,11 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
         links = links.union(more)
         return links, components(links) if not more.isEmpty() else labels
 
-    links, labels = joined(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), links, labels, "second")
-    members = settled(_labelled(live.select("bucket", "rep"), "rep", labels, "component"), "near-members")
-    split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_members = settled(members.join(split, "bucket", "left_semi"), "near-open")
-    x = open_members.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    y = open_members.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "bucket").where("ca <> cb and a > b").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    links, labels = joined(rest, links, labels, "third")
+    others = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
+    others = _labelled(_labelled(others, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b")
+    links, labels = joined(others, links, labels, "second")
+    rest = across(_labelled(live.select("bucket", "rep"), "rep", labels, "component"), signed, docs, size, percent)
+    links, labels = joined(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), links, labels, "third")
     found = settled(_labelled(groups, "rep", labels, "component_id").drop("rep"), "near-components")
     named = found.select(*(F.col(c).alias(f"_{c}") for c in same), "component_id")
     return sketched.select("doc_id", *same).join(
