@@ -39,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre blockquote tr span b i em strong a u s small sub sup code q cite mark".split())
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre blockquote tr".split())
 DROPPED = frozenset(
     "script style noscript template head nav footer header aside form button select option textarea input label fieldset iframe object "
     "embed svg canvas audio video map dialog menu xmp noembed noframes title".split())
@@ -182,7 +182,7 @@ def blocks(tops: list[Element], removed: frozenset | set = frozenset()) -> list[
 
 
 def candidates(tops: list[Element]) -> list[tuple[int, str]]:
-    """Subtrees that could be template, with what their hash is taken of. In <article> and <main> those are containers."""
+    """Blocks that could be template, with what their hash is taken of. In <article> and <main> those are containers."""
     found: list[tuple[int, str]] = []
     for top in tops:
         every = top.name not in ("article", "main")
@@ -192,7 +192,7 @@ def candidates(tops: list[Element]) -> list[tuple[int, str]]:
             if e.dropped or e.name in VOID:
                 continue
             inner = [p for p in e.parts if isinstance(p, Element)]
-            if every or (e.name not in LEAF and e.name in BLOCK):
+            if e.name in BLOCK and (every or e.name not in LEAF):
                 text = "\n".join(blocks([e]))
                 if text:
                     found.append((e.place, f"{e.name}\n{text}"))
