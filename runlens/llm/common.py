@@ -22,6 +22,15 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed(docs: DataFrame, *needed) -> DataFrame:
+    """Each row as one column ``_row``, beside the columns that are needed: no name in the table can clash."""
+    return docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("_row"), *needed)
+
+
+def unpacked(names: list[str]) -> list:
+    return [F.col("_row").getField(name).alias(name) for name in names]
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there, and sizes are known."""
     path = fresh_path(df.sparkSession, name)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import settled
+from runlens.llm.common import packed, settled, unpacked
 
 LEAST = 0.5
 NOTICE = r"(?i)\b(licen[cs]ed?|copyright|SPDX-License-Identifier)\b"
@@ -102,7 +102,7 @@ def licensed(files: DataFrame, least: float = LEAST, templates: list[tuple[str,
     ``inherited_from`` is the directory whose license file counts, null where the license is the file's own or unknown.
     """
     kept = [c for c in files.columns if c not in ("own_license", "similarity", "license", "inherited_from")]
-    marked = files.select(*kept, notice_of(F.col("path"), F.col("text")).alias("_notice"), directory_of(F.col("path")).alias("_dir"))
+    marked = packed(files, notice_of(F.col("path"), F.col("text")).alias("_notice"), directory_of(F.col("path")).alias("_dir"))
     narrow = settled(files.select("path", notice_of(F.col("path"), F.col("text")).alias("notice"), directory_of(F.col("path")).alias("dir")), "license-notices")
     distinct = settled(narrow.where("notice is not null").groupBy("notice").agg(F.count(F.lit(1)).alias("copies")), "license-distinct")
     scores = settled(scored(distinct, templates, least), "license-scores")
@@ -120,7 +120,7 @@ def licensed(files: DataFrame, least: float = LEAST, templates: list[tuple[str,
         .select(F.col("dir").alias("_d"), F.col("near.holder").alias("_from"), F.col("near.given").alias("_given")), "license-directories")
     own = scores.select(F.col("notice").alias("_n"), F.col("license").alias("own_license"), "similarity")
     rows = marked.join(own, F.col("_notice") == F.col("_n"), "left").join(nearest, F.col("_dir") == F.col("_d"), "left")
-    return rows.select(*kept, "own_license", "similarity", F.coalesce("own_license", "_given").alias("license"),
+    return rows.select(*unpacked(kept), "own_license", "similarity", F.coalesce("own_license", "_given").alias("license"),
                        F.when(F.col("own_license").isNull(), F.col("_from")).alias("inherited_from"))
 
 

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WORD, settled
+from runlens.llm.common import WORD, packed, settled, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
@@ -123,8 +123,8 @@ def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS, m
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged."""
     names = docs.columns
     plan = repetition_plan(settled(sized(docs, seed).drop("doc_id"), "mixing-sizes"), seed, weights, max_epochs)
-    taken = with_repetitions(docs.select(*names, draw("_u", seed)), plan).where(F.col("_times") > 0)
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    taken = with_repetitions(packed(docs, "source", draw("_u", seed)), plan).where(F.col("_times") > 0)
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*unpacked(names))
 
 
 def mixing_report(docs: DataFrame, seed: int = SEED) -> DataFrame:

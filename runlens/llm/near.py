@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import bloom, filled, mixed, passing, settled, slices, span_hashes, word_hashes, words_of
+from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, unpacked, word_hashes, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -288,4 +288,5 @@ def near_report(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataF
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: the smallest id of each component, those with a null id, columns unchanged."""
     gone = classes(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(settled(gone, "near-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = packed(docs, "doc_id").join(settled(gone, "near-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return rows.select(*unpacked(docs.columns))

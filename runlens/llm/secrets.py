@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.llm.common import packed, unpacked
+
 RATE = 0.05  # share of false discoveries
 BATTERY = 0.001  # level of the tests, shared by the three
 BINS = 20  # histogram cells for each power of ten
@@ -158,9 +160,9 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     base = F.concat(*(tagged(spans, rank, kind) for rank, (kind, spans) in enumerate(base_spans(text).items())))
-    rows = docs.select(*names, base.alias("_base"), tagged(discovered(text, cells), len(KINDS), "random").alias("_more"))
+    rows = packed(docs, base.alias("_base"), tagged(discovered(text, cells), len(KINDS), "random").alias("_more"))
     fresh = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(*names, F.array_sort(F.concat("_base", fresh)).alias("secret_spans"))
+    return rows.select(*unpacked(names), F.array_sort(F.concat("_base", fresh)).alias("secret_spans"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import bloom, filled, mixed, passing, settled, slices, span_hashes, text_hashes, words_of
+from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, text_hashes, unpacked, words_of
 
 WINDOW = 8
 LITERALS = 5
@@ -143,5 +143,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, columns unchanged."""
     bad = settled(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), "_text_key"), "contaminated")
-    same: Column = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_text_key"))
-    return docs.join(bad, same, "left_anti")
+    same: Column = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_own_key") == F.col("_text_key"))
+    rows = packed(docs, "doc_id", F.xxhash64("text").alias("_own_key"))
+    return rows.join(bad, same, "left_anti").select(*unpacked(docs.columns))
