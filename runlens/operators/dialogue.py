@@ -9,8 +9,6 @@ from runlens.functions import text as rules
 from runlens.operators.ordered import OrderedRows, last_seen, running_sum
 from runlens.registry import CLARIFY_BUDGET, HISTORY_ROWS
 
-ROLLUP_PIECES = 1000
-"""A turn's text is joined in parts of this many pieces, so no row grows without bound."""
 
 
 def transcript_tail(messages: DataFrame, limit: int = HISTORY_ROWS) -> DataFrame:
@@ -88,17 +86,15 @@ def unanswered_tail(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def turn_rollup(pieces: DataFrame) -> DataFrame:
-    """All texts of a turn joined by blank lines; turns without text are dropped.
+    """All texts of a turn joined by blank lines, one row a turn; turns without text are dropped.
 
-    A turn of more than ``ROLLUP_PIECES`` pieces gives several parts; joined in order they are the whole text.
+    A turn has a few rounds, so its pieces are few; however many there are, they give one row.
     """
-    joined = (
+    return (
         pieces.filter(~rules.blank(F.col("text")))
-        .withColumn("part", F.expr(f"seq div {ROLLUP_PIECES}"))
-        .groupBy("session_id", "turn_id", "part")
+        .groupBy("session_id", "turn_id")
         .agg(F.expr("listagg(text, '\n\n') within group (order by seq)").alias("text"))
     )
-    return joined
 
 
 def question_lint(messages: DataFrame) -> DataFrame:

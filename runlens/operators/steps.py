@@ -18,6 +18,10 @@ from runlens.registry import (
 )
 from runlens.session import settle
 
+STRING_OPTIONS = """transform(filter(try_variant_get(_args, '$.options', 'array<variant>'),
+    o -> schema_of_variant(o) = 'STRING'), o -> variant_get(o, '$', 'string'))"""
+"""The options of a question; elements that are not strings are left out."""
+
 
 def required_steps(sessions: DataFrame) -> DataFrame:
     """(session_id, step_id, pos, title): every step the run's version asks for."""
@@ -304,7 +308,7 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
         F.octet_length(text("markdown")).cast("bigint").alias("bytes"),
         F.when(asks, text("question")).alias("question"),
         lead.alias("lead"),
-        F.when(asks, F.try_variant_get("_args", "$.options", "array<string>")).alias("options"),
+        F.when(asks, F.expr(STRING_OPTIONS)).alias("options"),
     )
     # each text is cleaned once, in a column of its own, for the rules that read it
     rows = rows.withColumns(

@@ -132,7 +132,7 @@ def _(s: Source):
 
 
 @catalog.add("turn_rollup", duck("v_pieces", f"""
-select session_id, turn_id, cast(0 as bigint) as part, string_agg(text, '\n\n' order by seq) as text
+select session_id, turn_id, string_agg(text, '\n\n' order by seq) as text
 from v_pieces where {sql.strip('text')} <> '' group by session_id, turn_id"""))
 def _(s: Source):
     return ops.turn_rollup(s.pieces)

@@ -1,8 +1,8 @@
 """Streaming twins of the ledger, the alerts and the transcript detectors.
 
 Windowed alerts aggregate before the shuffle and drop rows behind the watermark. Money is never dropped:
-payments are merged by charge whenever they come, and a ledger event older than what is already applied is
-reported as late instead.
+payments are merged by charge whenever they come, and a payment that is older than what is already applied is
+credited when it arrives; only run events can be too late, and they are reported as such.
 """
 
 from __future__ import annotations
@@ -22,19 +22,23 @@ FILES_PER_TRIGGER = 64
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """The files of a table as a stream."""
+    """The files of a table as a stream, be the table one file or a folder of files."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
         .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
-        .parquet(folder)
+        .parquet(f"{folder}/{name}.[p]arquet")  # as a pattern, it may be a file as well
     )
 
 
-def write_batches(stream: DataFrame, mode: str, path: str, checkpoint: str) -> None:
-    """Run over all that is there, writing each micro-batch below ``path``; a repeated one replaces itself."""
+def write_batches(stream: DataFrame, mode: str, path: str, checkpoint: str) -> bool:
+    """Run over all that is there, writing each micro-batch below ``path``; a repeated one replaces itself.
+
+    Says whether there was a micro-batch.
+    """
+    ran = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        ran.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
@@ -45,14 +49,17 @@ def write_batches(stream: DataFrame, mode: str, path: str, checkpoint: str) -> N
         .start()
     )
     query.awaitTermination()
+    return bool(ran)
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """All results of a stream over the files there are, with the number of their micro-batch."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
-    write_batches(stream, mode, path, fresh_path(spark, f"{name}-progress"))
-    return spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(path)
+    schema = f"{_ddl(stream)}, batch bigint"
+    if not write_batches(stream, mode, path, fresh_path(spark, f"{name}-progress")):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -115,26 +122,54 @@ Step = Callable[[OrderedRows], tuple[DataFrame, DataFrame]]
 """Rows of a micro-batch with their key's carry -> (results, changed carries)."""
 
 
-def carried(stream: DataFrame, key: list[str], carry: str, zero: dict[str, str], step: Step, name: str) -> DataFrame:
+def carried(
+    stream: DataFrame, key: list[str], carry: str, zero: dict[str, str], step: Step, name: str,
+    late_adds: dict[str, tuple[str, str, str]] | None = None,
+) -> DataFrame:
     """Run a stream whose keys carry state: rows of a key are taken in order of (us, event_id).
 
     A micro-batch is an ordinary batch job on the running values, so a key with a third of all rows is split
     like there. A row that comes after a later one of its key was applied is not applied: it gives the
     result 'late'. ``carry`` is the DDL of the state, ``zero`` its values for a new key.
+
+    ``late_adds`` names what late rows of a kind still do: {kind: (carry column, what a row adds, its result)}.
+    They take effect when they arrive, before the other rows of their micro-batch.
     """
+    adds = late_adds or {}
+    ran = []
     spark = stream.sparkSession
     path, state = fresh_path(spark, name), fresh_path(spark, f"{name}-carry")
     kinds = dict(stream.dtypes)
     keys = ", ".join(f"{k} {kinds[k]}" for k in key)
     log = CarryLog(spark, state, key, f"{keys}, last_us bigint, last_id bigint, {carry}")
 
+    late = F.expr("coalesce(struct(us, event_id) <= struct(last_us, last_id), false)")
+
+    def with_late(before: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The carries with what late rows add, and the keys that have such rows."""
+        places = before.select(*key, "last_us", "last_id")
+        behind = batch.filter(F.col("kind").isin(*adds)).join(places, key).filter(late)
+        sums = [F.sum(F.expr(f"if(kind = '{kind}', {value}, 0L)")).alias(f"_{kind}") for kind, (_, value, _) in adds.items()]
+        arrived = behind.groupBy(*key).agg(*sums)
+        grown = {column: F.col(column) + F.coalesce(f"_{kind}", F.lit(0)) for kind, (column, _, _) in adds.items()}
+        return before.join(arrived, key, "left").withColumns(grown).drop(*(f"_{kind}" for kind in adds)), arrived.select(*key)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
+        ran.append(batch_id)
         batch = batch.persist()
-        rows = OrderedRows.of(batch, key, ["us", "event_id"]).attach(log.before(batch_id))
+        before = log.before(batch_id)
+        if adds:
+            before, arrived = with_late(before, batch)
+        rows = OrderedRows.of(batch, key, ["us", "event_id"]).attach(before)
         rows = rows.map(lambda df: df.withColumns({c: F.expr(f"coalesce({c}, {z})") for c, z in zero.items()}))
-        late = F.expr("coalesce(struct(us, event_id) <= struct(last_us, last_id), false)")
         results, changed = step(rows.map(lambda df: df.filter(~late)))
-        passed = rows.df.filter(late).select(*key, "us", "event_id", "kind", F.lit("late").alias("result"))
+        result = F.lit("late")
+        for kind, (_, _, said) in adds.items():
+            result = F.when(F.col("kind") == kind, F.lit(said)).otherwise(result)
+        passed = rows.df.filter(late).select(*key, "us", "event_id", "kind", result.alias("result"))
+        if adds:  # keys of which nothing but late rows came
+            others = arrived.join(changed.select(*key), key, "left_anti")
+            changed = changed.unionByName(before.join(others, key, "left_semi").select(*changed.columns))
         results.unionByName(passed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         log.write(batch_id, changed)
         batch.unpersist()
@@ -146,9 +181,8 @@ def carried(stream: DataFrame, key: list[str], carry: str, zero: dict[str, str],
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(
-        f"{keys}, us bigint, event_id bigint, kind string, result string, batch bigint"
-    ).parquet(path)
+    schema = f"{keys}, us bigint, event_id bigint, kind string, result string, batch bigint"
+    return spark.read.schema(schema).parquet(path) if ran else spark.createDataFrame([], schema)
 
 
 def outcomes(rows: OrderedRows, key: list[str], result: str) -> DataFrame:
@@ -168,7 +202,8 @@ def live_ledger(events: DataFrame, free_runs: int = FREE_RUNS) -> DataFrame:
     state = "carry_cycle bigint, carry_credits bigint, carry_prior struct<cycle: bigint, credits: bigint>, " \
         "carry_delivered bigint, carry_floor bigint"
     runs = events.filter(F.col("kind").isin("start", "pay", "finish", "abandon"))
-    return carried(runs, ["user_id"], state, CARRY, step, "ledger")
+    paid = {"pay": ("carry_credits", "1L", "credited")}
+    return carried(runs, ["user_id"], state, CARRY, step, "ledger", paid)
 
 
 def last_place() -> list[Column]:

@@ -67,6 +67,31 @@ def test_late_events_are_reported_not_applied(spark, tmp_path):
     }
 
 
+def test_late_payments_are_credited_when_they_arrive(spark, tmp_path):
+    parts = [
+        [(1, 10, 1, "start", False), (1, 30, 3, "finish", False), (2, 10, 11, "start", False), (2, 30, 13, "finish", False)],
+        [(1, 20, 2, "pay", False), (1, 40, 4, "start", False), (2, 20, 12, "pay", False)],
+        [(2, 40, 14, "start", False), (2, 50, 15, "finish", False), (2, 60, 16, "start", False)],
+        [(2, 55, 17, "pay", False), (2, 70, 18, "start", False)],
+    ]
+    got = live.live_ledger(files(spark, tmp_path, parts, RUNS))
+    assert {r.event_id: r.result for r in got.collect()} == {
+        1: "free", 3: "delivered", 2: "credited", 4: "paid", 11: "free", 13: "delivered", 12: "credited",
+        14: "paid", 15: "delivered", 16: "needs_payment", 17: "credited", 18: "paid",
+    }
+
+
+def test_streams_read_folders_and_nothing(spark, tmp_path):
+    source = spark.read.parquet(f"{SMALL}/events.parquet")
+    source.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    schema = ", ".join(f"{n} {k}" for n, k in source.dtypes)
+    assert live.drained(live.table_stream(spark, str(tmp_path), "events", schema), "append", "folder").count() == source.count()
+    assert live.drained(live.table_stream(spark, SMALL, "events", schema), "append", "file").count() == source.count()
+    os.makedirs(f"{tmp_path}/none.parquet")
+    empty = live.drained(live.table_stream(spark, str(tmp_path), "none", schema), "append", "none")
+    assert empty.count() == 0 and empty.columns == [*source.columns, "batch"]
+
+
 def test_picks_and_messages_over_batches(spark, tmp_path):
     parts = [
         [(1, 1, 1, "pick", "lite"), (1, 2, 2, "pick", "pro"), (2, 3, 3, "message", None)],
