@@ -10,9 +10,9 @@ class at once; the rest works on one representative of each class.
 3. Survivors are verified on their full sets; only that makes a link.
 
 Round one verifies each text with the hub it shares most bands with, round two the other hubs of texts that are still
-apart, round three all pairs of members of a bucket that lie in different components and that their sizes and the shingles
-no other open set has still allow. So no link that could join two components is left out, while the members of a joined
-group are never paired with one another.
+apart, round three the pairs of members of a bucket that lie in different components and whose differences from their common
+hub share enough to allow a link (``across``). So no link that could join two components is left out, while the members of a
+joined group are never paired with one another.
 
 Defined cases: a text without words (or null) has an empty set and no link; a text with fewer words than a shingle is one
 shingle; a null id is linked with nothing and is its own, null component; rows that share an id and a set are one
@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, unpacked, word_hashes, words_of
@@ -146,15 +146,21 @@ def surviving(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the limit."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = bloom(ids, "id")
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b, ..) with both texts, ``ta`` and ``tb``."""
+    bits = bloom(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(passing(bits, batch.column("doc_id").to_numpy().view(np.uint64))))
 
+    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(wanted, "doc_id long, text string")
+    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(one, "a").join(two, "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ta", TEXT_BYTES):
             left, right = (shingle_sets(filled(batch.column(c)), size) for c in ("ta", "tb"))
@@ -167,9 +173,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             linked = pa.array((100 * common >= percent * (sizes - common)) & (common > 0))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(linked), batch.column("b").filter(linked)], names=["a", "b"])
 
-    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(wanted, "doc_id long, text string")
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return with_texts(pairs, docs).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,45 +204,66 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(known, F.col(column) == F.col("_id"), "left").withColumn(name, F.coalesce("_component", column)).drop("_id", "_component")
 
 
-def lone_shingles(reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(rep) -> rep, lone: how many shingles of its set are in no other of these sets."""
-    bits = bloom(reps, "rep")
+def differences(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, hub, ..) -> the shingles that only one of the two sets holds, with the set's size ``n`` and their number ``d``.
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TEXT_BYTES):
-            batch = batch.filter(pa.array(passing(bits, batch.column("doc_id").to_numpy().view(np.uint64))))
-            owner, shingles = shingle_sets(filled(batch.column("text")), size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(shingles.view(np.int64))], names=["rep", "shingle"])
-
-    every = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(listed, "rep long, shingle long").join(reps, "rep", "left_semi")
-    alone = every.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
-    return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
-
-
-def across(members: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, rep, component) -> the pairs (a > b) of one bucket and two components that can still be links.
+    ``own`` tells texts that share an id apart.
+    """
+    schema = "rep long, hub long, component long, home long, own long, n long, nh long, d long, shingle long"
 
-    Two sets that share k shingles have at most n - lone of each in common, so of a set with n shingles only sets of
-    percent * n / 100 up to ((100 + percent) * (n - lone) - percent * n) / percent can be partners. The larger set looks for
-    the smaller by size class: a text of a large group that is far from all others meets none of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, "ta", TEXT_BYTES), "tb", TEXT_BYTES):
+            left, right = (shingle_sets(filled(batch.column(c)), size) for c in ("ta", "tb"))
+            owner, value = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
+            order = np.lexsort((value, owner))
+            owner, value = owner[order], value[order]
+            same = np.zeros(len(owner) + 1, bool)
+            same[1:-1] = (owner[1:] == owner[:-1]) & (value[1:] == value[:-1])
+            single = ~(same[1:] | same[:-1])
+            owner, value = owner[single], value[single]
+            counts = [np.bincount(o, minlength=batch.num_rows)[owner] for o in (left[0], right[0], owner)]
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("rep", "hub", "component", "home", "own")), *(pa.array(c) for c in counts), pa.array(value.view(np.int64))],
+                schema=pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")]))
+
+    both = with_texts(pairs.withColumns({"a": F.col("rep"), "b": F.col("hub")}), docs)
+    return both.select("rep", "hub", "component", "home", F.xxhash64("ta", "tb").alias("own"), "ta", "tb").mapInArrow(run, schema)
+
+
+def across(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, hub, rep, component, home) -> the pairs (a > b) of one hub and two components that can still be links.
+
+    Each member x has been compared with its hub h; ``home`` is the hub's component. Let D(x) be the d(x) shingles that only
+    one of x and h holds, and k = (100 - percent) / (100 + percent). Sets x and y are linked if at most k (n(x) + n(y))
+    shingles are in only one of them, and those are the shingles in only one of D(x) and D(y). So linked sets have
+    c = (d(x) + d(y) - k (n(x) + n(y))) / 2 shingles or more in both D(x) and D(y); as one of the two is not linked with h,
+    c is above zero. With the shingles of each D ordered from rare to frequent, the first common one stands so early that c
+    can still be reached: members meet by that one only, and shingles that one component alone holds are not met by at all.
+    Each pair has a side outside the hub's largest component, so members of a large group do not meet one another.
     """
     members = settled(members, "near-members")
     split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    members = settled(members.join(split, "bucket", "left_semi"), "near-open")
-    reps = settled(members.select("rep").distinct(), "near-open-reps")
-    lone = lone_shingles(reps, docs, size)
-    sizes = settled(reps.join(signed.select("rep", F.col("n_shingles").alias("n")), "rep").join(lone, "rep", "left").select(
-        "rep", "n", (((100 + percent) * (F.col("n") - F.coalesce("lone", F.lit(0))) - percent * F.col("n")) / percent).alias("most")), "near-sizes")
-    sized = settled(members.join(sizes, "rep").where(F.col("most") * 100 >= F.col("n") * percent), "near-sized")
-    cell = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
-    low, high = F.col("n") * (percent / 100), F.least("n", "most")
-    x = sized.select("bucket", F.explode(F.sequence(cell(low) - 1, cell(high) + 1)).alias("cell"), F.col("rep").alias("x"), F.col("component").alias("cx"),
-                     F.col("n").alias("nx"), F.col("most").alias("mx"))
-    y = sized.select("bucket", cell(F.col("n")).alias("cell"), F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"))
-    fit = (F.col("cx") != F.col("cy")) & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))) & (
-        F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
-    met = x.join(y, (x["bucket"] == y["bucket"]) & (x["cell"] == y["cell"]) & fit)
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    held = settled(members.join(split, "bucket", "left_semi").where("rep <> hub").select("rep", "hub", "component", "home").distinct(), "near-held")
+    largest = held.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("times")).groupBy("hub").agg(F.max_by("component", F.struct("times", "component")).alias("main"))
+    spread = settled(differences(held, docs, size), "near-differences")
+    # the order of one hub's shingles: by the members that hold them
+    known = spread.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("low"), F.max("component").alias("high"))
+    known = settled(known.where("low < high").select("hub", "shingle", "times"), "near-known")
+    own = Window.partitionBy("hub", "rep", "own")
+    k = (100 - percent) / (100 + percent)
+    least = F.col("d") / 2 + F.when(F.col("component") == F.col("home"), k * (F.col("nh") - F.col("n"))).otherwise(-k * (F.col("n") + F.col("nh"))) / 2
+    placed = spread.join(known, ["hub", "shingle"]).withColumn(
+        "place", F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "shingle")))
+    early = settled(placed.where(1 + F.col("d") - F.col("place") >= least - 1e-6).join(largest, "hub").select(
+        "hub", "shingle", "rep", "component", "main", "n", "d", "place"), "near-early")
+    x = early.where("component <> main").select("hub", "shingle", *(F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "d", "place")))
+    y = early.select("hub", "shingle", *(F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "d", "place")))
+    common = (F.col("d_x") + F.col("d_y") - k * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6
+    fit = (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (
+        1 + F.col("d_x") - F.col("place_x") >= common) & (1 + F.col("d_y") - F.col("place_y") >= common)
+    met = x.withColumnsRenamed({"hub": "hub_x", "shingle": "shingle_x"}).join(y, (F.col("hub_x") == F.col("hub")) & (F.col("shingle_x") == F.col("shingle")) & fit)
+    return met.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -271,7 +296,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     others = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
     others = _labelled(_labelled(others, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b")
     links, labels = joined(others, links, labels, "second")
-    rest = across(_labelled(live.select("bucket", "rep"), "rep", labels, "component"), signed, docs, size, percent)
+    members = _labelled(_labelled(live.select("bucket", "hub", "rep"), "rep", labels, "component"), "hub", labels, "home")
+    rest = across(members, docs, size, percent)
     links, labels = joined(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), links, labels, "third")
     found = settled(_labelled(groups, "rep", labels, "component_id").drop("rep"), "near-components")
     named = found.select(*(F.col(c).alias(f"_{c}") for c in same), "component_id")
