@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,51 +117,64 @@ def slug_collisions(names: DataFrame) -> DataFrame:
     )
 
 
-def cuts(line: str, width: int) -> Iterator[str]:
-    """A long line in pieces of at most ``width`` that do not end inside a tag."""
-    while len(line) > width:
-        opened = line.rfind("<", 1, width)
-        cut = opened if opened > line.rfind(">", 0, width) else width
-        yield line[:cut]
-        line = line[cut:]
-    if line:
-        yield line
-
-
-def packed(text: str, width: int) -> Iterator[str]:
-    """Lines put together as long as they fit; the line end between two chunks is dropped."""
-    held = ""
-    for line in text.split("\n"):
-        for piece in cuts(line, width) if len(line) > width else (line,):
-            joined = f"{held}\n{piece}" if held else piece
-            if len(joined) > width:
-                if held:
-                    yield held
-                joined = piece
-            held = joined
-    if held:
-        yield held
-
-
-def closed(chunks: Iterator[str]) -> Iterator[str]:
-    """Each chunk with the tags still open reopened at its start and closed at its end."""
-    open_tags: list[str] = []
-    for chunk in chunks:
-        chunk = "".join(f"<{tag}>" for tag in open_tags) + chunk
-        open_tags = []
-        for tag in re.finditer(r"<(/?)([a-zA-Z0-9]+)[^>]*>", chunk):
-            name = tag[2].lower()
-            if not tag[1]:
-                open_tags.append(name)
-            elif name in open_tags:
-                del open_tags[len(open_tags) - 1 - open_tags[::-1].index(name)]
-        yield chunk + "".join(f"</{tag}>" for tag in reversed(open_tags))
+OPEN_TAIL = re.compile(r"(?<=.)<[^<>]*\Z", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z0-9]+)[^>]*>")
+
+
+def breaks(text: str, width: int) -> tuple[list[int], list[int]]:
+    """Where a chunk may end, and where it must: at line ends, and in lines over ``width`` after every ``width`` characters
+    or, where that falls inside a tag, before the tag."""
+    may, must, start = [], [], 0
+    for end in [*(m.start() for m in re.finditer("\n", text)), len(text)]:
+        while end - start > width:
+            tail = OPEN_TAIL.search(text[start : start + width])
+            start += tail.start() if tail else width
+            must.append(start)
+        may.append(end)
+        start = end + 1
+    return may, must
+
+
+def spans(text: str, width: int) -> list[tuple[int, int]]:
+    """The slices of the text that become chunks: each goes from a character that is no line end to the next cut in a line
+    or, where none is in reach, to the last line end in reach."""
+    may, must = breaks(text, width)
+    taken, filled = [], re.compile("[^\n]")
+    first = filled.search(text)
+    while first:
+        start = first.start()
+        cut = bisect_right(must, start)
+        end = must[cut] if cut < len(must) and must[cut] <= start + width else may[bisect_right(may, start + width) - 1]
+        taken.append((start, end))
+        first = filled.search(text, end)
+    return taken
 
 
 def chunks_of(text: str, limit: int = CHUNK_LIMIT) -> list[str]:
+    """A text in chunks that are valid markup on their own.
+
+    A tag lives from the chunk that opens it to the chunk that closes it, the latest of its name first. It is opened again
+    at the start of each later chunk of its life and closed at the end of each but the last.
+    """
     if len(text) <= limit:
         return [text]
-    return list(closed(packed(text, max(64, limit - TAG_RESERVE)))) or [""]
+    chunks = [text[start:end] for start, end in spans(text, max(64, limit - TAG_RESERVE))] or [""]
+    lives, latest = [], defaultdict(list)
+    for no, chunk in enumerate(chunks):
+        for closing, name in TAG.findall(chunk):
+            if not closing:
+                latest[name.lower()].append(len(lives))
+                lives.append([name.lower(), no, len(chunks)])
+            elif latest[name.lower()]:
+                lives[latest[name.lower()].pop()][2] = no
+    before, after = [""] * len(chunks), [""] * len(chunks)
+    for name, opened, closed in lives:
+        for no in range(opened, min(closed + 1, len(chunks))):
+            if no > opened:
+                before[no] += f"<{name}>"
+            if no < closed:
+                after[no] = f"</{name}>" + after[no]
+    return list(map("".join, zip(before, chunks, after)))
 
 
 def chunk_documents(documents: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
@@ -183,44 +198,56 @@ CONTENT_KEYS = ("text", "caption", "markdown", "artifact")
 SENSITIVE_KEY = re.compile(rf"(?i)({rules.SENSITIVE})")
 
 
-def secrets_in(node) -> set[str]:
-    """Strings under sensitive keys, at any depth."""
-    if isinstance(node, list):
-        return set().union(*map(secrets_in, node))
-    if not isinstance(node, dict):
-        return set()
-    own = {v for k, v in node.items() if isinstance(v, str) and v and SENSITIVE_KEY.search(k)}
-    return own.union(*map(secrets_in, node.values()))
+JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?')
+
+
+def scrub_event(text: str) -> str:
+    """One JSON event: values hidden by their key as objects are read, then the secrets among them in all other strings.
+
+    Characters of a string that any secret covers go; secrets that overlap there give one mark.
+    """
+    secrets = set()
+
+    def read(pairs):
+        secrets.update(v for k, v in pairs if isinstance(v, str) and v and SENSITIVE_KEY.search(k))
+        return {k: rules.REDACTED if k in CONTENT_KEYS or SENSITIVE_KEY.search(k) else v for k, v in pairs}
+
+    shown = json.dumps(json.loads(text, object_pairs_hook=read), ensure_ascii=False)
+    secrets.discard(rules.REDACTED)
+    if not secrets:
+        return shown
+    # a match at every place, the longest secret there
+    anywhere = re.compile("(?=(" + "|".join(map(re.escape, sorted(secrets, key=len, reverse=True))) + "))")
 
+    def clean(token: re.Match) -> str:
+        if token[1]:
+            return token[0]  # a key
+        value, kept, reach = json.loads(token[0]), [], 0
+        for hit in anywhere.finditer(value):
+            start, end = hit.span(1)
+            if start >= reach:
+                kept += [value[reach:start], rules.REDACTED]
+            reach = max(reach, end)
+        return json.dumps("".join(kept) + value[reach:], ensure_ascii=False) if kept else token[0]
 
-def scrubbed(node, secrets: list[str]):
-    if isinstance(node, dict):
-        hidden = lambda k: k in CONTENT_KEYS or SENSITIVE_KEY.search(k)
-        return {k: rules.REDACTED if hidden(k) else scrubbed(v, secrets) for k, v in node.items()}
-    if isinstance(node, list):
-        return [scrubbed(v, secrets) for v in node]
-    if isinstance(node, str):
-        for secret in secrets:
-            node = node.replace(secret, rules.REDACTED)
-    return node
+    return JSON_STRING.sub(clean, shown)
 
 
 def redact_events(events: DataFrame, column: str = "event") -> DataFrame:
-    """JSON events without secrets: hidden by key, and their values removed from all other strings.
+    """JSON events without secrets, and whether the text was no JSON (then all of it is hidden).
 
-    Longer secrets go first, so that one inside another leaves nothing behind. Events nest to any depth,
-    which JSON functions with fixed paths cannot follow; hence Arrow batches.
+    Events nest to any depth, which JSON functions with fixed paths cannot follow; hence Arrow batches.
     """
 
-    @F.pandas_udf("string")
-    def scrub(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("event string, malformed boolean")
+    def scrub(texts: pd.Series) -> pd.DataFrame:
         def one(text):
-            if text is None:
-                return None
-            event = json.loads(text)
-            secrets = sorted(secrets_in(event), key=lambda s: (-len(s), s))
-            return json.dumps(scrubbed(event, secrets), ensure_ascii=False)
+            try:
+                return (None if text is None else scrub_event(text)), False
+            except (ValueError, RecursionError):
+                return rules.REDACTED, True
 
-        return texts.map(one)
+        return pd.DataFrame([one(text) for text in texts], columns=["event", "malformed"])
 
-    return events.withColumn(column, scrub(F.col(column)))
+    done = events.withColumn("_scrubbed", scrub(F.col(column)))
+    return done.withColumns({column: F.col("_scrubbed.event"), "malformed": F.col("_scrubbed.malformed")}).drop("_scrubbed")

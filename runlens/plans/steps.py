@@ -343,8 +343,10 @@ def _(s: Source):
 
 
 @catalog.add("redact_events", duck("v_error_events", """
-select doc_id, concat('{"message": "boom «REDACTED» and «REDACTED»x", "extra": {"bot_token": "«REDACTED»", ',
-  '"user": {"Password": "«REDACTED»"}, "text": "«REDACTED»", "n": ', doc_id, '}}') as event from v_error_events"""))
+select doc_id, doc_id % 11 = 0 as malformed, case when doc_id % 11 = 0 then '«REDACTED»' else
+  concat('{"message": "boom «REDACTED» and «REDACTED»x", "extra": {"bot_token": "«REDACTED»", ',
+  '"user": {"Password": "«REDACTED»"}, "text": "«REDACTED»", "tags": ["«REDACTED»d", ',
+  '{"dsn": "«REDACTED»", "API-key": "«REDACTED»", "caption": "«REDACTED»"}], "n": ', doc_id, '}}') end as event from v_error_events"""))
 def _(s: Source):
     return docs.redact_events(s.error_events)
 

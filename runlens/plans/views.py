@@ -341,8 +341,10 @@ VIEWS: dict[str, View] = {
         "documents",
         (
             "doc_id",
+            "case when doc_id % 11 = 0 then concat('{\"message\": \"tok', doc_id) else "
             "concat('{\"message\": \"boom tok', doc_id, ' and pw', doc_id, 'x\", \"extra\": {\"bot_token\": \"tok', doc_id, "
-            "'\", \"user\": {\"Password\": \"pw', doc_id, '\"}, \"text\": \"private\", \"n\": ', doc_id, '}}') as event",
+            "'\", \"user\": {\"Password\": \"pw', doc_id, '\"}, \"text\": \"private\", \"tags\": [\"a_b', doc_id, 'c_d\", "
+            "{\"dsn\": \"a_b', doc_id, '\", \"API-key\": \"', doc_id, 'c_\", \"caption\": null}], \"n\": ', doc_id, '}}') end as event",
         ),
     ),
 }

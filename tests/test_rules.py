@@ -89,6 +89,32 @@ def test_chunks_fit_and_balance(text):
     assert bare("".join(chunks)) == bare(text)
 
 
+def test_chunk_ends():
+    """Cuts in a line stay before a tag, blank lines at a chunk's start go, tags live on across chunks."""
+    assert documents.chunks_of("x" * 60 + "<a href='" + "q" * 30 + "'>y</a>\n\n" + "z" * 60, 64) == [
+        "x" * 60, "<a href='" + "q" * 30 + "'>y</a>\n", "z" * 60]
+    assert documents.chunks_of("<b><I class='k'>" + "w" * 80 + "</i>\n</b>tail", 64) == [
+        "<b><I class='k'>" + "w" * 48 + "</i></b>", "<b><i>" + "w" * 32 + "</i>\n</b>tail"]
+    assert documents.chunks_of("\n" * 80, 64) == [""]
+    assert documents.chunks_of("x" * 63 + "<<" + "y" * 70, 64) == ["x" * 63, "<", "<" + "y" * 63, "y" * 7]
+
+
+def test_events_without_secrets(spark):
+    hidden = rules.REDACTED
+    rows = {
+        '{"a": ["x tok1 \\"q", 5, null, {"token": "tok1"}], "tok1": "tok1tok1"}': (
+            f'{{"a": ["x {hidden} \\"q", 5, null, {{"token": "{hidden}"}}], "tok1": "{hidden}{hidden}"}}', False),
+        '{"dsn": "abc", "secret": "bcde", "s": "xabcdex", "text": {"deep": 1}}': (
+            f'{{"dsn": "{hidden}", "secret": "{hidden}", "s": "x{hidden}x", "text": "{hidden}"}}', False),
+        '{"token": "", "n": 1.5}': (f'{{"token": "{hidden}", "n": 1.5}}', False),
+        '["plain"]': ('["plain"]', False),
+        '{"token": "cut': (hidden, True),
+        None: (None, False),
+    }
+    df = spark.createDataFrame([(event,) for event in rows], "event string")
+    assert [tuple(r) for r in documents.redact_events(df).collect()] == list(rows.values())
+
+
 def test_short_text_is_untouched(spark):
     df = spark.createDataFrame([(1, "<b>open"), (2, "x" * 5000)], "doc_id long, text string")
     got = sorted(map(tuple, documents.chunk_documents(df).collect()))
