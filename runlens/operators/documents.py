@@ -16,9 +16,6 @@ from runlens.functions import text as rules
 from runlens.operators.steps import last_finished
 from runlens.registry import PIPELINES, steps_table
 
-DECISIONS_PER_PART = 1000
-"""Decisions in one part of a document. Steps and the first thousand decisions are part 0."""
-
 CHUNK_LIMIT = 4096
 TAG_RESERVE = 48
 MADE_BY = "_Сгенерировано автоматически (версия: {version})._"
@@ -27,11 +24,11 @@ MADE_BY = "_Сгенерировано автоматически (версия:
 def assemble_spec(
     sessions: DataFrame, artifacts: DataFrame, adrs: DataFrame, made_by: str = MADE_BY
 ) -> DataFrame:
-    """One markdown document per run: title, steps in pipeline order, then the decisions.
+    """The markdown document of each run in blocks: title, steps in pipeline order, then the decisions.
 
-    artifacts: the current one per session and step. A row is one part; a run with more than a thousand
-    decisions has several, which give the whole document when joined by a line end. Groups are bounded: a run
-    has one artifact per step of the registry, and decision numbers are unique in a run.
+    artifacts: the current one per session and step. A row is one block; in the order of (place, id) and joined by a
+    blank line the blocks of a run give its document, whose trailing white space is dropped (``write_spec_texts``). So a run
+    may have any number of decisions, and no task holds a whole document.
     """
     runs = sessions.select(F.col("id").alias("session_id"), "slug", "version")
     before, after = made_by.split("{version}")
@@ -68,18 +65,11 @@ def assemble_spec(
         ).alias("block"),
     )
     blocks = head.unionByName(bodies).unionByName(decided).withColumn("id", F.lit(0).cast("bigint"))
-    blocks = blocks.unionByName(decisions).withColumn(
-        "part", F.expr(f"greatest(0L, (place - 1001) div {DECISIONS_PER_PART})")
-    )
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "block"))), lambda b: b["block"]), "\n\n"
-    )
-    whole = F.concat(F.regexp_replace(joined, r"(?U)(?<!\s)\s++$", ""), F.lit("\n"))
-    return blocks.groupBy("session_id", "part").agg(whole.alias("spec"))
+    return blocks.unionByName(decisions).select("session_id", "place", "id", "block")
 
 
 def spec_redelivery(sessions: DataFrame, artifacts: DataFrame, adrs: DataFrame) -> DataFrame:
-    """The rebuilt document of each user's latest finished run, ready to send again."""
+    """The blocks of the rebuilt document of each user's latest finished run, ready to send again."""
     runs = last_finished(sessions).select("tg_user_id", "id", "slug", "version")
     wanted = runs.select(F.col("id").alias("session_id"))
     specs = assemble_spec(
@@ -88,7 +78,7 @@ def spec_redelivery(sessions: DataFrame, artifacts: DataFrame, adrs: DataFrame)
         adrs.join(wanted, "session_id", "left_semi"),
     )
     return specs.join(runs.withColumnRenamed("id", "session_id"), "session_id").select(
-        "tg_user_id", "session_id", "part", F.concat("slug", F.lit("-spec.md")).alias("file_name"), "spec"
+        "tg_user_id", "session_id", F.concat("slug", F.lit("-spec.md")).alias("file_name"), "place", "id", "block"
     )
 
 

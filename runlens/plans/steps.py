@@ -286,15 +286,11 @@ def spec_sql(runs: str) -> str:
   union all select distinct session_id, 100, 0, '## Решения (ADR)' from v_adrs where session_id in (select id from runs)
   union all select session_id, 1000 + n, id, concat('### ADR-', n, ': ', title, '\n\n', {sql.strip('markdown')})
   from v_adrs where session_id in (select id from runs)
-), spec as (
-  select session_id, cast(0 as bigint) as part,
-    concat(regexp_replace(string_agg(block, '\n\n' order by place, id), '{sql.SPACE}+$', ''), '\n') as spec
-  from blocks group by session_id
 )"""
 
 
 @catalog.add("assemble_spec", duck("v_sessions v_artifact_writes v_adrs", spec_sql(
-    "select id, slug, version from v_sessions") + "select session_id, part, spec from spec"))
+    "select id, slug, version from v_sessions") + "select session_id, cast(place as bigint) as place, cast(id as bigint) as id, block from blocks"))
 def _(s: Source):
     return docs.assemble_spec(s.sessions, artifacts(s), s.adrs)
 
@@ -303,8 +299,8 @@ REDELIVERY = duck("v_sessions v_artifact_writes v_adrs", spec_sql("""
 select tg_user_id, id, slug, version from (
   select *, row_number() over (partition by tg_user_id order by id desc) as k from v_sessions where status = 'finished')
 where k = 1""") + """
-select tg_user_id, session_id, part, concat(slug, '-spec.md') as file_name, spec
-from spec join runs on runs.id = spec.session_id""")
+select tg_user_id, session_id, concat(slug, '-spec.md') as file_name, cast(place as bigint) as place, cast(blocks.id as bigint) as id, block
+from blocks join runs on runs.id = blocks.session_id""")
 
 
 @catalog.add("spec_redelivery", REDELIVERY)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.registry import routes_table
@@ -59,20 +59,25 @@ def artifact_route(files: DataFrame, variant: str) -> DataFrame:
 
 
 def write_specs(specs: DataFrame, path: str) -> None:
-    """Documents by file name. A document is one row, so parallel writers never share one."""
-    specs.write.mode("overwrite").parquet(path)
+    """The blocks of documents as a table, in the order of the documents."""
+    specs.repartitionByRange("tg_user_id", "session_id", "place", "id").sortWithinPartitions(
+        "tg_user_id", "session_id", "place", "id"
+    ).write.mode("overwrite").parquet(path)
 
 
 def write_spec_texts(specs: DataFrame, path: str) -> None:
-    """Documents as text files, a folder per file name: for the runs somebody wants to read."""
-    # the writer ends every row with a line end itself
-    text = F.regexp_replace("spec", r"\n\z", "")
-    specs.select("file_name", text.alias("value")).write.partitionBy(
-        "file_name"
-    ).text(path)
+    """Documents as text files, one for each file name and run, for the runs somebody wants to read.
+
+    A run's blocks are sorted and written one after another. The writer ends every row with a line end itself.
+    """
+    last = F.lead("block").over(Window.partitionBy("file_name", "session_id").orderBy("place", "id")).isNull()
+    text = F.when(last, F.regexp_replace("block", r"(?U)(?<!\s)\s++$", "")).otherwise(F.concat("block", F.lit("\n")))
+    specs.filter("block is not null").select("file_name", "session_id", "place", "id", text.alias("value")).sortWithinPartitions(
+        "file_name", "session_id", "place", "id"
+    ).select("file_name", "session_id", "value").write.partitionBy("file_name", "session_id").text(path)
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(
-        "tg_user_id long, session_id long, part long, file_name string, spec string"
+        "tg_user_id long, session_id long, file_name string, place long, id long, block string"
     ).parquet(path)

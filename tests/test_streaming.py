@@ -183,12 +183,23 @@ def test_time_zone_plays_no_role(spark):
 
 
 def test_specs_as_text_files(spark, tmp_path):
+    """Any number of decisions, equal numbers and a blank last body give one file each."""
+    from runlens.operators.documents import assemble_spec
     from runlens.sources.workspace import write_spec_texts
 
-    specs = spark.createDataFrame([(1, 0, "a-spec.md", "# a\n\nend\n")], "session_id long, part long, file_name string, spec string")
+    sessions = spark.createDataFrame([(1, "a", "lite"), (2, "a", "lite")], "id long, slug string, version string")
+    artifacts = spark.createDataFrame([], "session_id long, step_id string, markdown string")
+    adrs = [(1, 7 + i, i // 2, f"t{i}", f" body {i}\n" if i < 1499 else "  ") for i in range(1500)]
+    adrs = spark.createDataFrame(adrs, "session_id long, id long, n long, title string, markdown string")
+    specs = assemble_spec(sessions, artifacts, adrs).withColumn("file_name", F.lit("a-spec.md")).repartition(5)
     write_spec_texts(specs, str(tmp_path / "out"))
-    (found,) = (tmp_path / "out").glob("file_name=a-spec.md/*.txt")
-    assert found.read_text(encoding="utf-8") == "# a\n\nend\n"
+    (long,) = (tmp_path / "out").glob("file_name=a-spec.md/session_id=1/*.txt")
+    (short,) = (tmp_path / "out").glob("file_name=a-spec.md/session_id=2/*.txt")
+    head = "# a — Product Spec\n\n_Сгенерировано автоматически (версия: lite)._"
+    bodies = [f"### ADR-{i // 2}: t{i}\n\nbody {i}" for i in range(1499)]
+    assert long.read_text() == "\n\n".join([head, "## Решения (ADR)", *bodies, "### ADR-749: t1499"]) + "\n"
+    assert short.read_text() == head + "\n"
+
 
 
 def test_replay_of_a_whole_run(spark):
