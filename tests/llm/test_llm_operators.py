@@ -326,5 +326,26 @@ def test_licenses(spark, docs, awkward):
     assert licenses.license_report(awkward).count() == len(AWKWARD) and licenses.license_report(docs.limit(0)).count() == 0
 
 
+def test_license_texts_headers_and_ids(spark):
+    whole = dict(t for t in licenses.TEMPLATES if t not in licenses.WORDINGS)
+    texts = [(f"{i}/LICENSE", f"Copyright (c) 2021 Jo Doe\n\n{text}", name) for i, (name, text) in enumerate(whole.items())]
+    apache = next(text for name, text in licenses.WORDINGS if name == "Apache-2.0" and "obtain" in text)
+    wrapped = "\n".join(f" * {apache[i:i + 70]}" for i in range(0, len(apache), 70))
+    mit = whole["MIT"].replace("\n", "\n# ")
+    headers = [
+        ("a.c", f"/*\n * Copyright 2020 Jo Doe\n *\n{wrapped}\n */\nint main(void) {{ return 0; }}\n", "Apache-2.0"),
+        ("b.py", f"# Copyright 2020 Jo Doe\n#\n# {mit}\nimport os\nprint(os.name)\n", "MIT"),
+        ("c.md", f"# Tool\n\nIt counts things and writes tables.\n\n{whole['BSD-2-Clause']}", "BSD-2-Clause"),
+        ("d.txt", "We went home early. The weather was fine. Licensed under CC BY-SA 4.0. Then we slept until noon.", "CC-BY-SA-4.0"),
+        ("e.txt", "Nothing here says how it may be used, except that one needs a licence to drive.", None),
+    ]
+    ids = [("Apache-2.0", "Apache-2.0"), ("bsd-3-clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("LGPL-2.1-only", "LGPL-2.1"), ("MIT", "MIT"),
+           ("(mit OR Apache-2.0)", "MIT OR Apache-2.0"), ("Foo-2.0", None)]
+    lines = [(f"s{i}.c", f"// SPDX-License-Identifier: {said}\nint x;", name) for i, (said, name) in enumerate(ids)]
+    rows = texts + headers + lines + [("t.css", "/* SPDX-License-Identifier: ISC */", "ISC")]
+    made = {r.path: r.own_license for r in licenses.licensed(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert made == {path: name for path, _, name in rows}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in catalog.QUERIES) == list(range(1, 11))
