@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import packed, settled, unpacked
@@ -150,19 +150,21 @@ def scored(passages: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, le
     total = passages.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total")).first()[0]
     frequency = settled(counts.groupBy("term").agg(F.sum("copies").alias("df")), "license-frequencies")
     weight = (F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")
-    passage_weights = counts.join(frequency, "term").select("passage", "term", (F.col("times") * weight).alias("w"))
     template_weights = known_terms.join(frequency, "term", "left").select("template", "term", (F.col("times") * weight).alias("t"))
-    norms = passage_weights.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    lengths = template_weights.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("length")).join(known.select("template", "license"), "template")
+    lengths = template_weights.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("length"))
     table = F.broadcast(template_weights.join(lengths, "template"))  # as many rows as the templates have terms
+    # a passage's terms meet in one partition: norm, products and the choice need no other exchange
+    placed = counts.select("passage", "term", "times").join(frequency, "term").repartition("passage").select("passage", "term", (F.col("times") * weight).alias("w"))
     best = (
-        passage_weights.join(table, "term")
-        .groupBy("passage", "template", "license", "length").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
-        .join(norms, "passage")
+        placed.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("passage"))))
+        .join(table, "term")
+        .groupBy("passage", "template", "length", "norm").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
         .withColumn("similarity", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 6))
-        .groupBy("passage").agg(F.max(F.struct("similarity", (-F.col("template")).alias("first"), "license")).alias("best"))
+        .where(F.col("similarity") >= least)
+        .groupBy("passage").agg(F.max(F.struct("similarity", (-F.col("template")).alias("first"))).alias("best"))
     )
-    return best.select("passage", "best.license", "best.similarity").where(F.col("similarity") >= least)
+    named = F.broadcast(known.select(F.col("template").alias("_t"), "license"))
+    return best.join(named, -F.col("best.first") == F.col("_t")).select("passage", "license", "best.similarity")
 
 
 def prefixes(directory: Column) -> Column:
@@ -188,8 +190,10 @@ def licensed(files: DataFrame, least: float = LEAST, templates: list[tuple[str,
     notices = settled(speaking.select("notice", "copies", spdx_of(F.col("text")).alias("spdx"), passages_of(F.col("path"), F.col("text")).alias("passages")), "license-texts")
     said = settled(notices.where("spdx is null").select("notice", "copies", F.explode("passages").alias("p")).select(
         "notice", "copies", "p.level", "p.words", F.sha2("p.words", 256).alias("passage")), "license-passages")
-    distinct = settled(said.groupBy("passage").agg(F.first("words").alias("words"), F.sum("copies").alias("copies")), "license-distinct")
-    found = said.select("notice", "level", "passage").join(scored(distinct, templates, least), "passage").groupBy("notice").agg(
+    distinct = settled(said.groupBy("passage").agg(F.first("words").alias("words"), F.sum("copies").alias("copies")).withColumnRenamed(
+        "passage", "key").withColumn("passage", F.monotonically_increasing_id()), "license-distinct")  # short ids for the many term rows
+    known = scored(distinct, templates, least).join(distinct.select("passage", "key"), "passage").select(F.col("key").alias("passage"), "license", "similarity")
+    found = said.select("notice", "level", "passage").join(settled(known, "license-known"), "passage").groupBy("notice").agg(
         F.max(F.struct(F.when(F.col("similarity") >= SURE, F.col("level")).otherwise(0).alias("level"), "similarity", "license")).alias("best"))
     exact = notices.where("spdx is not null").select("notice", F.col("spdx").alias("license"), F.lit(1.0).alias("similarity"))
     scores = settled(found.select("notice", "best.license", "best.similarity").union(exact), "license-scores")
