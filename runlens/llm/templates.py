@@ -1,16 +1,22 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose their punctuation and case; numbers, names (capitalised words inside a sentence) and units after numbers become
-typed placeholders. Windows of ``WINDOW`` canonical words with at least ``LITERALS`` ordinary ones are hashed and joined
-with the windows of the benchmark items. What filled the placeholders is then compared: within one alignment of a
-document and an item each value of the item must always have become the same value in the document. So an item
-is recognised as it stands and with other numbers, names or units put in consistently.
+typed placeholders; a run of names is one placeholder, and so is a number with its unit. Windows of ``WINDOW`` canonical
+words with at least ``LITERALS`` ordinary ones are hashed and joined with the windows of the benchmark items. Windows whose
+shifts differ by ``GAP`` words at most, from one to the next, are one alignment, so that words put in or left out do not part it.
+What filled the placeholders is then compared: of an alignment those windows count in which each value of the item has
+become what it became in more than half of its places, or, if they are more, those with the item's own values. So an item
+is recognised as it stands, with other numbers, names or units put in consistently, and with single slips.
+
+Items with fewer than ``WINDOW`` canonical words, or with too many placeholders in more than half of their windows, are also
+looked for by their plain words: in windows of ``WINDOW`` words, or in one window as long as the item. Characters of
+scripts without spaces are words of their own.
 
 Before the join a Bloom filter of fixed size (``common.FILTER_BITS``) over the benchmark's windows drops nearly all windows of the
 documents; its size does not depend on the data, and what it lets through by chance the join removes.
 
-A document is contaminated by an item if consistent windows of one alignment cover ``COVERAGE`` of the item's windows, or
-``RUN`` windows of it. Items with fewer than ``WINDOW`` canonical words have no window and match nothing.
+A document is contaminated by an item if the windows that count in one alignment cover ``COVERAGE`` of the item's windows, or
+``RUN`` windows of it.
 
 Defined cases: null texts and items have no windows; documents are told apart by doc_id (null is a value) and the
 hash of their text; repeated rows are judged alike; empty tables give empty results; other columns pass through.
@@ -18,6 +24,7 @@ hash of their text; repeated rows are judged alike; empty tables give empty resu
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +39,7 @@ WINDOW = 8
 LITERALS = 5
 COVERAGE = 0.5
 RUN = 10
+GAP = 16
 # fixed values: units of measure and currency, in lower case
 UNITS = """mm cm m km in ft yd mi g kg mg lb lbs oz t l ml cl gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week
 weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams
@@ -42,91 +50,177 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„‘’«»¿¡–
 _NUMBER = r"^[0-9]+(?:[.,:/-][0-9]+)*$"
 _NUMBER_WITH_UNIT = r"^[0-9]+(?:[.,][0-9]+)*[a-zµ°]{1,4}$"
 _CAPITAL = r"^[^\p{L}\p{N}]*\p{Lu}"
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_PAUSE = r"[,;:.!?…)\]}\"”»]$"
 _ENDS = r"[.!?:…][^\p{L}\p{N}]*$"
 NUMBER, UNIT, NAME, MEASURE = (np.uint64(x) for x in (0xA1, 0xB2, 0xC3, 0xD4))
 
 
-def canonical(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray, np.ndarray]:
-    """The canonical words of the texts: hash, whether a placeholder, what stood there, and each text's first word."""
-    words, firsts = words_of(texts)
-    coded = words.dictionary_encode()
-    distinct, code = filled(coded.dictionary), coded.indices.to_numpy()
-    core = pc.utf8_lower(pc.utf8_trim(distinct, characters=PUNCTUATION))
-    flag = lambda found: found.to_numpy(zero_copy_only=False)
-    number, measure = flag(pc.match_substring_regex(core, _NUMBER)), flag(pc.match_substring_regex(core, _NUMBER_WITH_UNIT))
-    unit = flag(pc.is_in(core, value_set=pa.array(UNITS)))
-    capital, ends = flag(pc.match_substring_regex(distinct, _CAPITAL)), flag(pc.match_substring_regex(distinct, _ENDS))
-    real = flag(pc.not_equal(core, ""))
-    hashes = text_hashes(filled(core))[code]
-    n = len(code)
-    start = np.zeros(n, bool)  # of a text or a sentence
-    start[firsts[:-1][firsts[:-1] < n]] = True
-    after_number = np.zeros(n, bool)
-    if n:
-        start[1:] |= ends[code[:-1]]
-        after_number[1:] = number[code[:-1]]
-        after_number[firsts[:-1][firsts[:-1] < n]] = False
-    name = capital[code] & ~start & real[code]
-    kinds = [(name, NAME), (after_number & unit[code], UNIT), (measure[code], MEASURE), (number[code], NUMBER)]
-    for where, kind in kinds:
-        hashes = np.where(where, kind, hashes)
-    slot = np.logical_or.reduce([w for w, _ in kinds])
-    kept = real[code]
-    moved = np.concatenate([[0], np.cumsum(kept)])[firsts]
-    return mixed(hashes[kept]), slot[kept], core.take(pa.array(code[kept])), moved
-
-
-def windows(texts: pa.StringArray, window: int = WINDOW, literals: int = LITERALS):
-    """Owner, place and hash of each window with enough ordinary words; then the words' slots and values."""
-    hashes, slot, core, firsts = canonical(texts)
-    n = len(hashes)
+class Words:
+    """The words of some texts and their canonical form: per canonical word its hash, whether a placeholder, and its words."""
+
+    def __init__(self, texts: pa.StringArray):
+        unspaced = pc.match_substring_regex(texts, _UNSPACED)
+        if pc.any(unspaced).as_py():
+            texts = filled(pc.if_else(unspaced, pc.replace_substring_regex(texts, _UNSPACED, r" \1 "), texts))
+        words, firsts = words_of(texts)
+        coded = words.dictionary_encode()
+        distinct, code = filled(coded.dictionary), coded.indices.to_numpy()
+        core = pc.utf8_lower(pc.utf8_trim(distinct, characters=PUNCTUATION))
+        flag = lambda found: found.to_numpy(zero_copy_only=False)
+        number, measure = flag(pc.match_substring_regex(core, _NUMBER)), flag(pc.match_substring_regex(core, _NUMBER_WITH_UNIT))
+        unit = flag(pc.is_in(core, value_set=pa.array(UNITS)))
+        capital, ends = flag(pc.match_substring_regex(distinct, _CAPITAL)), flag(pc.match_substring_regex(distinct, _ENDS))
+        pause = flag(pc.match_substring_regex(distinct, _PAUSE))
+        real = flag(pc.not_equal(core, ""))
+        n = len(code)
+        heads = firsts[:-1][firsts[:-1] < n]
+        first = np.zeros(n, bool)
+        first[heads] = True
+        start = first.copy()  # of a text or a sentence
+        after_number = np.zeros(n, bool)
+        if n:
+            start[1:] |= ends[code[:-1]]
+            after_number[1:] = number[code[:-1]] & ~first[1:]
+        name = capital[code] & ~start & real[code]
+        unit_here = after_number & unit[code] & ~name
+        kept = real[code]
+        code, name, unit_here, first = code[kept], name[kept], unit_here[kept], np.concatenate([[0], np.cumsum(kept)])[firsts]
+        self.core, self.code, self.firsts = core, code, first
+        self.plain = text_hashes(filled(core))[code]
+        # words that go on with the placeholder before them
+        n = len(code)
+        joins = np.zeros(n, bool)
+        if n:
+            joins[1:] = (name[1:] & name[:-1] & ~pause[code[:-1]]) | (unit_here[1:] & number[code[:-1]])
+            joins[first[:-1][first[:-1] < n]] = False
+        self.begin = np.flatnonzero(~joins)
+        self.end = np.append(self.begin[1:], n) if n else self.begin
+        measured = np.zeros(n, bool)
+        if n:
+            measured[:-1] = joins[1:] & unit_here[1:]
+        hashes = self.plain
+        kinds = [(name, NAME), (unit_here, UNIT), (measure[code] | measured, MEASURE), (number[code] & ~measured, NUMBER)]
+        for where, kind in kinds:
+            hashes = np.where(where, kind, hashes)
+        slot = np.logical_or.reduce([w for w, _ in kinds])
+        self.hashes, self.slot, self.glue = mixed(hashes[self.begin]), slot[self.begin], np.where(measured, "", " ")[self.begin]
+        self.moved = np.searchsorted(self.begin, first)  # each text's first canonical word
+
+    def value(self, i: int) -> str:
+        return str(self.glue[i]).join(self.core[int(c)].as_py() for c in self.code[self.begin[i] : self.end[i]])
+
+
+def _within(firsts: np.ndarray, n: int, texts: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of one text start, and the text of each word."""
+    owner = np.repeat(np.arange(texts), np.diff(firsts))
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), slot, core, firsts
-    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    filled_slots = np.concatenate([[0], np.cumsum(slot)])
-    starts = np.arange(n - window + 1)
-    fit = (owner[: n - window + 1] == owner[window - 1 :]) & (filled_slots[window:] - filled_slots[: n - window + 1] <= window - literals)
-    starts = starts[fit]
-    return owner[starts], starts, span_hashes(hashes, starts, starts + window), slot, core, firsts
+        return np.zeros(0, np.int64), owner
+    return np.flatnonzero(owner[: n - window + 1] == owner[window - 1 :]), owner
+
+
+_MARKS = [("hash", "long"), ("place", "long"), ("literal", "int"), ("of", "long"), ("mask", "long"), ("values", "array<string>")]
 
 
-def marked(rows: DataFrame, key: str, bits=None, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(key, _text_key, text) -> (key, _text_key, hash, place, values, of): the windows, or those that pass the filter ``bits``.
+def marked(rows: DataFrame, key: str, bits=None, lengths: tuple[int, ...] | None = None, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """(key, _text_key, text) -> (key, _text_key, hash, place, literal, of, mask, values): the windows.
 
-    ``values`` are the contents of the window's slots in order, ``of`` is how many windows the text has.
+    Of documents those that pass the filter ``bits``, and plain ones of the ``lengths`` that the items need. ``literal`` is the
+    length of a window of plain words, 0 for canonical ones; ``values`` are the contents of the window's slots, ``mask`` says
+    where they stand, and ``of`` is how many windows of its kind the text has.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            owner, starts, hashes, slot, core, firsts = windows(filled(batch.column("text")), window, literals)
-            of = np.bincount(owner, minlength=batch.num_rows)
-            if bits is not None:
-                hit = passing(bits, hashes)
-                owner, starts, hashes = owner[hit], starts[hit], hashes[hit]
-            values = [[core[i].as_py() for i in range(s, s + window) if slot[i]] for s in starts.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(owner)), batch.column("_text_key").take(pa.array(owner)), pa.array(hashes.view(np.int64)),
-                 pa.array(starts - firsts[owner]), pa.array(values, pa.list_(pa.string())), pa.array(of[owner])],
-                names=[key, "_text_key", "hash", "place", "values", "of"])
+            many, words = batch.num_rows, Words(filled(batch.column("text")))
+            parts = []
+            starts, owner = _within(words.moved, len(words.hashes), many, window)
+            filled_slots = np.concatenate([[0], np.cumsum(words.slot)])
+            fit = filled_slots[starts + window] - filled_slots[starts] <= window - literals
+            all_windows = np.bincount(owner[starts], minlength=many)
+            starts = starts[fit]
+            of = np.bincount(owner[starts], minlength=many)
+            parts.append((0, owner[starts], starts, starts - words.moved[owner[starts]], span_hashes(words.hashes, starts, starts + window), of))
+            plain = mixed(words.plain, 5)
+            sizes = np.diff(words.firsts)
+            for length in range(1, window + 1) if lengths is None else lengths:
+                starts, owner = _within(words.firsts, len(plain), many, length)
+                if lengths is None:  # the items that need plain windows
+                    dense = (np.minimum(sizes, window) == length) & (2 * of <= all_windows)
+                    starts = starts[dense[owner[starts]]]
+                hashes = span_hashes(plain, starts, starts + length)
+                if lengths is not None and length < window and len(starts):  # one place is enough
+                    hit = np.flatnonzero(passing(bits, hashes))
+                    once = hit[np.unique(np.rec.fromarrays([owner[starts[hit]], hashes[hit]]), return_index=True)[1]]
+                    starts, hashes = starts[once], hashes[once]
+                parts.append((length, owner[starts], starts, starts - words.firsts[owner[starts]], hashes, np.bincount(owner[starts], minlength=many)))
+            for length, owner, starts, places, hashes, of in parts:
+                if bits is not None:
+                    hit = passing(bits, hashes)
+                    owner, starts, places, hashes = owner[hit], starts[hit], places[hit], hashes[hit]
+                if not len(starts):
+                    continue
+                slots = [[] if length else [i for i in range(window) if words.slot[s + i]] for s in starts.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(owner)), batch.column("_text_key").take(pa.array(owner)), pa.array(hashes.view(np.int64)), pa.array(places),
+                     pa.array(np.full(len(starts), length, np.int32)), pa.array(of[owner]), pa.array([sum(1 << i for i in at) for at in slots], pa.int64()),
+                     pa.array([[words.value(s + i) for i in at] for s, at in zip(starts.tolist(), slots)], pa.list_(pa.string()))],
+                    names=[key, "_text_key", *(name for name, _ in _MARKS)])
 
     return rows.select(key, F.xxhash64("text").alias("_text_key"), "text").mapInArrow(
-        run, f"{key} long, _text_key long, hash long, place long, values array<string>, of long")
+        run, f"{key} long, _text_key long, " + ", ".join(f"{name} {kind}" for name, kind in _MARKS))
+
+
+def judged(found: list[dict], of: int, coverage: float, run: int) -> tuple[int, bool] | None:
+    """The windows that count in the best alignment of a document with an item, and whether values are changed there."""
+    found = sorted(found, key=lambda m: m["place"] - m["item_place"])
+    best, last = None, None
+    groups: list[list[dict]] = []
+    for m in found:
+        shift = m["place"] - m["item_place"]
+        if last is None or shift - last > GAP:
+            groups.append([])
+        groups[-1].append(m)
+        last = shift
+    for group in groups:
+        became: dict[str, dict] = defaultdict(dict)
+        for m in group:
+            at = [i for i in range(m["mask"].bit_length()) if m["mask"] >> i & 1]
+            for i, a, b in zip(at, m["item_values"], m["values"]):
+                became[a][m["item_place"] + i, m["place"] + i] = b
+        usual = {}
+        for a, places in became.items():
+            b, times = Counter(places.values()).most_common(1)[0]
+            if 2 * times > len(places):
+                usual[a] = b
+        fitting = [m for m in group if all(usual.get(a) == b for a, b in zip(m["item_values"], m["values"]))]
+        equal = [m for m in group if m["item_values"] == m["values"]]
+        counts = [(len({m["item_place"] for m in fitting}), any(m["item_values"] != m["values"] for m in fitting)), (len({m["item_place"] for m in equal}), False)]
+        for windows, changed in counts:
+            if windows and (windows >= of * coverage or windows >= run) and (best is None or (windows, not changed) > (best[0], not best[1])):
+                best = windows, changed
+    return best
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
-    """Per contaminated document and item: doc_id, _text_key, item_id, windows, covered, reparameterised."""
+    """Per contaminated document, item and kind of window: doc_id, _text_key, item_id, windows, covered, reparameterised."""
     items = settled(marked(benchmark, "item_id"), "benchmark-windows")
-    hits = settled(marked(docs, "doc_id", bloom(items, "hash")), "document-windows")
-    pairs = hits.join(items.select("item_id", "hash", F.col("place").alias("item_place"), F.col("values").alias("item_values"), F.col("of").alias("item_of")), "hash")
-    met = F.zip_with("item_values", "values", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    slots = pairs.withColumn("shift", F.col("place") - F.col("item_place")).select(
-        "doc_id", "_text_key", "item_id", "item_of", "shift", "item_place", met.alias("met"))
-    aligned = slots.groupBy("doc_id", "_text_key", "item_id", "shift").agg(
-        F.first("item_of").alias("item_of"), F.countDistinct("item_place").alias("windows"), F.array_distinct(F.flatten(F.collect_set("met"))).alias("met"))
-    consistent = F.size("met") == F.size(F.array_distinct(F.transform("met", lambda s: s["a"])))
-    changed = F.exists("met", lambda s: s["a"] != s["b"])
-    good = aligned.where(consistent & ((F.col("windows") >= F.col("item_of") * coverage) | (F.col("windows") >= run)))
-    return good.groupBy("doc_id", "_text_key", "item_id").agg(
-        F.max("windows").alias("windows"), F.max(F.col("windows") / F.col("item_of")).alias("covered"), F.min(changed).alias("reparameterised"))
+    lengths = tuple(sorted(r[0] for r in items.where("literal > 0").select("literal").distinct().collect()))  # WINDOW at most
+    hits = settled(marked(docs, "doc_id", bloom(items, "hash"), lengths), "document-windows").select("doc_id", "_text_key", "hash", "place", "values")
+    wanted = items.select("item_id", F.col("_text_key").alias("item_key"), "hash", F.col("place").alias("item_place"), "literal", "of", "mask", F.col("values").alias("item_values"))
+    met = F.struct("item_place", "place", "mask", "item_values", "values")
+    pairs = hits.join(wanted, "hash").groupBy("doc_id", "_text_key", "item_id", "item_key", "literal").agg(F.first("of").alias("of"), F.collect_set(met).alias("found"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = batch.column("of").to_pylist()
+            made = [judged(batch.column("found")[i].as_py(), of, coverage, run) for i, of in enumerate(many)]
+            good = pa.array([i for i, m in enumerate(made) if m], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(good) for c in ("doc_id", "_text_key", "item_id")), pa.array([m[0] for m in made if m], pa.int64()),
+                 pa.array([m[0] / of for m, of in zip(made, many) if m], pa.float64()), pa.array([m[1] for m in made if m], pa.bool_())],
+                names=["doc_id", "_text_key", "item_id", "windows", "covered", "reparameterised"])
+
+    return pairs.mapInArrow(judge, "doc_id long, _text_key long, item_id long, windows long, covered double, reparameterised boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -313,6 +313,36 @@ def test_decontamination(spark, docs, texts, awkward):
     assert kept.count() == len(AWKWARD) and kept.columns == awkward.columns
 
 
+def leaks(spark, items, texts):
+    """The items found in each text."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    made = templates.contamination_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark).collect()
+    found = {r.doc_id: list(r.item_ids) for r in made}
+    return [found.get(i, []) for i in range(len(texts))]
+
+
+def test_decontamination_slips(spark):
+    story = " ".join(f"word{i}x goes" if i % 20 else "then Tom says" for i in range(1, 150))
+    twice = "he met Tom at noon " + story + " and Tom went home"
+    slip = "Tim".join(twice.rsplit("Tom", 1))
+    other = "Joe".join(twice.replace("Tom", "Sam").rsplit("Sam", 1))
+    assert leaks(spark, [twice], [twice, slip, other, "nothing of that sort is in here at all, not one line of it"]) == [[0], [0], [0], []]
+
+
+def test_decontamination_lengths(spark):
+    item = "we know that the train to Paris leaves early and that Anna takes 5 kg of bread along for the way"
+    other = item.replace("Paris", "New York").replace("Anna", "Mary Ann Smith").replace("5 kg", "12kg")
+    plain = "a farmer keeps several hens in a small yard and sells all of the eggs that they lay each week to people who live nearby"
+    inserted = plain.replace("yard and", "yard nowadays and")
+    assert leaks(spark, [item, plain], [item, other, inserted]) == [[0], [0], [1]]
+
+
+def test_decontamination_short_and_dense(spark):
+    items = ["Who wrote Faust?", "12 + 35 + 7 = 54, 9 + 8 + 11 = 28 and 3 + 4 + 5 = 12", "Der Hund Sieht Den Mann Im Garten Und Der Mann Sieht Den Baum", "日本の首都はどこですか"]
+    texts = [f"so here it is: {item} and that is all" for item in items] + ["Who wrote the letter, and 12 + 36 + 7 = 55?", "日本の山はどこ"]
+    assert leaks(spark, items, texts) == [[0], [1], [2], [3], [], []]
+
+
 def test_licenses(spark, docs, awkward):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "x"), (3, None, None), (4, "z.py", "copyright me"),
             (5, "a/b/LICENSE.md", 'Licensed under the Apache License, Version 2.0 (the "License")'), (6, "a/q/r/s.py", ""), (7, "a/own.py", "# Licensed under CC BY-NC 4.0.\ncode"),
