@@ -49,6 +49,11 @@ DROPPED_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion "
     "disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related "
     "remarks replies responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+# words of names that tell a state of the page or of an element, not what it is
+STATES = frozenset(
+    "has have no not non with without is are show shows hide hides open opened close closed on off enabled disabled allowed active inactive hidden visible "
+    "collapsed expanded fixed sticky left right free loaded ready".split())
+FRAMES = frozenset("html body main article".split())  # never dropped by class or id: they hold the text
 NAME_PARTS = re.compile(r"[a-z]+")
 CLOSED_BY = {  # an open element (key) ends where one of these starts
     "p": BLOCK - {"option", "legend", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
@@ -65,6 +70,16 @@ class Element:
         self.parts: list = []  # texts and elements in page order
 
 
+def furniture(names: str) -> bool:
+    """Whether a class or id (lower case) names what is not article text: a word of ``DROPPED_NAMES`` as a whole name, or as the
+    first or last word of a name that does not just state something ("has-sidebar", "nav-closed")."""
+    for name in names.split():
+        words = NAME_PARTS.findall(name)
+        if name in DROPPED_NAMES or (words and not {words[0], words[-1]} & STATES and (words[0] in DROPPED_NAMES or words[-1] in DROPPED_NAMES)):
+            return True
+    return False
+
+
 def unwanted(name: str, attributes: str) -> bool:
     if name in DROPPED:
         return True
@@ -73,7 +88,7 @@ def unwanted(name: str, attributes: str) -> bool:
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (values[0] or values[1] or values[2]).lower()
         if key in ("class", "id"):
-            if any(part in DROPPED_NAMES for part in NAME_PARTS.findall(value)):
+            if name not in FRAMES and furniture(value):
                 return True
         elif key == "role":
             if value.strip() in DROPPED_ROLES:

@@ -190,6 +190,15 @@ def test_site_templates(spark):
     assert pages.blocks(pages.main_parts(*inside)) == ["T", "a b", "e"]
 
 
+def test_names_that_only_tell_a_state(spark):
+    page = "<html class='nav-closed'><body class='has-sidebar'>{0}</body></html>"
+    article = "<article class='post comment-open'><div class='no-sidebar'><p>All of it.</p></div>{0}</article>"
+    furniture = "".join(f"<div class='{name}'>gone</div>" for name in ("ad", "site-footer", "share-buttons", "box newsletter", "comments-area"))
+    bodies = [article.format(furniture), f"<main class='no-sidebar' id='header'>{article.format(furniture)}</main>", f"<p>All of it.</p>{furniture}"]
+    rows = spark.createDataFrame([(i, "http://h.example/", page.format(body)) for i, body in enumerate(bodies)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extracted(rows).collect()} == dict.fromkeys(range(3), "All of it.")
+
+
 def plain_components(rows, size, percent):
     sets = {}
     for i, text in rows:
