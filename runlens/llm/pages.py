@@ -6,9 +6,10 @@ Subtrees that recur on many pages of a host are its template. The second pass pa
 without those subtrees and without what is never article text: scripts, styles, forms, navigation, page headers and
 footers, asides, notices, adverts and reader comments, by element name, role or class.
 
-The main text is that of the page's <article> elements, else of <main>, else of <body>. Inside <article> or <main> only
-recurring containers go, not single paragraphs or headings: short sentences recur there by chance. Text outside
-them is not part of the result at all, so its subtrees need not be counted.
+The main text is that of the page's <article> elements, else of <main>, else of <body>. A subtree is template on
+``LEAST_PAGES`` pages that are ``LEAST_SHARE`` of the host's, or on ``MANY_PAGES`` whatever their share. Single
+paragraphs, headings and the like inside <article> or <main> always need ``LEAF_SHARE``, since short sentences
+recur there by chance. Text outside them is not part of the result at all, so its subtrees need not be counted.
 
 Defined cases: null or empty html gives an empty text; a page without a host (null or odd url) belongs to the host ""; pages
 are told apart by page_id and the hash of their html, so that repeated or null ids do no harm; end tags that are missing
@@ -30,6 +31,8 @@ from runlens.llm.common import filled, settled, slices, text_hashes
 
 LEAST_PAGES = 8  # distinct pages of a host that a template subtree is on, and
 LEAST_SHARE = 0.2  # their share of the host's distinct pages
+LEAF_SHARE = 0.3  # that share for paragraphs, headings, list items, .. inside <article> and <main>
+MANY_PAGES = 1000  # on as many distinct pages a subtree other than such a leaf is template, whatever the share
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -196,21 +199,21 @@ def blocks(tops: list[Element], removed: frozenset | set = frozenset()) -> list[
     return lines
 
 
-def candidates(tops: list[Element]) -> list[tuple[int, str]]:
-    """Blocks that could be template, with what their hash is taken of. In <article> and <main> those are containers."""
-    found: list[tuple[int, str]] = []
+def candidates(tops: list[Element]) -> list[tuple[int, str, bool]]:
+    """Blocks that could be template, what their hash is taken of, and whether they are leaves in <article> or <main>."""
+    found: list[tuple[int, str, bool]] = []
     for top in tops:
-        every = top.name not in ("article", "main")
+        inside = top.name in ("article", "main")
         waiting = [p for p in top.parts if isinstance(p, Element)]
         while waiting:
             e = waiting.pop()
             if e.dropped or e.name in VOID:
                 continue
             inner = [p for p in e.parts if isinstance(p, Element)]
-            if e.name in BLOCK and (every or e.name not in LEAF):
+            if e.name in BLOCK:
                 text = "\n".join(blocks([e]))
                 if text:
-                    found.append((e.place, f"{e.name}\n{text}"))
+                    found.append((e.place, f"{e.name}\n{text}", inside and e.name in LEAF))
             waiting += inner
     return found
 
@@ -221,7 +224,7 @@ def host_of(url: str | None) -> str:
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """Per candidate subtree: host, its hash, the page (page_id and the hash of its html), the body's hash and its place."""
+    """Per candidate subtree: host, its hash, whether a leaf, the page (page_id and the hash of its html), the body's hash and its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = filled(batch.column("html"))
@@ -233,31 +236,33 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
                 tops = main_parts(root, elements)
                 host = host_of(urls[i])
                 body = len(keyed)
-                rows.append((host, None, ids[i], own, body, -1))
+                rows.append((host, None, ids[i], own, body, -1, None))
                 keyed.append("\n".join(blocks(tops)))
-                for place, key in candidates(tops):
-                    rows.append((host, len(keyed), ids[i], own, body, place))
+                for place, key, leaf in candidates(tops):
+                    rows.append((host, len(keyed), ids[i], own, body, place, leaf))
                     keyed.append(key)
             hashes = text_hashes(filled(pa.array(keyed, pa.string()))).view(np.int64) if keyed else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({
                 "host": [r[0] for r in rows], "subtree": [None if r[1] is None else int(hashes[r[1]]) for r in rows],
                 "page_id": [r[2] for r in rows], "html_hash": [r[3] for r in rows], "body": [int(hashes[r[4]]) for r in rows],
-                "place": [r[5] for r in rows],
-            }, schema=pa.schema([("host", pa.string()), ("subtree", pa.int64()), ("page_id", pa.int64()), ("html_hash", pa.int64()), ("body", pa.int64()), ("place", pa.int64())]))
+                "place": [r[5] for r in rows], "leaf": [r[6] for r in rows],
+            }, schema=pa.schema([("host", pa.string()), ("subtree", pa.int64()), ("page_id", pa.int64()), ("html_hash", pa.int64()), ("body", pa.int64()), ("place", pa.int64()), ("leaf", pa.bool_())]))
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, subtree long, page_id long, html_hash long, body long, place long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, subtree long, page_id long, html_hash long, body long, place long, leaf boolean")
 
 
 def template_places(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """Per page that has any: the places of its template subtrees."""
     marks = settled(subtree_hashes(pages), "page-subtrees")
     # a row without subtree stands for the page itself; distinct bodies are counted before hosts meet
-    seen = marks.groupBy("host", "subtree", "body").agg(F.count(F.lit(1)).alias("copies")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("bodies"))
+    seen = marks.groupBy("host", "subtree", "leaf", "body").agg(F.count(F.lit(1)).alias("copies")).groupBy("host", "subtree", "leaf").agg(F.count(F.lit(1)).alias("bodies"))
     counts = settled(seen, "page-counts")
     hosts = counts.where("subtree is null").select(F.col("host").alias("_h"), F.col("bodies").alias("of"))
     recurring = counts.where(F.col("subtree").isNotNull() & (F.col("bodies") >= least_pages)).join(hosts, F.col("host") == F.col("_h"))
-    template = settled(recurring.where(F.col("bodies") >= least_share * F.col("of")).select("host", "subtree"), "page-templates")
-    return marks.join(template, ["host", "subtree"]).groupBy("page_id", "html_hash").agg(F.collect_set("place").alias("places"))
+    share = F.when(F.col("leaf"), F.greatest(F.lit(least_share), F.lit(LEAF_SHARE))).otherwise(F.lit(least_share))
+    usual = (F.col("bodies") >= share * F.col("of")) | (~F.col("leaf") & (F.col("bodies") >= MANY_PAGES))
+    template = settled(recurring.where(usual).select("host", "subtree", "leaf"), "page-templates")
+    return marks.join(template, ["host", "subtree", "leaf"]).groupBy("page_id", "html_hash").agg(F.collect_set("place").alias("places"))
 
 
 def extracted(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -199,6 +199,15 @@ def test_names_that_only_tell_a_state(spark):
     assert {r.page_id: r.text for r in pages.extracted(rows).collect()} == dict.fromkeys(range(3), "All of it.")
 
 
+def test_site_templates_in_articles(spark, monkeypatch):
+    monkeypatch.setattr(pages, "MANY_PAGES", 12)
+    page = "<body><article><h1>Title {0}</h1><p>Text {0}</p>{1}{2}<p>Subscribe to <b>our</b> paper</p></article></body>"
+    # a paragraph on all pages, one on a fifth of them by chance, a section on few but many pages
+    rows = [(i, "http://h.example/", page.format(i, "<p>By chance.</p>" if i % 5 == 0 else "", "<section><div>Shop news</div></section>" if i < 12 else "")) for i in range(100)]
+    made = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert made == {i: f"Title {i}\nText {i}" + ("\nBy chance." if i % 5 == 0 else "") for i in range(100)}
+
+
 def plain_components(rows, size, percent):
     sets = {}
     for i, text in rows:
