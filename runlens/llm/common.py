@@ -50,6 +50,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
                 yield batch.slice(start, end - start)
 
 
+def unrepeated(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with one row of those alike in doc_id and text; both without nulls in doc_id."""
+    if batch.num_rows < 2:
+        return batch
+    keys = np.rec.fromarrays([batch.column("doc_id").to_numpy(), text_hashes(filled(batch.column("text")))])
+    return batch.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+
+
 def filled(texts: pa.Array) -> pa.StringArray:
     """Texts without nulls, from offset 0, so that their buffers can be read as they are."""
     return pa.concat_arrays([pc.fill_null(texts.cast(pa.string()), "")])

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, unpacked, word_hashes, words_of
+from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, unpacked, unrepeated, word_hashes, words_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -152,9 +152,10 @@ def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passing(bits, batch.column("doc_id").to_numpy().view(np.uint64))))
+            yield unrepeated(batch.filter(pa.array(passing(bits, batch.column("doc_id").to_numpy().view(np.uint64)))))
 
-    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(wanted, "doc_id long, text string")
+    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(wanted, "doc_id long, text string").repartition("doc_id")
+    texts = texts.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])  # equal rows once
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b")
 

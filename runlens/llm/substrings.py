@@ -13,7 +13,7 @@ consecutive windows with the same anchor form a segment; equal windows have equa
    it each time) are taken apart into windows, which are grouped by their hash in the same way as segments in step 2.
 
 Hashes that decide are pairs of 64 bits. Defined cases: a null text has no words; a null id neither removes words nor
-loses any; rows that share an id do not remove one another's words, nor their own; an empty table gives an empty
+loses any; rows that share an id do not remove one another's words, nor their own; equal rows are listed and indexed once; an empty table gives an empty
 result.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import bloom, filled, mixed, passing, settled, slices, span_hashes, word_hashes, words_of
+from runlens.llm.common import bloom, filled, mixed, passing, settled, slices, span_hashes, unrepeated, word_hashes, words_of
 from runlens.llm.fmindex import FmIndex
 
 WINDOW = 50
@@ -91,10 +91,11 @@ def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passing(bits, batch.column("row_key").to_numpy().view(np.uint64))))
+            yield unrepeated(batch.filter(pa.array(passing(bits, batch.column("row_key").to_numpy().view(np.uint64)))))
 
-    texts = docs.select("doc_id", "row_key", "text")
-    return texts.mapInArrow(wanted, "doc_id long, row_key long, text string").join(rows, ["doc_id", "row_key"])
+    texts = docs.select("doc_id", "row_key", "text").where("doc_id is not null")
+    once = texts.mapInArrow(wanted, "doc_id long, row_key long, text string").dropDuplicates(["doc_id", "row_key"])
+    return once.join(rows, ["doc_id", "row_key"])
 
 
 def taken_out(texts: DataFrame, window: int) -> DataFrame:
@@ -151,7 +152,7 @@ def repeats(table: pa.Table, window: int) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, split: int = SPLIT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs (doc_id, row_key, text) -> doc_id, row_key, start, end: words that a smaller document has, maybe several times."""
-    marks = settled(listed(docs.where("doc_id is not null"), window, anchor), "repeat-marks")
+    marks = settled(listed(docs.where("doc_id is not null"), window, anchor).distinct(), "repeat-marks")
     shared = settled(marks.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "repeat-anchors")
     live = settled(marks.join(shared, "anchor", "left_semi"), "repeat-live")
     owned = settled(live.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner")), "repeat-owners")
@@ -162,7 +163,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     total = own.where("wide is null").agg(F.sum(F.col("windows") + (window - 1))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_words))
     shard = F.when(F.col("wide"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).cast("long")
-    asked = own.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "windows", shard.alias("shard"))).alias("wanted"))
+    asked = own.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "windows", shard.alias("shard"))).alias("wanted"))
     out = settled(taken_out(_with_texts(settled(asked, "repeat-asked"), docs), window), "repeat-texts")
     found = out.where("shard >= 0").groupBy("shard").applyInArrow(
         lambda table: repeats(table, window), "doc_id long, row_key long, start int, end int")

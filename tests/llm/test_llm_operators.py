@@ -256,6 +256,21 @@ def test_near_duplicates_of_one_family(spark, awkward):
     assert near.one_of_each(awkward).columns == awkward.columns
 
 
+def test_repeated_rows_are_worked_on_once(spark, monkeypatch):
+    story = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, story), (2, f"other {story} end"), (2, f"other {story} end"), (3, f"{story} x")] + [(1, story)] * 40
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = table.selectExpr("doc_id", "text", "xxhash64(doc_id, text) as row_key")
+    asked = keyed.select("doc_id", "row_key").distinct()
+    assert substrings._with_texts(asked, keyed).count() == 3 and near.with_texts(spark.createDataFrame([(2, 1), (3, 1)], "a long, b long"), table).count() == 2
+    listed = []
+    taken = substrings.taken_out
+    monkeypatch.setattr(substrings, "taken_out", lambda texts, window: (listed.append(texts.selectExpr("sum(size(wanted)) as n").first().n), taken(texts, window))[1])
+    made = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.substring_report(table, 50).collect()}
+    once = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.substring_report(table.distinct(), 50).collect()}
+    assert made == once == {(1, 400, 0), (2, 402, 400), (3, 401, 400)} and listed[0] == listed[1]
+
+
 def test_posterior_bounds():
     assert near.least_matches(80) == tuple(sorted(near.least_matches(80)))
     assert near.least_matches(80)[-1] < 0.8 * near.HASHES
