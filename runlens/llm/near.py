@@ -313,7 +313,21 @@ def near_report(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataF
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay: the smallest id of each component, those with a null id, columns unchanged."""
-    gone = classes(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = packed(docs, "doc_id").join(settled(gone, "near-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return rows.select(*unpacked(docs.columns))
+    """One document of each component: that with the smallest id. Those with a null id stay; columns unchanged.
+
+    The nodes are texts under their id (64 bits of hash of both), not ids: where ids are shared, a text only goes if a
+    document near to that text stays, and of rows with the same id and text one stays, the first by a hash of its other columns.
+    """
+    key = F.xxhash64("doc_id", "text")
+    known = docs.where("doc_id is not null")
+    found = classes(known.select(key.alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    nodes = known.groupBy(key.alias("_key")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("times"))
+    named = settled(nodes.join(found, "_key"), "near-nodes")
+    stays = named.groupBy("component_id").agg(F.min(F.struct("id", "_key")).alias("best")).select("component_id", F.col("best._key").alias("best"))
+    gone = settled(named.join(stays, "component_id").where("_key <> best").select("_key"), "near-gone")
+    again = settled(named.where("times > 1").select("_key"), "near-again")
+    others = F.xxhash64(*(F.col(f"`{name}`").cast("string") for name in docs.columns))
+    rows = packed(docs, F.when(F.col("doc_id").isNotNull(), key).alias("_key"), others.alias("_others")).join(gone, "_key", "left_anti")
+    single = rows.join(again, "_key", "left_anti").select("_row")
+    repeated = rows.join(again, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", "_others").alias("_row")).select("_row")
+    return single.union(repeated).select(*unpacked(docs.columns))
