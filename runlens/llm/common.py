@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
 
 
 def unrepeated(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with one row of those alike in doc_id and text; both without nulls in doc_id."""
-    if batch.num_rows < 2:
+    """The batch with one row of those alike in doc_id and text; doc_id is never null.
+
+    Only texts whose id comes up again in the batch are hashed, one at a time.
+    """
+    ids = batch.column("doc_id").to_numpy()
+    _, first, again, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+    if len(first) == len(ids):
         return batch
-    keys = np.rec.fromarrays([batch.column("doc_id").to_numpy(), text_hashes(filled(batch.column("text")))])
-    return batch.take(pa.array(np.sort(np.unique(keys, return_index=True)[1])))
+    texts, seen, kept = batch.column("text"), set(), []
+    for i in range(len(ids)):
+        if times[again[i]] > 1:
+            text = texts[i].as_buffer() if texts[i].is_valid else None
+            key = (ids[i], text if text is None else blake2b(text, digest_size=16).digest())
+            if key in seen:
+                continue
+            seen.add(key)
+        kept.append(i)
+    return batch.take(pa.array(kept))
 
 
 def filled(texts: pa.Array) -> pa.StringArray:
@@ -92,16 +106,27 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
+BLOCK_BITS = 20
+BLOCK = 1 << BLOCK_BITS  # values hashed at once; the tables below have this size whatever the texts
+
+
+def _running(factor: np.uint64, size: int) -> np.ndarray:
+    made = np.full(size, factor)
+    made[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(made, dtype=np.uint64)
+
+
 @lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    forth, back = np.full(size + 1, _STEP), np.full(size + 1, _BACK)
-    forth[0] = back[0] = 1
-    return np.cumprod(forth, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2**64, up to one block."""
+    return _running(_STEP, BLOCK), _running(_BACK, BLOCK)
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse modulo 2**64."""
-    return _powers(1 << max(16, (size - 1).bit_length()))
+@lru_cache(maxsize=1)
+def _block_powers(blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for whole blocks."""
+    return tuple(_running(np.uint64(pow(int(f), BLOCK, 2**64)), blocks) for f in (_STEP, _BACK))
 
 
 def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -115,16 +140,43 @@ def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each span; equal runs of values have equal hashes."""
-    forth, back = powers(len(values))
+    forth, back = _powers()
+    jumps, returns = _block_powers((len(values) >> BLOCK_BITS) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * forth[: len(values)], dtype=np.uint64)])
-        return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        for i, jump in enumerate(jumps):
+            at = i << BLOCK_BITS
+            part = values[at : at + BLOCK]
+            np.cumsum(part * forth[: len(part)] * jump, dtype=np.uint64, out=sums[at + 1 : at + 1 + len(part)])
+            sums[at + 1 : at + 1 + len(part)] += sums[at]
+        inverse = back[starts & (BLOCK - 1)] * returns[starts >> BLOCK_BITS]
+        return mixed((sums[ends] - sums[starts]) * inverse + (ends - starts).astype(np.uint64))
 
 
 def text_hashes(texts: pa.StringArray) -> np.ndarray:
-    """A 64-bit hash of each text, alike on every machine."""
+    """A 64-bit hash of each text, alike on every machine; about a block of bytes is expanded at a time."""
     raw, offsets = bytes_of(texts)
-    return span_hashes(_BYTE[raw], offsets[:-1], offsets[1:])
+    made, first = np.zeros(len(texts), np.uint64), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, side="right")) - 1)
+        if offsets[last] - offsets[first] > BLOCK:
+            made[first] = _long_hash(raw[offsets[first] : offsets[last]])
+        else:
+            at = offsets[first : last + 1] - offsets[first]
+            made[first:last] = span_hashes(_BYTE[raw[offsets[first] : offsets[last]]], at[:-1], at[1:])
+        first = last
+    return made
+
+
+def _long_hash(raw: np.ndarray) -> np.uint64:
+    """The hash of one text of more than a block: the sums of its blocks, put together from the last to the first."""
+    forth, _ = _powers()
+    total, jump = 0, pow(int(_STEP), BLOCK, 2**64)
+    with np.errstate(over="ignore"):
+        for at in range((len(raw) - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            part = _BYTE[raw[at : at + BLOCK]]
+            total = (total * jump + int(np.sum(part * forth[: len(part)], dtype=np.uint64))) % 2**64
+    return mixed(np.array([(total + len(raw)) % 2**64], np.uint64))[0]
 
 
 def word_hashes(words: pa.StringArray) -> np.ndarray:
