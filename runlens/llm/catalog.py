@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import licenses, mixing, near, pages, quality, secrets, shards, substrings, templates, tokens
+from runlens.llm import (licenses, mixing, near, pages, periodic, quality, secrets, shards, spellings, substrings, templates, tokens,
+                         vectors)
 from runlens.llm.common import documents
 
 
@@ -50,9 +51,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_report(documents(spark, sf_dir))
+
+
+def op12_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_links(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(documents(spark, sf_dir), replace=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     job.__name__: job
     for job in (op1_quality_rules, op2_substring_dedup, op3_token_counts, op4_secret_scan, op5_html_extraction, op6_minhash_near,
-                op7_sharding, op8_decontamination, op9_license_scan, op10_mixing)
+                op7_sharding, op8_decontamination, op9_license_scan, op10_mixing, op11_spelling_variants, op12_embedding_near,
+                op13_periodic_runs)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_spelling_variants": spellings.ORACLE, "op12_embedding_near": vectors.ORACLE}
