@@ -217,3 +217,53 @@ def passing(bits, hashes: np.ndarray) -> np.ndarray:
     for at in _places(hashes):
         hit &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
     return hit
+
+
+# --- groups of rows in a task ---------------------------------------------------------------------------------------
+
+def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the place where each row's begin (one more at the end)."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted batches regrouped so that none cuts a group of equal keys: (rows, places where groups start and end)."""
+    held: list[pa.RecordBatch] = []
+
+    def edges(batch: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            column = batch.column(key).to_numpy()
+            change |= column[1:] != column[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[-1].column(key)[-1] == batch.column(key)[0] for key in keys) and edges(batch)[-1] == 0:
+            held.append(batch)  # one group goes on through all of this batch
+            continue
+        held.append(batch)
+        rows = joined()
+        starts = edges(rows)
+        held = [rows.slice(starts[-1])]
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts
+    if held:
+        rows = joined()
+        yield rows, np.append(edges(rows), rows.num_rows)
+
+
+def joined_ranks(ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For nodes with these ids and links (p, q) between their places: the rank of the smallest id each one is joined with."""
+    root = np.argsort(np.argsort(ids))
+    while True:
+        least = np.minimum(root[p], root[q])
+        if (least == root[p]).all() and (least == root[q]).all():
+            return root
+        np.minimum.at(root, p, least)
+        np.minimum.at(root, q, least)

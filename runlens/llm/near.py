@@ -10,9 +10,9 @@ class at once; the rest works on one representative of each class.
 3. Survivors are verified on their full sets; only that makes a link.
 
 Round one verifies each text with the hub it shares most bands with, round two the other hubs of texts that are still
-apart, round three the pairs of members of a bucket that lie in different components and whose differences from their common
-hub share enough to allow a link (``across``). So no link that could join two components is left out, while the members of a
-joined group are never paired with one another.
+apart, round three the members of a bucket that lie in different components, exactly and in blocks, by their differences from
+their common hub (``across``). So no link that could join two components is left out, while the members of a joined group are
+never paired with one another.
 
 Defined cases: a text without words (or null) has an empty set and no link; a text with fewer words than a shingle is one
 shingle; a null id is linked with nothing and is its own, null component; rows that share an id and a set are one
@@ -31,7 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, unpacked, unrepeated, word_hashes, words_of
+from runlens.llm.common import (bloom, filled, joined_ranks, mixed, packed, passing, ragged, settled, slices, span_hashes, unpacked, unrepeated,
+                                whole_groups, word_hashes, words_of)
 
 SHINGLE = 5
 PERCENT = 80
@@ -41,6 +42,9 @@ BATCH = 32  # signature values compared at once
 MISS = 1e-7
 HASHES = BANDS * ROWS
 TEXT_BYTES = 2 << 20
+BLOCK = 512  # members of a bucket that one side of a block holds, about
+COLUMNS = 4096  # shingles of a block counted at once
+SALTS = 16
 _DRAWN = np.random.default_rng(4242)
 _FACTORS = _DRAWN.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _DRAWN.integers(0, 2**64, HASHES, dtype=np.uint64)
@@ -205,12 +209,10 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
     return rows.join(known, F.col(column) == F.col("_id"), "left").withColumn(name, F.coalesce("_component", column)).drop("_id", "_component")
 
 
-def differences(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(rep, hub, ..) -> the shingles that only one of the two sets holds, with the set's size ``n`` and their number ``d``.
-
-    ``own`` tells texts that share an id apart.
-    """
-    schema = "rep long, hub long, component long, home long, own long, n long, nh long, d long, shingle long"
+def differences(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, hub, ..) -> per member the shingles that only one of the two sets holds, with the set's size ``n``."""
+    narrow = ["rep", "hub", "component", "main", "x_slices", "y_slices"]
+    schema = ", ".join(f"{c} long" for c in (*narrow, "n")) + ", shingles array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "ta", TEXT_BYTES), "tb", TEXT_BYTES):
@@ -222,49 +224,89 @@ def differences(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             same[1:-1] = (owner[1:] == owner[:-1]) & (value[1:] == value[:-1])
             single = ~(same[1:] | same[:-1])
             owner, value = owner[single], value[single]
-            counts = [np.bincount(o, minlength=batch.num_rows)[owner] for o in (left[0], right[0], owner)]
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("rep", "hub", "component", "home", "own")), *(pa.array(c) for c in counts), pa.array(value.view(np.int64))],
-                schema=pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")]))
-
-    both = with_texts(pairs.withColumns({"a": F.col("rep"), "b": F.col("hub")}), docs)
-    return both.select("rep", "hub", "component", "home", F.xxhash64("ta", "tb").alias("own"), "ta", "tb").mapInArrow(run, schema)
+            offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.view(np.int64)))
+            sizes = pa.array(np.bincount(left[0], minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in narrow), sizes, lists], names=[*narrow, "n", "shingles"])
+
+    both = with_texts(members.withColumns({"a": F.col("rep"), "b": F.col("hub")}), docs)
+    return both.select(*narrow, "ta", "tb").mapInArrow(run, schema)
+
+
+def block_links(sides: np.ndarray, rep: np.ndarray, component: np.ndarray, n: np.ndarray, shingles: np.ndarray, at: np.ndarray,
+                percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the x and the y members of a block that lie in different components, as (rep, smallest rep it is joined with)."""
+    x, y = np.flatnonzero(sides), np.flatnonzero(~sides)
+    d = np.diff(at)
+    owner = np.repeat(np.arange(len(d)), d)
+    on_x = sides[owner]
+    known = np.intersect1d(shingles[on_x], shingles[~on_x])
+    place = np.searchsorted(known, shingles)
+    held = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == shingles) if len(known) else np.zeros(0, np.int64)
+    common = np.zeros((len(x), len(y)), np.float32)
+    row = np.zeros(len(d), np.int64)
+    row[x], row[y] = np.arange(len(x)), np.arange(len(y))
+    order = held[np.argsort(place[held], kind="stable")]
+    edges = np.searchsorted(place[order], np.arange(0, len(known) + COLUMNS, COLUMNS))
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = order[a:b]
+        ones = [np.zeros((len(side), COLUMNS), np.float32) for side in (x, y)]
+        for on, matrix in ((on_x[part], ones[0]), (~on_x[part], ones[1])):
+            matrix[row[owner[part[on]]], place[part[on]] - i * COLUMNS] = 1
+        common += ones[0] @ ones[1].T
+    apart = d[x][:, None] + d[y][None, :] - 2 * common.astype(np.int64)
+    total = n[x][:, None] + n[y][None, :]
+    near = (100 * (total - apart) >= percent * (total + apart)) & (total > apart) & (component[x][:, None] != component[y][None, :])
+    p, q = np.nonzero(near)
+    ids, places = np.unique(rep, return_inverse=True)
+    root = joined_ranks(ids, places[x[p]], places[y[q]])
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
 
 
 def across(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, hub, rep, component, home) -> the pairs (a > b) of one hub and two components that can still be links.
-
-    Each member x has been compared with its hub h; ``home`` is the hub's component. Let D(x) be the d(x) shingles that only
-    one of x and h holds, and k = (100 - percent) / (100 + percent). Sets x and y are linked if at most k (n(x) + n(y))
-    shingles are in only one of them, and those are the shingles in only one of D(x) and D(y). So linked sets have
-    c = (d(x) + d(y) - k (n(x) + n(y))) / 2 shingles or more in both D(x) and D(y); as one of the two is not linked with h,
-    c is above zero. With the shingles of each D ordered from rare to frequent, the first common one stands so early that c
-    can still be reached: members meet by that one only, and shingles that one component alone holds are not met by at all.
-    Each pair has a side outside the hub's largest component, so members of a large group do not meet one another.
+    """(bucket, hub, rep, component) -> links between members of one bucket in different components, enough to join them.
+
+    Each member x has been compared with its hub h. Let D(x) be the shingles that only one of x and h holds; sets x and y differ in the
+    shingles that are in only one of D(x) and D(y), so the sizes of the sets, of D(x), D(y) and of what those share tell the
+    similarity exactly, from few shingles. Members outside the hub's largest component (x) meet all members (y), in blocks of slices of
+    each: a block is one group of at most about 2 ``BLOCK`` members, counts shared shingles by matrix products, and gives a
+    row for each member that it joins with a smaller one, never the pairs. Hubs whose members are all joined take no part.
     """
     members = settled(members, "near-members")
     split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    held = settled(members.join(split, "bucket", "left_semi").where("rep <> hub").select("rep", "hub", "component", "home").distinct(), "near-held")
-    largest = held.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("times")).groupBy("hub").agg(F.max_by("component", F.struct("times", "component")).alias("main"))
-    spread = settled(differences(held, docs, size), "near-differences")
-    # the order of one hub's shingles: by the members that hold them
-    known = spread.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("low"), F.max("component").alias("high"))
-    known = settled(known.where("low < high").select("hub", "shingle", "times"), "near-known")
-    own = Window.partitionBy("hub", "rep", "own")
-    k = (100 - percent) / (100 + percent)
-    least = F.col("d") / 2 + F.when(F.col("component") == F.col("home"), k * (F.col("nh") - F.col("n"))).otherwise(-k * (F.col("n") + F.col("nh"))) / 2
-    placed = spread.join(known, ["hub", "shingle"]).withColumn(
-        "place", F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "shingle")))
-    early = settled(placed.where(1 + F.col("d") - F.col("place") >= least - 1e-6).join(largest, "hub").select(
-        "hub", "shingle", "rep", "component", "main", "n", "d", "place"), "near-early")
-    x = early.where("component <> main").select("hub", "shingle", *(F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "d", "place")))
-    y = early.select("hub", "shingle", *(F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "d", "place")))
-    common = (F.col("d_x") + F.col("d_y") - k * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-6
-    fit = (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (
-        1 + F.col("d_x") - F.col("place_x") >= common) & (1 + F.col("d_y") - F.col("place_y") >= common)
-    met = x.withColumnsRenamed({"hub": "hub_x", "shingle": "shingle_x"}).join(y, (F.col("hub_x") == F.col("hub")) & (F.col("shingle_x") == F.col("shingle")) & fit)
-    return met.select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
+    held = settled(members.join(split, "bucket", "left_semi").where("rep <> hub").select("rep", "hub", "component").distinct(), "near-held")
+    each = held.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("times"))
+    hubs = each.groupBy("hub").agg(F.max_by("component", F.struct("times", "component")).alias("main"), F.max("times").alias("most"), F.sum("times").alias("n"))
+    hubs = settled(hubs.where("n > most").select(
+        F.col("hub").alias("_hub"), "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("x_slices"), F.ceil(F.col("n") / BLOCK).alias("y_slices"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")), "near-open-hubs")
+    met = held.join(hubs, (F.col("hub") == F.col("_hub")) & (F.pmod(F.xxhash64("rep"), F.lit(SALTS)) == F.col("_salt")))
+    sets = settled(differences(settled(met.select("rep", "hub", "component", "main", "x_slices", "y_slices"), "near-met"), docs, size), "near-differences")
+
+    def sliced(count: str):
+        return F.pmod(F.xxhash64("rep", F.lit(5)), F.col(count))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    kept = ["rep", "component", "n", "shingles"]
+    x = sets.where("component <> main").select("hub", sliced("x_slices").alias("xs"), every("y_slices").alias("ys"), F.lit(True).alias("is_x"), *kept)
+    y = sets.select("hub", every("x_slices").alias("xs"), sliced("y_slices").alias("ys"), F.lit(False).alias("is_x"), *kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in whole_groups(batches, ["hub", "xs", "ys"]):
+            shingles, at = ragged(batch.column("shingles"))
+            rep, component, n = (batch.column(c).to_numpy() for c in ("rep", "component", "n"))
+            sides, found = batch.column("is_x").to_numpy(zero_copy_only=False), []
+            for a, b in zip(starts, starts[1:]):
+                if sides[a:b].any() and not sides[a:b].all():
+                    found.append(block_links(sides[a:b], rep[a:b], component[a:b], n[a:b], shingles[at[a] : at[b]], at[a : b + 1] - at[a], percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+    keys = ["hub", "xs", "ys"]
+    return x.union(y).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -297,9 +339,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     others = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
     others = _labelled(_labelled(others, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b")
     links, labels = joined(others, links, labels, "second")
-    members = _labelled(_labelled(live.select("bucket", "hub", "rep"), "rep", labels, "component"), "hub", labels, "home")
-    rest = across(members, docs, size, percent)
-    links, labels = joined(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), links, labels, "third")
+    more = settled(across(_labelled(live.select("bucket", "hub", "rep"), "rep", labels, "component"), docs, size, percent), "near-third-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     found = settled(_labelled(groups, "rep", labels, "component_id").drop("rep"), "near-components")
     named = found.select(*(F.col(c).alias(f"_{c}") for c in same), "component_id")
     return sketched.select("doc_id", *same).join(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import mixed, settled
+from runlens.llm.common import joined_ranks, mixed, ragged, settled, whole_groups
 from runlens.llm.near import components
 
 LIMIT = 0.98
@@ -104,16 +104,11 @@ def unit(values: np.ndarray) -> np.ndarray:
     return values / np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
 
 
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-
-
 def entries(nodes: DataFrame, k: int, tables: int) -> DataFrame:
     """(node, group, embedding) -> bucket, node, probe, table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = _ragged(batch.column("embedding"))
+            flat, at = ragged(batch.column("embedding"))
             widths = np.diff(at)
             for width in np.unique(widths):
                 rows = np.flatnonzero(widths == width)
@@ -145,37 +140,6 @@ def blocks(placed: DataFrame, slice_size: int) -> DataFrame:
     return spread.select("bucket", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "node", "probe", "table")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Sorted batches regrouped so that none cuts a group of equal keys: (rows, places where groups start and end)."""
-    held: list[pa.RecordBatch] = []
-
-    def edges(batch: pa.RecordBatch) -> np.ndarray:
-        change = np.zeros(batch.num_rows - 1, bool)
-        for key in keys:
-            column = batch.column(key).to_numpy()
-            change |= column[1:] != column[:-1]
-        return np.concatenate([[0], np.flatnonzero(change) + 1])
-
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and all(held[-1].column(key)[-1] == batch.column(key)[0] for key in keys) and edges(batch)[-1] == 0:
-            held.append(batch)  # one group goes on through all of this batch
-            continue
-        held.append(batch)
-        rows = joined()
-        starts = edges(rows)
-        held = [rows.slice(starts[-1])]
-        if len(starts) > 1:
-            yield rows.slice(0, starts[-1]), starts
-    if held:
-        rows = joined()
-        yield rows, np.append(edges(rows), rows.num_rows)
-
-
 def first_meetings(p: np.ndarray, q: np.ndarray, probe: np.ndarray, node: np.ndarray, table: int, own: np.ndarray, probed: np.ndarray) -> np.ndarray:
     """Which of the pairs (p, q) of a bucket of ``table`` have met in no earlier table and count here, not in the other's own bucket."""
     fresh = np.ones(len(p), bool)
@@ -198,7 +162,7 @@ def linked(met: DataFrame, nodes: DataFrame, k: int, tables: int, limit: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, ["bucket", "low", "high"]):
-            flat, at = _ragged(batch.column("embedding"))
+            flat, at = ragged(batch.column("embedding"))
             node, size, group, slices, low, high, table = (batch.column(c).to_numpy() for c in ("node", "size", "group", "slice", "low", "high", "table"))
             probe = batch.column("probe").to_numpy(zero_copy_only=False)
             found = []
@@ -222,14 +186,8 @@ def linked(met: DataFrame, nodes: DataFrame, k: int, tables: int, limit: float)
                 fresh = first_meetings(p, q, probe[used], node[used], int(table[a]), own, probed)
                 p, q = p[fresh], q[fresh]
                 links = np.bincount(p, size[used[q]], len(used)) + np.bincount(q, size[used[p]], len(used))
-                root, ids = np.arange(len(used)), node[used]
-                root = np.argsort(np.argsort(ids))  # ranks, so that the smallest node wins
-                while True:
-                    least = np.minimum(root[p], root[q])
-                    if (least == root[p]).all() and (least == root[q]).all():
-                        break
-                    np.minimum.at(root, p, least)
-                    np.minimum.at(root, q, least)
+                ids = node[used]
+                root = joined_ranks(ids, p, q)
                 has = links > 0
                 found.append((ids[has], links[has].astype(np.int64), np.sort(ids)[root[has]]))
             if found:
