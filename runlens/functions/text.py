@@ -142,24 +142,36 @@ def is_dont_know(text: Column, phrases: Sequence[str] = DONT_KNOW) -> Column:
     return known
 
 
+EDGE = "\u0001"  # stands at both ends of each word
+
+
+def edged(text: Column) -> Column:
+    """White space between edges, so that an option is found only from word end to word end."""
+    return F.concat(F.lit(EDGE), F.regexp_replace(text, r"(?U)(\s)", f"{EDGE}$1{EDGE}"), F.lit(EDGE))
+
+
+def reply_words(text: Column) -> Column:
+    """A reply to look for options in; null if nothing is left of it."""
+    return F.nullif(edged(plain_reply(text)), F.lit(EDGE * 2))
+
+
+def option_words(options: Column) -> Column:
+    """What to look for in a reply, one string for each option that has words."""
+    return F.transform(F.filter(F.transform(options, plain_reply), lambda o: o != ""), edged)
+
+
 def match_choice(text: Column, options: Column) -> Column:
     """The first option, in list order, that the reply equals or holds as whole words; else null."""
-    edge = "\u0001"
-
-    def words(t: Column) -> Column:
-        # white space between edges, so that an option is found only from word end to word end
-        parted = F.regexp_replace(t, r"(?U)(\s)", f"{edge}$1{edge}")
-        return F.concat(F.lit(edge), parted, F.lit(edge))
 
     def fits(t: Column, o: Column) -> Column:
-        return (o != "") & F.contains(t, words(o))
+        return (o != "") & F.contains(t, edged(o))
 
     # the one-element array binds the cleaned reply, so that it is made once and not once per option
-    once = F.array(F.when(options.isNotNull(), words(plain_reply(text))))
+    once = F.array(F.when(options.isNotNull(), edged(plain_reply(text))))
     found = F.transform(
         once,
         lambda t: F.when(
-            t != edge * 2, F.try_element_at(F.filter(options, lambda o: fits(t, plain_reply(o))), F.lit(1))
+            t != EDGE * 2, F.try_element_at(F.filter(options, lambda o: fits(t, plain_reply(o))), F.lit(1))
         ),
     )
     return F.element_at(found, 1)

@@ -1,10 +1,9 @@
 """Ordered folds of a small state, for rules that running values cannot express.
 
 Rows are shuffled by key, sorted, and streamed through a small Python step: no group is ever held in memory.
-Hot keys come in bounded segments (see ``ordered``). If the state has few values, every segment is folded from
-each of them at once, the segments' ends are chained, and all segments run again from their now known start:
-two parallel passes. Otherwise a hot key is folded segment after segment, its state written to the checkpoint
-folder in between; all hot keys advance together.
+Hot keys come in bounded segments (see ``ordered``) and are folded segment after segment, their state written to
+the checkpoint folder in between; all hot keys advance together. Rules with few states compose instead
+(``compose``).
 """
 
 from __future__ import annotations
@@ -82,59 +81,13 @@ def fold_groups(df: DataFrame, group: list[str], order: list[str], start: Any, s
     return sorted_groups(df, group, order).mapInPandas(run, f"{ddl(df, names)}, {results}, {STATE} string")
 
 
-def segment_ends(df: DataFrame, group: list[str], order: list[str], states: list, step: Step) -> DataFrame:
-    """Where each segment leads from every possible state: (group, begin, end), a row per state."""
-    columns = [*group, "begin", "end"]
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        owner, reached = None, {}
-        for mine, row in by_group(batches, group):
-            if mine != owner:
-                yield from ((*owner, json.dumps(b), json.dumps(e)) for e, bs in reached.items() for b in bs)
-                owner, reached = mine, {state: [state] for state in states}
-            after: dict = {}
-            for state, begun in reached.items():  # starts that have met go on as one
-                after.setdefault(tuple(step(state, row)[0]), []).extend(begun)
-            reached = after
-        yield from ((*owner, json.dumps(b), json.dumps(e)) for e, bs in reached.items() for b in bs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return in_batches(ends(batches), columns)
-
-    return sorted_groups(df, group, order).mapInPandas(run, f"{ddl(df, group)}, begin string, end string")
-
-
-def segment_starts(ends: DataFrame, key: list[str], start: Any) -> DataFrame:
-    """The state each segment of a key starts from. A key has at most as many segments as partitions."""
-    begin = json.dumps(start)
-
-    def chain(table: pd.DataFrame) -> pd.DataFrame:
-        state, out = begin, []
-        for segment, part in table.sort_values(SEGMENT).groupby(SEGMENT, sort=True):
-            out.append((*part.iloc[0][key], segment, state))
-            state = part.loc[part["begin"] == state, "end"].iloc[0]
-        return pd.DataFrame(out, columns=[*key, SEGMENT, STATE])
-
-    return ends.groupBy(*key).applyInPandas(chain, f"{ddl(ends, [*key, SEGMENT])}, {STATE} string")
-
-
-def fold_rows(
-    rows: OrderedRows, start: Any, step: Step, results: str, states: list[tuple] | None = None
-) -> OrderedRows:
-    """Key and order of each row with the ``results`` (a DDL list) of the step.
-
-    ``states``: all values the state can take, if they are few; tuples of JSON values.
-    """
+def fold_rows(rows: OrderedRows, start: Any, step: Step, results: str) -> OrderedRows:
+    """Key and order of each row with the ``results`` (a DDL list) of the step."""
     key, order = rows.key, rows.order
     fresh = F.lit(None).cast("string")
     usual = fold_groups(rows.usual.withColumn(STATE, fresh), key, order, start, step, results).drop(STATE)
     if rows.hot is None:
-        return OrderedRows(usual, None, key, order)
-    if states is not None:
-        group = [*key, SEGMENT]
-        begins = segment_starts(segment_ends(rows.hot, group, order, states, step), key, start)
-        hot = fold_groups(rows.hot.join(begins, group), group, order, start, step, results).drop(STATE)
-        return OrderedRows(usual, settle(hot), key, order)
+        return OrderedRows(usual, None, key, order, rows.most)
     # the r-th segment of every hot key is folded in round r; one row per hot key in the tables of states
     first = rows.hot.groupBy(*key).agg(F.min(SEGMENT).alias("_first"))
     hot = rows.hot.join(F.broadcast(first), key).withColumn("_round", F.col(SEGMENT) - F.col("_first"))
@@ -149,4 +102,4 @@ def fold_rows(
         if carried is not None:  # a key without rows in this round keeps its state
             ended = ended.unionByName(carried.join(F.broadcast(ended.select(*key)), key, "left_anti"))
         carried = settle(ended)
-    return OrderedRows(usual, reduce(DataFrame.unionByName, folded) if folded else None, key, order)
+    return OrderedRows(usual, reduce(DataFrame.unionByName, folded) if folded else None, key, order, rows.most)

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.session import settle
 
 # Headings and labels of the artifact templates.
 MARKER = r"\[(?:NEEDS CLARIFICATION|НУЖНО УТОЧНИТЬ):\s*([^\]]*)\]"
@@ -111,76 +110,92 @@ def rq_flags(briefs: DataFrame) -> DataFrame:
     )
 
 
-def backlog_tasks(backlogs: DataFrame) -> DataFrame:
-    """One row per task block of a backlog."""
+def task_items(text: Column) -> Column:
+    """The task blocks of a backlog, in order, as an array."""
     heading = r"^#{3,4} (T-\d{3}):"
-    blocks = F.filter(F.split(F.col("text"), r"(?dm)(?=^#{2,4} )"), lambda b: b.rlike(heading))
-    block = F.col("block")
+    blocks = F.filter(F.split(text, r"(?dm)(?=^#{2,4} )"), lambda b: b.rlike(heading))
     ids = lambda line: F.regexp_extract_all(line, F.lit(r"(T-\d{3})"), 1)
-    done = F.regexp_extract(block, r"(?ds)\*\*Definition of Done:\*\*(.*?)(?:\n\*\*|\z)", 1)
-    return backlogs.select("doc_id", F.posexplode(blocks).alias("place", "block")).select(
-        "doc_id",
-        "place",
-        F.regexp_extract(block, heading, 1).alias("task"),
-        F.trim(F.regexp_extract(block, r"^#{3,4} T-\d{3}:([^\n]*)", 1)).alias("title"),
-        label(block, "Эпик").alias("epic"),
-        F.regexp_extract(label(block, "Размер"), r"^([A-Z]+)", 1).alias("size"),
-        ids(label(block, "Зависимости")).alias("needs"),
-        ids(label(block, "Можно параллельно с")).alias("beside"),
-        F.regexp_count(done, F.lit(r"(?dm)^- \[[ xX]\]")).cast("bigint").alias("done_items"),
-        F.regexp_extract_all(label(block, "Связано с ADR"), F.lit(r"(ADR-\d{3})"), 1).alias("decisions"),
-    )
 
-
-def backlog_lint(tasks: DataFrame) -> DataFrame:
-    """Tasks that are too large, have no definition of done, look like an epic, or need a task that is not there."""
-    problem = lambda bad, name: F.when(bad, F.lit(name))
-    found = F.array_compact(
-        F.array(
-            problem(~F.col("size").isin(*HOURS), "too_large"),
-            problem(F.col("done_items") == 0, "no_definition_of_done"),
-            problem(F.array_contains("needs", F.col("task")), "needs_itself"),
-            problem(F.col("title").rlike(EPIC_TITLE), "looks_like_epic"),
+    def item(block: Column) -> Column:
+        done = F.regexp_extract(block, r"(?ds)\*\*Definition of Done:\*\*(.*?)(?:\n\*\*|\z)", 1)
+        return F.struct(
+            F.regexp_extract(block, heading, 1).alias("task"),
+            F.trim(F.regexp_extract(block, r"^#{3,4} T-\d{3}:([^\n]*)", 1)).alias("title"),
+            label(block, "Эпик").alias("epic"),
+            F.regexp_extract(label(block, "Размер"), r"^([A-Z]+)", 1).alias("size"),
+            ids(label(block, "Зависимости")).alias("needs"),
+            ids(label(block, "Можно параллельно с")).alias("beside"),
+            F.regexp_count(done, F.lit(r"(?dm)^- \[[ xX]\]")).cast("bigint").alias("done_items"),
+            F.regexp_extract_all(label(block, "Связано с ADR"), F.lit(r"(ADR-\d{3})"), 1).alias("decisions"),
         )
-    )
-    # the texts are read once: what follows needs the narrow rows only
-    tasks = settle(tasks.select("doc_id", "task", "needs", found.alias("found")))
-    own = tasks.select("doc_id", "task", F.explode("found").alias("problem"))
-    needs = tasks.select("doc_id", "task", F.explode("needs").alias("need")).distinct()
-    known = tasks.select("doc_id", F.col("task").alias("need")).distinct()
-    dangling = needs.join(known, ["doc_id", "need"], "left_anti")
-    return own.unionByName(
-        dangling.select("doc_id", "task", F.concat(F.lit("needs_missing "), "need").alias("problem"))
-    )
 
+    return F.transform(blocks, item)
 
-def backlog_waves(tasks: DataFrame) -> DataFrame:
+
+def backlog_tasks(backlogs: DataFrame) -> DataFrame:
+    """One row per task block of a backlog."""
+    return backlogs.select("doc_id", F.posexplode(task_items(F.col("text"))).alias("place", "item")).select("doc_id", "place", "item.*")
+
+
+def backlog_lint(backlogs: DataFrame) -> DataFrame:
+    """Tasks that are too large, have no definition of done, look like an epic, or need a task that is not there.
+
+    A backlog is one row, so all its tasks are at hand: no shuffle.
+    """
+    def problems(x: Column) -> Column:
+        problem = lambda bad, name: F.when(bad, F.lit(name))
+        found = F.array_compact(F.array(
+            problem(~x["size"].isin(*HOURS), "too_large"),
+            problem(x["done_items"] == 0, "no_definition_of_done"),
+            problem(F.array_contains(x["needs"], x["task"]), "needs_itself"),
+            problem(x["title"].rlike(EPIC_TITLE), "looks_like_epic"),
+        ))
+        return F.transform(found, lambda name: F.struct(x["task"].alias("task"), name.alias("problem")))
+
+    items = backlogs.select("doc_id", task_items(F.col("text")).alias("items"))
+    known = F.transform("items", lambda x: x["task"])
+
+    def missing(x: Column) -> Column:
+        return F.transform(
+            F.array_except(x["needs"], F.col("known")),
+            lambda need: F.struct(x["task"].alias("task"), F.concat(F.lit("needs_missing "), need).alias("problem")))
+
+    found = items.withColumn("known", known).select("doc_id", F.explode(F.concat(
+        F.flatten(F.transform("items", problems)), F.array_distinct(F.flatten(F.transform("items", missing))))).alias("p"))
+    return found.select("doc_id", "p.task", "p.problem")
+
+
+def backlog_waves(backlogs: DataFrame) -> DataFrame:
     """The wave in which each task can start; null for tasks on or behind a cycle.
 
-    One round per wave: tasks without an open need are placed, and the needs they fulfil are struck out. Rounds
-    are as many as the longest chain; each one is written to the checkpoint folder.
+    A fold over the backlog's own array: in each round the tasks without an open need are placed and struck from the
+    needs of the others. A row needs as many rounds as it has tasks, the last of them on nothing; no shuffle, no job per round.
     """
-    # the texts are read once: what follows needs the narrow rows only
-    tasks = settle(tasks.select("doc_id", "task", "needs"))
-    known = tasks.select("doc_id", "task").distinct()
-    needs = (
-        tasks.select("doc_id", "task", F.explode("needs").alias("need"))
-        .distinct()
-        .join(known.withColumnRenamed("task", "need"), ["doc_id", "need"], "left_semi")
+    items = backlogs.select("doc_id", task_items(F.col("text")).alias("items"))
+    known = items.withColumn("known", F.array_distinct(F.transform("items", lambda x: x["task"])))
+    # a task that comes twice has the needs of both; needs that are no tasks do not hold anything up
+    nodes = F.transform("known", lambda t: F.struct(t.alias("task"), F.array_intersect(
+        F.array_distinct(F.flatten(F.transform(F.filter("items", lambda x: x["task"] == t), lambda x: x["needs"]))), F.col("known")).alias("needs")))
+    start = F.struct(
+        F.filter(nodes, lambda x: F.size(x["needs"]) > 0).alias("waiting"),
+        F.transform(F.filter(nodes, lambda x: F.size(x["needs"]) == 0), lambda x: x["task"]).alias("ready"),
+        F.expr("cast(array() as array<struct<task: string, wave: int>>)").alias("placed"),
     )
-    waiting, needs = settle(known), settle(needs)
-    placed, wave = None, 0
-    while True:
-        wave += 1
-        ready = settle(waiting.join(needs.select("doc_id", "task"), ["doc_id", "task"], "left_anti"))
-        if ready.isEmpty():
-            break
-        now = ready.withColumn("wave", F.lit(wave))
-        placed = now if placed is None else placed.unionByName(now)
-        waiting = settle(waiting.join(ready, ["doc_id", "task"], "left_anti"))
-        needs = settle(needs.join(ready.withColumnRenamed("task", "need"), ["doc_id", "need"], "left_anti"))
-    stuck = waiting.withColumn("wave", F.lit(None).cast("int"))
-    return stuck if placed is None else placed.unionByName(stuck)
+
+    def round_of(held: Column, wave: Column) -> Column:
+        freed = F.transform(held["waiting"], lambda x: F.struct(x["task"].alias("task"), F.array_except(x["needs"], held["ready"]).alias("needs")))
+        # the one-element array binds what is freed, so that it is worked out once
+        return F.element_at(F.transform(F.array(freed), lambda now: F.struct(
+            F.filter(now, lambda x: F.size(x["needs"]) > 0).alias("waiting"),
+            F.transform(F.filter(now, lambda x: F.size(x["needs"]) == 0), lambda x: x["task"]).alias("ready"),
+            F.concat(held["placed"], F.transform(held["ready"], lambda t: F.struct(t.alias("task"), wave.alias("wave")))).alias("placed"),
+        )), 1)
+
+    stuck = lambda x: F.struct(x["task"].alias("task"), F.lit(None).cast("int").alias("wave"))
+    ends = F.aggregate(
+        F.when(F.size("known") > 0, F.sequence(F.lit(1), F.size("known"))).otherwise(F.array().cast("array<int>")), start, round_of,
+        lambda held: F.concat(held["placed"], F.transform(held["waiting"], stuck)))
+    return known.select("doc_id", F.explode(ends).alias("w")).select("doc_id", "w.task", "w.wave")
 
 
 def epic_rollup(tasks: DataFrame) -> DataFrame:

@@ -80,11 +80,21 @@ def hot_key_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("runlens.hotKeyRows", str(HOT_KEY_ROWS)))
 
 
+def joined_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same names in which null equals null; a key may be null."""
+    renamed = right.withColumnsRenamed({name: f"_right_{name}" for name in names})
+    same = [F.col(name).eqNullSafe(F.col(f"_right_{name}")) for name in names]
+    return left.join(renamed, same, how).drop(*(f"_right_{name}" for name in names))
+
+
 class OrderedRows:
-    """Rows of many keys, totally ordered inside each key. ``order`` must be unique per key."""
+    """Rows of many keys, totally ordered inside each key. ``order`` must be unique per key.
+
+    ``most``: no key has more rows than this.
+    """
 
-    def __init__(self, usual: DataFrame, hot: DataFrame | None, key: list[str], order: list[str]):
-        self.usual, self.hot, self.key, self.order = usual, hot, key, order
+    def __init__(self, usual: DataFrame, hot: DataFrame | None, key: list[str], order: list[str], most: int):
+        self.usual, self.hot, self.key, self.order, self.most = usual, hot, key, order, most
 
     @classmethod
     def of(
@@ -96,27 +106,28 @@ class OrderedRows:
         """
         key, order = list(key), list(order)
         limit = hot_key_rows(df)
-        sizes = (df if bound is None else bound).groupBy(*key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
-        if sizes.isEmpty():
-            return cls(df, None, key, order)
-        sizes = settle(sizes)
+        sizes = (df if bound is None else bound).groupBy(*key).agg(F.count("*").alias("_rows"))
+        most = sizes.agg(F.max("_rows")).first()[0] or 0
+        if most <= limit:
+            return cls(df, None, key, order, most)
+        sizes = settle(sizes.filter(F.col("_rows") > limit))
         # at most rows / limit keys, so the list is small by construction
         names = F.broadcast(sizes.select(*key))
         rows = sizes.agg(F.sum("_rows")).first()[0]
         spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = max(spread, math.ceil(rows / limit))
         hot = (
-            df.join(names, key, "left_semi")
+            joined_on(df, names, key, "left_semi")
             .repartitionByRange(parts, *key, *order)
             .withColumn(SEGMENT, F.spark_partition_id())
         )
-        return cls(df.join(names, key, "left_anti"), settle(hot), key, order)
+        return cls(joined_on(df, names, key, "left_anti"), settle(hot), key, order, most)
 
     def scan(self, **running: Running) -> OrderedRows:
         """Add the running values as columns."""
         window = Window.partitionBy(*self.key).orderBy(*self.order)
         usual = self.usual.withColumns({name: r.local(window) for name, r in running.items()})
-        return OrderedRows(usual, self._scan_hot(running), self.key, self.order)
+        return OrderedRows(usual, self._scan_hot(running), self.key, self.order, self.most)
 
     def _scan_hot(self, running: dict[str, Running]) -> DataFrame | None:
         if self.hot is None:
@@ -140,8 +151,8 @@ class OrderedRows:
             ],
         )
         # the rows are grouped by (key, segment) for the window already, and no such group is large
-        joined = self.hot.withColumns({name: r.local(inside) for name, r in running.items()}).join(
-            carries, [*self.key, SEGMENT]
+        joined = joined_on(
+            self.hot.withColumns({name: r.local(inside) for name, r in running.items()}), carries, [*self.key, SEGMENT]
         )
         done = joined.withColumns(
             {name: r.join(F.col(f"_carry_{name}"), F.col(name)) for name, r in running.items()}
@@ -151,7 +162,7 @@ class OrderedRows:
     def map(self, change: Callable[[DataFrame], DataFrame]) -> OrderedRows:
         """Apply a row-wise change that keeps the key and order columns."""
         hot = None if self.hot is None else change(self.hot)
-        return OrderedRows(change(self.usual), hot, self.key, self.order)
+        return OrderedRows(change(self.usual), hot, self.key, self.order, self.most)
 
     def attach(self, table: DataFrame) -> OrderedRows:
         """Left join a table with one row per key."""
@@ -161,7 +172,7 @@ class OrderedRows:
             wanted = F.broadcast(self.hot.select(*self.key).distinct())
             few = table.join(wanted, self.key, "left_semi")
             hot = self.hot.join(F.broadcast(few), self.key, "left")
-        return OrderedRows(usual, hot, self.key, self.order)
+        return OrderedRows(usual, hot, self.key, self.order, self.most)
 
     @property
     def df(self) -> DataFrame:

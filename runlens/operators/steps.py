@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
+from runlens.operators.compose import looked_up, states_before
 from runlens.operators.fold import fold_rows
-from runlens.operators.ordered import OrderedRows, last_seen, running_max, running_sum
+from runlens.operators.ordered import SEGMENT, OrderedRows, last_seen, running_max, running_sum
 from runlens.registry import (
     FINISH_MARKER,
     MAX_ARTIFACT_BYTES,
@@ -282,12 +285,8 @@ def tool_args_audit(calls: DataFrame, tools: dict = TOOLS, keep: str | None = No
     return done.withColumnRenamed("_args", keep) if keep else done.drop("_args")
 
 
-def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> DataFrame:
-    """The end state of each session after its tool calls ran, with all guards.
-
-    calls: session_id, turn_id, seq, name, args (JSON), reply (the human's text the turn answers). Text rules
-    are column expressions, a small fold tells which calls run, and running values give the rest.
-    """
+def checked_calls(calls: DataFrame) -> DataFrame:
+    """Tool calls with what the text rules make of each: ``fine``, ``unknown`` and the short values that the replay needs."""
     text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")
     asks, names, decides = (F.col("name") == n for n in ("ask_question", "set_product_name", "create_adr"))
     # a lead-in that is not a string counts as none
@@ -334,6 +333,27 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
     rows = rows.withColumns(
         {"fine": F.coalesce(fine, F.lit(False)), "unknown": rules.is_dont_know(F.col("reply"))}
     ).drop("sound", "given", "title", "question", "lead", "shown", "asked", "led")
+    return rows
+
+
+def prepared_calls(calls: DataFrame) -> DataFrame:
+    """As ``checked_calls``, with reply and options as words to be looked for instead of texts."""
+    rows = checked_calls(calls)
+    asks = (F.col("name") == "ask_question") & F.col("fine")
+    assesses = F.col("name") == "assess_answer"
+    return rows.withColumns({
+        "reply_words": F.when(assesses, rules.reply_words(F.col("reply"))),
+        "option_words": F.when(asks, rules.option_words(F.col("options"))),
+    }).drop("reply", "options")
+
+
+def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> DataFrame:
+    """The end state of each session after its tool calls ran, with all guards.
+
+    calls: session_id, turn_id, seq, name, args (JSON), reply (the human's text the turn answers). Text rules
+    are column expressions, a small fold tells which calls run, and running values give the rest.
+    """
+    rows = checked_calls(calls)
     offered = F.when((F.col("name") == "ask_question") & F.col("fine"), F.struct("options"))
     ordered = OrderedRows.of(rows, ["session_id"], ["seq"], bound=calls)
     ordered = ordered.scan(offer=last_seen(offered, before=True), last_turn=last_seen("turn_id", before=True))
@@ -349,32 +369,44 @@ def tool_replay(calls: DataFrame, initial: str = "lite", budget: int = 2) -> Dat
 def _guarded(rows: OrderedRows, budget: int) -> OrderedRows:
     """The calls with whether they run, and the open question and spent clarifications around them.
 
-    The state has a handful of values (open, spent, judged, stopped), so hot keys fold in parallel.
+    The state has a handful of values: whether a question is open, clarifications spent, whether the reply was judged, whether the turn
+    is over. What a call does to it depends on a few flags, so it is a row of a small table, and calls compose (``compose``).
     """
-    passed = ["name", "step_id", "version", "said", "slug", "bytes"]
+    flags = (False, True)
+    states = [(asked, spent, judged, stopped) for asked in flags for spent in range(budget + 1) for judged in flags for stopped in flags]
+    calls = [(tool, *bits) for tool in ("other", "assess_answer", "ask_question") for bits in product(flags, repeat=5)]
 
-    def step(state, row) -> tuple:
+    def after(state: tuple, call: tuple) -> tuple:
         asked, spent, judged, stopped = state
-        if row.new_turn:
+        tool, new_turn, fine, unknown, picked, answered = call
+        if new_turn:
             judged, stopped = not asked, False
-        runs = bool(row.fine) and not stopped and (judged or row.name == "assess_answer")
-        before = asked
-        if runs and row.name == "ask_question":
-            asked, stopped = True, True
-        elif runs and row.name == "assess_answer":
-            judged = True
-            closes = row.unknown or (asked and row.picked) or row.said == "answer" or spent >= budget
-            asked, spent = (False, 0) if closes else (asked, spent + 1)
-        facts = (runs, before, asked, spent, *(getattr(row, name) for name in passed))
-        return (asked, spent, judged, stopped), facts
-
-    flags = (False, True)
-    states = [(a, n, j, s) for a in flags for n in range(budget + 1) for j in flags for s in flags]
-    results = (
-        "runs boolean, was_open boolean, open boolean, spent bigint, name string, step_id string, "
-        "version string, said string, slug string, bytes bigint"
-    )
-    return fold_rows(rows, (False, 0, True, False), step, results, states)
+        if not fine or stopped or not (judged or tool == "assess_answer"):
+            return asked, spent, judged, stopped
+        if tool == "ask_question":
+            return True, spent, judged, True
+        if tool == "assess_answer":
+            closes = unknown or (asked and picked) or answered or spent >= budget
+            return (False, 0, True, stopped) if closes else (asked, spent + 1, True, stopped)
+        return asked, spent, judged, stopped
+
+    table = [[states.index(after(state, call)) for state in states] for call in calls]
+    bit = lambda condition, weight: F.coalesce(condition, F.lit(False)).cast("int") * weight
+    tool = F.when(F.col("name") == "ask_question", 2).when(F.col("name") == "assess_answer", 1).otherwise(0)
+    code = (tool * 32 + bit(F.col("new_turn"), 16) + bit(F.col("fine"), 8) + bit(F.col("unknown"), 4) + bit(F.col("picked"), 2)
+            + bit(F.col("said") == "answer", 1)).cast("int")
+    rows = rows.map(lambda df: df.withColumn("code", code))
+    rows = states_before(rows, "code", table, states.index((False, 0, True, False)), "state")
+    held = lambda facts, state: F.element_at(F.lit(facts), state + 1)
+    state, then = F.col("state"), looked_up(table, F.col("code"), F.col("state"))
+    asked, spent, judged, stopped = ([s[i] for s in states] for i in range(4))
+    judged_now = F.when(F.col("new_turn"), ~held(asked, state)).otherwise(held(judged, state))
+    stopped_now = ~F.col("new_turn") & held(stopped, state)
+    runs = F.col("fine") & ~stopped_now & (judged_now | (F.col("name") == "assess_answer"))
+    passed = ["name", "step_id", "version", "said", "slug", "bytes"]
+    return rows.map(lambda df: df.select(
+        *rows.key, *rows.order, runs.alias("runs"), held(asked, state).alias("was_open"), held(asked, then).alias("open"),
+        held(spent, then).cast("bigint").alias("spent"), *passed, *([SEGMENT] if SEGMENT in df.columns else [])))
 
 
 def _end_states(rows: OrderedRows, initial: str) -> DataFrame:

@@ -128,7 +128,7 @@ union all select doc_id, task, 'looks_like_epic' from tasks where regexp_matches
 union all select n.doc_id, n.task, concat('needs_missing ', need) from needs n
   where not exists (select 1 from tasks t where t.doc_id = n.doc_id and t.task = n.need)"""))
 def _(s: Source):
-    return ops.backlog_lint(ops.backlog_tasks(s.backlogs))
+    return ops.backlog_lint(s.backlogs)
 
 
 @catalog.add("backlog_waves", duck("v_backlogs", TASKS + """
@@ -148,7 +148,7 @@ def _(s: Source):
 select d.doc_id, d.task, case when s.task is null then cast(max(wave) as int) end as wave
 from depth d left join stuck s on s.doc_id = d.doc_id and s.task = d.task group by d.doc_id, d.task, s.task""", recursive=True))
 def _(s: Source):
-    return ops.backlog_waves(ops.backlog_tasks(s.backlogs))
+    return ops.backlog_waves(s.backlogs)
 
 
 @catalog.add("epic_rollup", duck("v_backlogs", TASKS + """

@@ -12,9 +12,11 @@ from runlens.plans.money import folded
 from runlens.plans.query import Catalog, Source
 from runlens.plans.rules_sql import marks
 from runlens.plans.telemetry import catalog as telemetry
-from runlens.plans.telemetry import FLAGGED, windows
+from runlens.plans.steps import catalog as steps
+from runlens.plans.telemetry import CLASS, FLAGGED, windows
 from runlens.plans.views import TABLES, VIEWS, duck
-from runlens.streaming import live
+from runlens.session import fresh_path
+from runlens.streaming import live, replay, watermarks
 
 catalog = Catalog()
 
@@ -111,3 +113,98 @@ def _(s: Source):
     return hard.select(F.lit("system_failures").alias("rule"), "app", "start", "total").unionByName(
         many.select(F.lit("console_errors").alias("rule"), "app", "start", "total")
     )
+
+
+# --- over several micro-batches: rows arrive in files, keyed state and watermarks carry over ----------------------------
+
+PARTS = 5
+HOUR_MS = 3_600_000
+
+
+def arriving(s: Source, rows, place: str, mixed: float = 0.0):
+    return replay.in_files(rows, fresh_path(s.spark, "arriving"), place, PARTS, mixed)
+
+
+def results(stream, mode: str, name: str):
+    """All results of a stream over rows that are there."""
+    spark = stream.sparkSession
+    return replay.run(stream, mode, fresh_path(spark, name), fresh_path(spark, f"{name}-progress"))
+
+
+def quarter(rows, place: str) -> int:
+    """A lateness that covers what neighbouring files overlap."""
+    return (rows.agg(F.max(place) - F.min(place)).first()[0] or 0) // 4
+
+
+@catalog.add("live_money_chain", money.oracles["entitlement_ledger"])
+def _(s: Source):
+    payments = arriving(s, s.payments_raw, "us")
+    events = arriving(s, s.run_events, "us", 0.8)
+    chain = replay.money_chain(payments, events, s.owners, quarter(s.run_events, "us"))
+    found = live.latest(results(chain, "append", "chain"), ["event_id"])
+    return found.select("event_id", "us", "user_id", "kind", "outcome")
+
+
+@catalog.add("live_tool_replay", steps.oracles["tool_replay"])
+def _(s: Source):
+    calls = arriving(s, s.tool_calls, "seq", 0.8)
+    return replay.session_ends(results(replay.live_replay(calls, quarter(s.tool_calls, "seq")), "update", "replay"))
+
+
+@catalog.add("live_bounded_payments", money.oracles["dedup_payments"])
+def _(s: Source):
+    """With a lateness of years nothing is forgotten and nothing is late, so the result is that of the batch."""
+    path = fresh_path(s.spark, "bounded")
+    credited, late = watermarks.bounded_payments(arriving(s, s.payments_raw, "us"), 20 * 365 * 86_400, path, f"{path}-progress")
+    found = credited.unionByName(late).drop("batch")
+    return found.withColumn("stars", F.col("stars").cast("bigint"))
+
+
+def closed(body: str, rows: str, end: str) -> str:
+    """The rows of a query whose end, in milliseconds, the watermark of one hour has passed."""
+    return f"select * from ({body}) where {end} <= (select max(us) // 1000 - {HOUR_MS} from {rows})"
+
+
+@catalog.add("live_no_replicas", duck("v_metrics", closed(
+    f"select * from ({windows('v_metrics', 300, 60, 'min(cents) as low')}) where low < 400", "v_metrics", "(start + 300) * 1000")))
+def _(s: Source):
+    return results(watermarks.live_no_replicas(arriving(s, s.metrics, "us"), 400), "append", "replicas").drop("batch")
+
+
+@catalog.add("live_cpu_mem", duck("v_metrics", closed(f"""
+select app, start, rule, cast(total as bigint) as total, n
+from ({windows('v_metrics', 600, 300, 'sum(cents) as total, count(*) as n')}), (values ('cpu', 8000), ('memory', 12000)) as r(rule, most)
+where total > most * n""", "v_metrics", "(start + 600) * 1000")))
+def _(s: Source):
+    return results(watermarks.live_averages(arriving(s, s.metrics, "us"), {"cpu": 8000, "memory": 12000}), "append", "load").drop("batch")
+
+
+@catalog.add("live_logs", duck("v_logs", FLAGGED + closed(f"""
+select 'system_failures' as rule, app, start, total from (
+  {windows('flagged', 300, 60, 'count(*) as total, count(*) filter (where hard) as hard')}) where hard > 0 or total >= 10""",
+    "flagged", "(start + 300) * 1000") + " union all " + closed(f"""
+select 'console_errors' as rule, app, start, total from ({windows('critical', 900, 300, 'count(*) as total')}) where total >= 3""",
+    "critical", "(start + 900) * 1000")))
+def _(s: Source):
+    logs = arriving(s, s.logs, "us")
+    failures = results(watermarks.live_system_failures(logs), "append", "failures")
+    return failures.unionByName(results(watermarks.live_console_errors(logs), "append", "critical")).drop("batch")
+
+
+@catalog.add("live_restarts", duck("v_metrics", ", w as (" + closed(windows('v_metrics', 900, 300, 'max(cents) as peak'), "v_metrics", "(start + 900) * 1000") + """)
+, c as (select *, peak > 9000 as high, lag(peak > 9000, 1, false) over (partition by app order by start) as before from w)
+select app, start, peak, case when high then 'fired' else 'resolved' end as state from c where high <> before"""))
+def _(s: Source):
+    return results(watermarks.live_restarts(arriving(s, s.metrics, "us"), 9000), "append", "restarts").drop("batch")
+
+
+@catalog.add("live_bursts", duck("v_attempts", CLASS + """
+, g as (
+  select *, case when us - lag(us) over w <= 7200000000 then 0 else 1 end as opens
+  from classed where class = 'retryable' window w as (partition by service order by us, attempt_id)
+), b as (select *, sum(opens) over (partition by service order by us, attempt_id) as burst from g)
+select service, started, ended, failures from (
+  select service, min(us) as started, max(us) as ended, count(*) as failures from b group by service, burst having count(*) >= 3)
+where ended + 7200000000 <= ((select max(us) from g) // 1000 - 3600000) * 1000"""))
+def _(s: Source):
+    return results(watermarks.live_bursts(arriving(s, s.attempts, "us"), 7200, 3), "append", "bursts").drop("batch")

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators import compose
 from runlens.operators.fold import fold_rows
 from runlens.operators.ordered import OrderedRows, last_seen, running_max, running_min, running_sum
 
@@ -96,26 +98,29 @@ def test_fold_keeps_states_over_removed_segments(hot):
     assert [r.n for r in got.orderBy("i").collect()] == list(range(1, 71))
 
 
-def test_finite_fold_runs_segments_apart(spark):
+def test_finite_states_of_hot_keys(spark):
     rows, df = sample(spark, seed=5)
+    states = [(a, b) for a in range(5) for b in (False, True)]
 
-    def step(state, row):
-        a, b = state
-        after = ((a + row.i) % 5, not b) if row.i % 3 else (b * 2, a > 2)
-        return after, (after[0], after[1])
+    def after(a, b, i):
+        return ((a + i) % 5, not b) if i % 3 else (b * 2, a > 2)
+
+    table = [[states.index(after(a, b, i)) for a, b in states] for i in range(15)]
+    wanted, held = [], {}
+    for k, t, i, _ in sorted(rows):
+        wanted.append((k, t, i, states.index(held.get(k, (0, False)))))
+        held[k] = after(*held.get(k, (0, False)), i)
 
     def run():
-        ordered = OrderedRows.of(df.drop("v"), ["k"], ["t", "i"])
-        states = [(a, b) for a in range(5) for b in (False, True)]
-        return sorted(map(tuple, fold_rows(ordered, (0, False), step, "a int, b boolean", states).df.collect()))
+        ordered = OrderedRows.of(df.withColumn("code", F.col("i") % 15).drop("v"), ["k"], ["t", "i"])
+        return sorted(map(tuple, compose.states_before(ordered, "code", table, 0, "state").df.select("k", "t", "i", "state").collect()))
 
-    plain = run()
+    assert run() == wanted
     spark.conf.set("runlens.hotKeyRows", "12")
     try:
-        assert run() == plain
+        assert run() == wanted
     finally:
         spark.conf.unset("runlens.hotKeyRows")
-    assert len(plain) == len(rows)
 
 
 def test_tail_limits_before_the_shuffle(spark):
@@ -128,3 +133,23 @@ def test_tail_limits_before_the_shuffle(spark):
     assert tail.count() == 40 and tail.agg(F.min("id")).first()[0] == 1960
     plan = tail._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize(("chunk", "limit"), [(256, "1000"), (3, "1000"), (3, "30")])
+def test_composed_transitions_equal_a_loop(spark, monkeypatch, chunk, limit):
+    """Several levels of chunks, hot keys and null keys."""
+    monkeypatch.setattr(compose, "CHUNK", chunk)
+    table = [[1, 2, 3, 0], [0, 0, 2, 2], [3, 3, 3, 1], [0, 1, 2, 3]]
+    rnd = random.Random(chunk)
+    rows = [(key, at, rnd.randrange(4)) for key, n in ((1, 120), (2, 7), (None, 50), (4, 1)) for at in range(n)]
+    wanted, state = [], {}
+    for key, at, code in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        wanted.append((key, at, code, state.get(key, 2)))
+        state[key] = table[code][state.get(key, 2)]
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "k long, at long, code int")
+    spark.conf.set("runlens.hotKeyRows", limit)
+    try:
+        found = compose.states_before(OrderedRows.of(df, ["k"], ["at"]), "code", table, 2, "state").df.select("k", "at", "code", "state").collect()
+    finally:
+        spark.conf.unset("runlens.hotKeyRows")
+    assert sorted(map(tuple, found), key=lambda r: (str(r[0]), r[1])) == wanted

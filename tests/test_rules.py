@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
-from runlens.operators import dialogue, documents
+from runlens.operators import dialogue, documents, methodology
 
 
 def judged(rule):
@@ -171,3 +171,25 @@ def test_budget(spark):
     got = dialogue.answer_resolution(df).orderBy("seq").collect()
     assert [r.status for r in got] == [None, None, "partial", None, None, "unknown", "complete"]
     assert [r.clarify_count for r in got] == [1, 2, 0, 1, 2, 0, 0]
+
+
+def test_waves_and_lint_of_odd_backlogs(spark):
+    def text(tasks):
+        return "# B\n\n## Задачи\n\n" + "".join(
+            f"### {t}: дело\n\n**Эпик:** E\n**Размер:** S\n**Зависимости:** {', '.join(n) or '—'}\n\n**Definition of Done:**\n- [ ] x\n\n" for t, n in tasks)
+
+    chain = [(f"T-{i:03}", [f"T-{i - 1:03}"] if i > 1 else []) for i in range(1, 41)]
+    backlogs = [
+        (1, text([("T-001", ["T-002"]), ("T-002", ["T-001"]), ("T-003", ["T-001"]), ("T-004", []), ("T-005", ["T-004", "T-099"])])),
+        (2, text(chain[::-1])), (3, text([("T-001", ["T-001"])])), (4, "no tasks"), (5, None),
+        (6, text([("T-001", []), ("T-002", ["T-001"]), ("T-001", ["T-003"]), ("T-003", [])])),
+    ]
+    table = spark.createDataFrame(backlogs, "doc_id long, text string")
+    waves = {(r.doc_id, r.task): r.wave for r in methodology.backlog_waves(table).collect()}
+    assert {t: w for (d, t), w in waves.items() if d == 1} == {"T-001": None, "T-002": None, "T-003": None, "T-004": 1, "T-005": 2}
+    assert {t: w for (d, t), w in waves.items() if d == 2} == {f"T-{i:03}": i for i in range(1, 41)}
+    assert {(d, t): w for (d, t), w in waves.items() if d not in (1, 2)} == {(3, "T-001"): None, (6, "T-001"): 2, (6, "T-002"): 3, (6, "T-003"): 1}
+    lint = methodology.backlog_lint(table)
+    assert sorted(map(tuple, lint.collect())) == [(1, "T-005", "needs_missing T-099"), (3, "T-001", "needs_itself")]
+    for made in (lint, methodology.backlog_waves(table)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
