@@ -318,6 +318,18 @@ def _(s: Source):
     return read_specs(s.spark, path)
 
 
+@catalog.add("write_spec_texts", f"""
+select session_id, file_name, concat(regexp_replace(string_agg(block, E'\\n\\n' order by place, id), '\\s+$', ''), E'\\n') as spec
+from ({REDELIVERY}) group by session_id, file_name""")
+def _(s: Source):
+    from runlens.session import fresh_path
+    from runlens.sources.workspace import read_spec_texts, write_spec_texts
+
+    path = fresh_path(s.spark, "spec-texts")
+    write_spec_texts(docs.spec_redelivery(s.sessions, artifacts(s), s.adrs), path)
+    return read_spec_texts(s.spark, path)
+
+
 @catalog.add("slugs", duck("v_names", f"select doc_id, {sql.slug('name')} as slug from v_names"))
 def _(s: Source):
     return s.names.select("doc_id", rules.slug(F.col("name")).alias("slug"))

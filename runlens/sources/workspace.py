@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.registry import routes_table
+from runlens.sources.texts import TextFiles
 
 
 def file_facts(files: DataFrame) -> DataFrame:
@@ -66,15 +67,27 @@ def write_specs(specs: DataFrame, path: str) -> None:
 
 
 def write_spec_texts(specs: DataFrame, path: str) -> None:
-    """Documents as text files, one for each file name and run, for the runs somebody wants to read.
+    """Documents as text files, one for each run, named by run and file; a task writes many of them into one folder.
 
-    A run's blocks are sorted and written one after another. The writer ends every row with a line end itself.
+    A run's blocks are sorted and written one after another. The writer ends every value with a line end itself. Files
+    come into place when all tasks are done (``texts``).
     """
-    last = F.lead("block").over(Window.partitionBy("file_name", "session_id").orderBy("place", "id")).isNull()
+    specs.sparkSession.dataSource.register(TextFiles)
+    run = ["session_id", "file_name"]
+    last = F.lead("block").over(Window.partitionBy(*run).orderBy("place", "id")).isNull()
     text = F.when(last, F.regexp_replace("block", r"(?U)(?<!\s)\s++$", "")).otherwise(F.concat("block", F.lit("\n")))
-    specs.filter("block is not null").select("file_name", "session_id", "place", "id", text.alias("value")).sortWithinPartitions(
-        "file_name", "session_id", "place", "id"
-    ).select("file_name", "session_id", "value").write.partitionBy("file_name", "session_id").text(path)
+    kept = specs.filter("block is not null").select(*run, "place", "id", text.alias("value")).sortWithinPartitions(*run, "place", "id")
+    name = F.concat(F.col("session_id").cast("string"), F.lit("-"), "file_name")
+    kept.select(name.alias("file_name"), "value").write.format("text_files").mode("append").save(path)
+
+
+def read_spec_texts(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, file_name, spec: the files that ``write_spec_texts`` has written."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"/(\d+-[^/]+)$", 1)
+    return files.select(
+        F.regexp_extract(name, r"^(\d+)", 1).cast("bigint").alias("session_id"), F.regexp_extract(name, r"^\d+-(.*)$", 1).alias("file_name"),
+        F.col("value").alias("spec"))
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:

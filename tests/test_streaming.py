@@ -193,8 +193,8 @@ def test_specs_as_text_files(spark, tmp_path):
     adrs = spark.createDataFrame(adrs, "session_id long, id long, n long, title string, markdown string")
     specs = assemble_spec(sessions, artifacts, adrs).withColumn("file_name", F.lit("a-spec.md")).repartition(5)
     write_spec_texts(specs, str(tmp_path / "out"))
-    (long,) = (tmp_path / "out").glob("file_name=a-spec.md/session_id=1/*.txt")
-    (short,) = (tmp_path / "out").glob("file_name=a-spec.md/session_id=2/*.txt")
+    (long,) = (tmp_path / "out").glob("part-*/1-a-spec.md")
+    (short,) = (tmp_path / "out").glob("part-*/2-a-spec.md")
     head = "# a — Product Spec\n\n_Сгенерировано автоматически (версия: lite)._"
     bodies = [f"### ADR-{i // 2}: t{i}\n\nbody {i}" for i in range(1499)]
     assert long.read_text() == "\n\n".join([head, "## Решения (ADR)", *bodies, "### ADR-749: t1499"]) + "\n"
