@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordered import OrderedRows, last_seen, running_min, running_sum
+from runlens.operators.ordered import SEGMENT, OrderedRows, last_seen, running_min, running_sum
 from runlens.registry import CURRENCY, FREE_RUNS, RUN_PRICE
+from runlens.session import settle
 
 
 def payment_verdicts(payments: DataFrame, price: int = RUN_PRICE, currency: str = CURRENCY) -> DataFrame:
@@ -55,11 +56,13 @@ CARRY = {
 
 
 def run_events(events: DataFrame, credited: DataFrame) -> DataFrame:
-    """The events that touch an entitlement; of the payments only the credited ones."""
-    kinds = ["start", "pay", "finish", "abandon"]
-    events = events.select("event_id", "us", "user_id", "kind").filter(F.col("kind").isin(kinds))
-    paid = credited.select("event_id", F.lit(1).alias("pay"))
-    return events.join(paid, "event_id", "left").filter("kind <> 'pay' or pay = 1").drop("pay")
+    """The events that touch an entitlement: starts and ends of runs, and the credited payments.
+
+    credited: event_id, us, user_id of the payments that count. They bring their own place, so events need not be joined with
+    them.
+    """
+    runs = events.filter(F.col("kind").isin("start", "finish", "abandon")).select("event_id", "us", "user_id", "kind")
+    return runs.unionByName(credited.select("event_id", "us", "user_id", F.lit("pay").alias("kind")))
 
 
 def ledger_rows(
@@ -67,7 +70,7 @@ def ledger_rows(
 ) -> OrderedRows:
     """Run events with the running values the ledger needs.
 
-    events: event_id, us, user_id, kind. credited: event_id of the payments that count.
+    events: event_id, us, user_id, kind. credited: event_id, us, user_id of the payments that count.
     owners: user_id of the users who are never billed.
     """
     rows = OrderedRows.of(run_events(events, credited), ["user_id"], ["us", "event_id"], bound=events)
@@ -168,11 +171,23 @@ def entitlement_ledger(
     return rows.df.select("event_id", "us", "user_id", "kind", "outcome")
 
 
+def settled_ledger(events: DataFrame, credited: DataFrame, owners: DataFrame, free_runs: int = FREE_RUNS) -> OrderedRows:
+    """The ledger's narrow rows, written once, for several reports on it (``balances_of``, ``lifecycle_of``)."""
+    narrow = ["event_id", "us", "user_id", "kind", "bucket", "outcome"]
+    rows = with_outcomes(ledger_rows(events, credited, owners, free_runs))
+    rows = rows.map(lambda df: df.select(*narrow, *([SEGMENT] if SEGMENT in df.columns else [])))
+    return OrderedRows(settle(rows.usual), None if rows.hot is None else settle(rows.hot), rows.key, rows.order, rows.most)
+
+
 def ledger_balances(
     events: DataFrame, credited: DataFrame, owners: DataFrame, free_runs: int = FREE_RUNS
 ) -> DataFrame:
     """free_used, paid_credits and the bucket of the open run per user, after all events."""
-    rows = with_outcomes(ledger_rows(events, credited, owners, free_runs))
+    return balances_of(with_outcomes(ledger_rows(events, credited, owners, free_runs)))
+
+
+def balances_of(rows: OrderedRows) -> DataFrame:
+    """The balances after the rows of a ledger."""
     count = lambda *names: F.count_if(F.col("outcome").isin(*names))
     opened = F.col("outcome").isin("owner", "free", "paid")
     closed = F.col("outcome").isin("delivered", "refunded_free", "refunded_paid", "no_refund")
@@ -201,7 +216,11 @@ def session_lifecycle(
 
     A run has one opening row and at most one closing row, so the grouping is bounded.
     """
-    rows = with_outcomes(ledger_rows(events, credited, owners, free_runs))
+    return lifecycle_of(with_outcomes(ledger_rows(events, credited, owners, free_runs)))
+
+
+def lifecycle_of(rows: OrderedRows) -> DataFrame:
+    """The runs in the rows of a ledger."""
     opens = "outcome in ('owner', 'free', 'paid')"
     rows = rows.scan(run_no=running_sum(f"if({opens}, 1L, 0L)"))
     ends = "outcome in ('delivered', 'refunded_free', 'refunded_paid', 'no_refund')"

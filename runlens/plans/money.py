@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runlens.operators import access, audits, ledger
 from runlens.plans.query import Catalog, Source
 from runlens.plans.views import duck
+from runlens.session import settle
 
 catalog = Catalog()
 
@@ -156,12 +157,10 @@ select user_id, cast(expected_free as bigint) as expected_free, cast(expected_pa
 from want full outer join stored using (user_id)"""))
 def _(s: Source):
     events, credited, owners = parts(s)
-    stored = (
-        ledger.ledger_balances(events, credited, owners)
-        .filter("user_id % 8 <> 0")
-        .withColumn("free_used", F.expr("free_used + if(user_id % 9 = 0, 1, 0)"))
-    )
-    return ledger.ledger_reconcile(ledger.session_lifecycle(events, credited, owners), credited, stored)
+    credited = settle(credited)  # the payments are read once, for the ledger and for what was bought
+    rows = ledger.settled_ledger(events, credited, owners)
+    stored = ledger.balances_of(rows).filter("user_id % 8 <> 0").withColumn("free_used", F.expr("free_used + if(user_id % 9 = 0, 1, 0)"))
+    return ledger.ledger_reconcile(ledger.lifecycle_of(rows), credited, stored)
 
 
 @catalog.add("run_funnel", folded("""
