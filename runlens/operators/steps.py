@@ -15,6 +15,7 @@ from runlens.registry import (
     FINISH_MARKER,
     MAX_ARTIFACT_BYTES,
     MAX_SESSION_BYTES,
+    OPTIONAL,
     PIPELINES,
     TOOLS,
     steps_table,
@@ -285,6 +286,36 @@ def tool_args_audit(calls: DataFrame, tools: dict = TOOLS, keep: str | None = No
     return done.withColumnRenamed("_args", keep) if keep else done.drop("_args")
 
 
+def tool_schema_audit(calls: DataFrame, tools: dict = TOOLS, optional: dict = OPTIONAL) -> DataFrame:
+    """All that is wrong with each tool call by the schema of its run's version, comma-joined, or 'ok'.
+
+    calls: version of the run, name, args. Beyond ``tool_args_audit``, which stops at what makes a call fail, it judges step
+    ids by the version, options as a list of strings, and arguments that the replay passes over.
+    """
+    parsed = calls.withColumn("_args", F.try_parse_json("args"))
+    name = F.col("name")
+    found = [F.when(~name.isin(*tools), "unknown_tool"), F.when(F.col("_args").isNull(), "not_json")]
+    for tool, arguments in tools.items():
+        extra = [(arg, False, None, kind) for arg, kind in optional.get(tool, [])]
+        for arg, required, allowed, kind in [*((*a, "string") for a in arguments), *extra]:
+            here = (name == tool) & F.col("_args").isNotNull()
+            seen = F.schema_of_variant(F.try_variant_get("_args", f"$.{arg}", "variant"))
+            value = F.try_variant_get("_args", f"$.{arg}", "string")
+            missing = seen.isNull() | (seen == "VOID")
+            if required:
+                found.append(F.when(here & missing, f"missing_{arg}"))
+            if kind == "strings":
+                listed = F.startswith(seen, F.lit("ARRAY<"))
+                found.append(F.when(here & ~missing & ~listed, f"type_{arg}").when(here & listed & ~seen.isin("ARRAY<STRING>", "ARRAY<VOID>"), f"item_{arg}"))
+            else:
+                found.append(F.when(here & ~missing & (seen != "STRING"), f"type_{arg}"))
+            known = value.isin(*allowed) if allowed else known_pos(value, F.col("version")).isNotNull() if arg == "step_id" else None
+            if known is not None:
+                found.append(F.when(here & (seen == "STRING") & ~known, f"value_{arg}"))
+    problems = F.array_join(F.array_compact(F.array(*found)), ",")
+    return parsed.withColumn("problems", F.when(problems == "", "ok").otherwise(problems)).drop("_args")
+
+
 def checked_calls(calls: DataFrame) -> DataFrame:
     """Tool calls with what the text rules make of each: ``fine``, ``unknown`` and the short values that the replay needs."""
     text = lambda arg: F.try_variant_get("_args", f"$.{arg}", "string")

@@ -227,21 +227,21 @@ IDS = "case version when 'lite' then {lite} when 'full' then {full} else {spec_o
 QT = sql.strip(sql.marks("q"))
 
 
-@catalog.add("tool_replay", duck("v_tool_calls", AUDIT + f"""
+REPLAY = f"""
 , ready as (
   select *, verdict = 'ok' and case name
-      when 'ask_question' then {sql.question(QT, 'q')} = 'ok' and {sql.rendered(QT)} = 'ok'
+      when 'ask_question' then <<ask>>
       when 'set_product_name' then {sql.strip('pname')} <> '' and length({sql.strip('pname')}) <= 120
         and length({sql.slug('pname')}) >= 3 and {sql.slug('pname')} <> 'product'
       when 'create_adr' then title <> '' and md <> '' else true end as fine,
-    {sql.slug("coalesce(pname, '')")} as made, {sql.dont_know(sql.plain_reply('reply'))} as unknown,
+    {sql.slug("coalesce(pname, '')")} as made, <<offered>> as option, {sql.dont_know(sql.plain_reply('reply'))} as unknown,
     row_number() over (partition by session_id order by seq) as rn
   from audit
-), r as (
+)<<choice>>, r as (
   select distinct session_id, cast(0 as bigint) as rn, 'lite' as version, cast(0 as bigint) as pointer,
     cast([] as bigint[]) as kept, false as open, cast(0 as bigint) as spent, cast(null as varchar) as verdict,
     cast(0 as bigint) as adrs, cast(null as varchar) as slug, 'active' as status, cast(-1 as bigint) as turn_id,
-    true as judged, false as stopped from ready
+    true as judged, false as stopped from chosen
   union all
   select session_id, rn,
     case when act = 'set_version' and len(kept) = 0 then ver else version end,
@@ -255,25 +255,85 @@ QT = sql.strip(sql.marks("q"))
     case when act = 'finish' and pointer >= len(ids) then 'finished' else status end,
     turn_id, judged or act = 'assess_answer', stopped or act = 'ask_question'
   from (
-    select *, act = 'save_artifact' and not open and spot > 0 and (pointer >= len(ids) or spot <= pointer + 1) as saves,
-      act = 'assess_answer' and (unknown or say = 'answer' or spent >= 2) as closes
+    select *, act = 'save_artifact' and not open and bytes <= 20000 and spot > 0 and (pointer >= len(ids) or spot <= pointer + 1) as saves,
+      act = 'assess_answer' and (unknown or open and picked or say = 'answer' or spent >= 2) as closes
     from (
       select *, {IDS} as ids, coalesce(list_position({IDS}, step_id), 0) as spot,
         case when fine and not stopped and (judged or name = 'assess_answer') then name else 'none' end as act
       from (
-        select e.session_id, e.rn, e.turn_id, e.name, e.fine, e.ver, e.step_id, e.say, e.made, e.unknown,
+        select e.session_id, e.rn, e.turn_id, e.name, e.fine, e.ver, e.step_id, e.say, e.made, e.unknown, e.picked, octet_length(encode(e.md)) as bytes,
           r.version, r.pointer, r.kept, r.open, r.spent, r.verdict, r.adrs, r.slug, r.status,
           case when e.turn_id <> r.turn_id then not r.open else r.judged end as judged,
           case when e.turn_id <> r.turn_id then false else r.stopped end as stopped
-        from r join ready e on e.session_id = r.session_id and e.rn = r.rn + 1)))
+        from r join chosen e on e.session_id = r.session_id and e.rn = r.rn + 1)))
 )
 select session_id, version, status, slug, verdict, open, spent, len(kept) as artifacts, adrs,
   coalesce(({IDS})[pointer + 1], '_finish') as current_step
-from (select *, row_number() over (partition by session_id order by rn desc) as k from r) where k = 1""", recursive=True))
+from (select *, row_number() over (partition by session_id order by rn desc) as k from r) where k = 1"""
+
+
+PLAIN = {
+    "ask": f"{sql.question(QT, 'q')} = 'ok' and {sql.rendered(QT)} = 'ok'", "offered": "null",
+    "choice": ", chosen as (select *, false as picked from ready)",
+}
+LED = sql.strip(sql.marks("case when json_type(args, '$.preamble') = 'VARCHAR' then json_extract_string(args, '$.preamble') end"))
+SHOWN = f"case when {LED} = '' then {QT} else concat({LED}, chr(10), chr(10), {QT}) end"
+RICH = {
+    "ask": f"{sql.preamble(LED)} = 'ok' and {sql.question(QT, 'q')} = 'ok' and {sql.rendered(f'({SHOWN})')} = 'ok'",
+    "offered": """case when json_type(args, '$.options') = 'ARRAY' then list_transform(
+      list_filter(json_extract(args, '$.options[*]'), lambda o: json_type(o) = 'VARCHAR'), lambda o: json_extract_string(o, '$')) end""",
+    # the options of the last question that passed the rules, found in the reply as whole words
+    "choice": f""", before as (
+  select *, last_value(case when name = 'ask_question' and fine then struct_pack(o := option) end ignore nulls) over (
+    partition by session_id order by seq rows between unbounded preceding and 1 preceding) as offer, {sql.plain_reply('reply')} as t from ready
+), chosen as (
+  select *, coalesce(len(list_filter(offer.o, lambda o: contains(concat(' ', t, ' '), concat(' ', {sql.plain_reply('o')}, ' ')))) > 0, false) as picked
+  from before
+)""",
+}
+
+
+def replay_sql(rules_sql: dict[str, str]) -> str:
+    found = REPLAY
+    for name, text in rules_sql.items():
+        found = found.replace(f"<<{name}>>", text)
+    return found
+
+
+@catalog.add("tool_replay", duck("v_tool_calls", AUDIT + replay_sql(PLAIN), recursive=True))
 def _(s: Source):
     return ops.tool_replay(s.tool_calls)
 
 
+RICH_AUDIT = AUDIT.replace("v_tool_calls", "v_rich_calls")
+
+
+@catalog.add("tool_replay_choices", duck("v_rich_calls", RICH_AUDIT + replay_sql(RICH), recursive=True))
+def _(s: Source):
+    """Options that decide, lead-ins that are refused, artifacts over the cap."""
+    return ops.tool_replay(s.rich_calls)
+
+
+ALLOWED = " ".join(f"when '{v}' then step_id in ({', '.join(repr(x[0]) for x in steps)})" for v, steps in PIPELINES.items())
+
+
+@catalog.add("tool_schema_audit", duck("v_rich_calls", f"""
+, t as (
+  select *, json_extract_string(args, '$.step_id') as step_id, json_type(args, '$.preamble') as k_pre, json_type(args, '$.options') as k_opt,
+    json_type(args, '$.missing') as k_miss, json_extract_string(args, '$.version') as ver from v_rich_calls
+)
+select session_id, seq, coalesce(nullif(concat_ws(',',
+  case when name = 'save_artifact' and not case version {ALLOWED} end then 'value_step_id' end,
+  case when name = 'set_version' and ver not in ('lite', 'full', 'spec_only') then 'value_version' end,
+  case when name = 'ask_question' and k_pre <> 'VARCHAR' then 'type_preamble' end,
+  case when name = 'ask_question' and k_opt <> 'ARRAY' then 'type_options'
+    when name = 'ask_question' and len(list_filter(json_extract(args, '$.options[*]'), lambda o: json_type(o) <> 'VARCHAR')) > 0 then 'item_options' end,
+  case when name = 'assess_answer' and k_miss <> 'VARCHAR' then 'type_missing' end), ''), 'ok') as problems
+from t"""))
+def _(s: Source):
+    return ops.tool_schema_audit(s.rich_calls).select("session_id", "seq", "problems")
+
+
 def spec_sql(runs: str) -> str:
     return STEPS + CURRENT + f"""
 , runs as ({runs})

@@ -151,6 +151,29 @@ def _(s: Source):
     return replay.session_ends(results(replay.live_replay(calls, quarter(s.tool_calls, "seq")), "update", "replay"))
 
 
+@catalog.add("live_pending_choice", money.oracles["pending_choice"])
+def _(s: Source):
+    updates = arriving(s, s.updates, "us", 0.8)
+    found = live.latest(results(replay.keyed_choice(updates, quarter(s.updates, "us")), "update", "picks"), ["event_id"])
+    return found.filter("kind = 'message' and not late").select("event_id", "user_id", "version")
+
+
+@catalog.add("live_transcript", dialogue.oracles["double_user_rows"])
+def _(s: Source):
+    rows = s.messages.select("session_id", "id", F.col("role").alias("kind"), question_marks(F.col("text")).alias("marks"))
+    told = results(replay.keyed_messages(arriving(s, rows, "id", 0.8), quarter(rows, "id") + 1), "update", "transcripts")
+    return live.latest(told, ["session_id", "id"]).filter("result = 'double_user'").select("session_id", "id")
+
+
+@catalog.add("live_append_messages", dialogue.oracles["append_messages"])
+def _(s: Source):
+    """Started twice on one checkpoint: the second start finds nothing new and adds nothing."""
+    path, progress = fresh_path(s.spark, "log"), fresh_path(s.spark, "log-progress")
+    messages = arriving(s, s.messages, "id")
+    replay.run(messages, "append", path, progress)
+    return replay.run(messages, "append", path, progress).drop("batch")
+
+
 @catalog.add("live_bounded_payments", money.oracles["dedup_payments"])
 def _(s: Source):
     """With a lateness of years nothing is forgotten and nothing is late, so the result is that of the batch."""

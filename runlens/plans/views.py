@@ -174,6 +174,31 @@ VIEWS: dict[str, View] = {
             "case event_type when 'signup' then 'не знаю' when 'purchase' then 'скорость' else 'мой ответ' end as reply",
         ),
     ),
+    # calls with options, lead-ins, remarks and texts over the cap
+    "v_rich_calls": View(
+        "events",
+        (
+            "user_id as session_id",
+            "event_id as seq",
+            "event_id div 400 as turn_id",
+            f"{VERSION.format('user_id')} as version",
+            "case event_id % 7 when 0 then 'save_artifact' when 1 then 'ask_question' when 2 then 'ask_question' "
+            "when 5 then 'create_adr' when 6 then 'set_version' else 'assess_answer' end as name",
+            "case event_id % 7 "
+            "when 0 then concat('{\"step_id\":\"L', 1 + event_id % 4, '\",\"markdown\":\"', "
+            "case when event_id % 5 = 0 then repeat('я', 10001) else 'm' end, '\"}') "
+            "when 5 then concat('{\"title\":\"T\",\"markdown\":\"', case when event_id % 3 = 0 then '' else 'b' end, '\"}') "
+            "when 6 then concat('{\"version\":\"', case event_id % 3 when 0 then 'full' when 1 then 'lite' else 'pro' end, '\"}') "
+            "when 1 then concat('{\"question\":\"', event_type, '?\"', "
+            "case event_id % 4 when 0 then ',\"preamble\":\"начнём.\"' when 1 then ',\"preamble\":\"а что?\"' when 2 then ',\"preamble\":7' else '' end, '}') "
+            "when 2 then concat('{\"question\":\"', event_type, '?\"', "
+            "case event_id % 3 when 0 then ',\"options\":[\"скорость\",\"цена\",7]' when 1 then ',\"options\":\"скорость\"' "
+            "else ',\"options\":[\"Цена!\"]' end, '}') "
+            "else concat('{\"verdict\":\"', case event_type when 'click' then 'answer' when 'view' then 'partial' else 'offtopic' end, '\"', "
+            "case event_id % 5 when 0 then ',\"missing\":\"срок\"' when 1 then ',\"missing\":[\"срок\"]' else '' end, '}') end as args",
+            "case event_type when 'signup' then 'не знаю' when 'purchase' then 'Скорость, да' when 'error' then 'цена' else 'мой ответ' end as reply",
+        ),
+    ),
     "v_messages": View(
         "conversations",
         (

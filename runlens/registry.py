@@ -56,6 +56,9 @@ TOOLS = {
     "finish": [],
 }
 
+# What the tool schema says beyond that: argument -> kind of value. The steps of the run's version are the only step ids.
+OPTIONAL = {"ask_question": [("options", "strings")], "assess_answer": [("missing", "string")]}
+
 # Replies that mean "I do not know".
 DONT_KNOW = [
     "не знаю", "незнаю", "не в курсе", "хз", "понятия не имею", "затрудняюсь",
@@ -93,12 +96,6 @@ def steps_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "version string, pos int, step_id string, zone string, title string")
 
 
-def tools_table(spark: SparkSession) -> DataFrame:
-    """(name, arg, required, allowed), one row per argument; 'finish' has none."""
-    rows = [(tool, *arg) for tool, args in TOOLS.items() for arg in args]
-    return spark.createDataFrame(rows, "name string, arg string, required boolean, allowed array<string>")
-
-
 def routes_table(spark: SparkSession) -> DataFrame:
     """(variant, file_name, destination)."""
     rows = [(v, f, d) for v, own in ROUTE_VARIANTS.items() for f, d in [*own, *ROUTES]]

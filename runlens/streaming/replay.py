@@ -192,6 +192,36 @@ def money_chain(payments: DataFrame, events: DataFrame, owners: DataFrame, laten
     return replayed(rows, "user_id", ledger_rule(free_runs, lateness), "outcome string", "Append")
 
 
+# --- picks and messages, transcripts ------------------------------------------------------------------------------------
+
+def keyed_choice(updates: DataFrame, lateness: int) -> DataFrame:
+    """The version each message starts with: the pick since the last message or reset; ``late`` rows change nothing.
+
+    updates: user_id, us, event_id, kind in (pick, message, reset), version.
+    """
+    def step(pending: str | None, row: dict) -> tuple[str | None, tuple]:
+        taken = pending if row["kind"] == "message" else None
+        return (row["version"] if row["kind"] == "pick" else None), (taken, False)
+
+    rule = Rule(("us", "event_id"), ["kind", "version"], None, step, lambda pending, row: (pending, (None, True)), ["version", "late"], lateness)
+    known = updates.filter((F.col("kind") != "pick") | F.col("version").isin(*PIPELINES))
+    return replayed(known, "user_id", rule, "version string, late boolean", "Update")
+
+
+def keyed_messages(messages: DataFrame, lateness: int) -> DataFrame:
+    """The transcript as it grows: 'double_user' for a user message right after one, else 'user', 'asked' or 'said'.
+
+    messages: session_id, id, kind (the role), marks (question marks). ``lateness`` counts in ids; the result of a row behind it is 'late'.
+    """
+    def step(before: str | None, row: dict) -> tuple[str, tuple]:
+        role = row["kind"]
+        verdict = ("double_user" if before == "user" else "user") if role == "user" else "asked" if row["marks"] else "said"
+        return role, (verdict,)
+
+    rule = Rule(("id", "place"), ["kind", "marks"], None, step, lambda before, row: (before, ("late",)), ["result"], lateness)
+    return replayed(messages.withColumn("place", F.col("id")), "session_id", rule, "result string", "Update").drop("place")
+
+
 # --- tool calls ---------------------------------------------------------------------------------------------------
 
 FIRST = {version: pipeline[0][0] for version, pipeline in PIPELINES.items()}

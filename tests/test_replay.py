@@ -120,3 +120,29 @@ def test_nothing_to_read(spark, tmp_path):
     os.makedirs(f"{tmp_path}/e")
     stream = replay.file_stream(spark, f"{tmp_path}/e", "session_id long, turn_id long, seq long, name string, args string, reply string")
     assert replay.run(replay.live_replay(stream, lateness=1), "update", f"{tmp_path}/out", f"{tmp_path}/progress") is None
+
+
+def test_picks_out_of_order_and_over_a_restart(spark, tmp_path):
+    schema = "user_id long, us long, event_id long, kind string, version string"
+    parts = [[(1, 40, 4, "message", None), (1, 10, 1, "pick", "lite"), (1, 20, 2, "pick", "pro"), (2, 30, 3, "message", None)],
+             [(1, 50, 5, "message", None), (2, 60, 6, "pick", "full"), (1, 30, 13, "pick", "spec_only")],
+             [(2, 80, 8, "message", None), (2, 70, 7, "reset", None), (1, 90, 9, "pick", "full"), (1, 100, 10, "message", None), (1, 1000, 11, "message", None)],
+             [(1, 995, 12, "pick", "lite"), (1, 400, 14, "pick", "full")]]
+    found = {}
+    for i in range(0, 4, 2):
+        stream = files(spark, f"{tmp_path}/u", parts[i : i + 2], schema)
+        results = replay.run(replay.keyed_choice(stream, lateness=100), "update", f"{tmp_path}/out", f"{tmp_path}/progress")
+        found[i] = {r.event_id: r.version for r in live.latest(results, ["event_id"]).filter("kind = 'message'").collect()}
+    assert found[0] == {4: "spec_only", 5: None, 3: None}
+    assert found[2] == {4: "spec_only", 5: None, 3: None, 8: None, 10: "full", 11: "lite"}
+    assert [r.event_id for r in results.filter("late").collect()] == [14]
+
+
+def test_transcripts_out_of_order(spark, source, tmp_path):
+    rows = source.messages.select("session_id", "id", F.col("role").alias("kind"), F.lit(0).alias("marks"))
+    from runlens.operators.dialogue import double_user_rows
+
+    stream = replay.in_files(rows, f"{tmp_path}/m", "id", 5, 1.0)
+    results = replay.run(replay.keyed_messages(stream, lateness=50), "update", f"{tmp_path}/out", f"{tmp_path}/progress")
+    got = {(r.session_id, r.id) for r in live.latest(results, ["session_id", "id"]).filter("result = 'double_user'").collect()}
+    assert got == {(r.session_id, r.id) for r in double_user_rows(source.messages).collect()} and got
