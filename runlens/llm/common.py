@@ -49,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
         for start, end in zip(edges, edges[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
+        pa.default_memory_pool().release_unused()  # a worker is used again and again, its idle memory counts
 
 
 def unrepeated(batch: pa.RecordBatch) -> pa.RecordBatch:
