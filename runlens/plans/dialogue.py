@@ -90,6 +90,12 @@ def _(s: Source):
     return ops.transcript_tail(s.messages)
 
 
+@catalog.add("trim_history_short", duck("v_messages", tail(5) + "select session_id, id, role, text from tail"))
+def _(s: Source):
+    """A limit that sessions do reach."""
+    return ops.transcript_tail(s.messages, 5)
+
+
 @catalog.add("normalize_history", history(40, 40))
 def _(s: Source):
     return ops.normalize_history(s.messages)

@@ -11,7 +11,8 @@ from runlens.operators import methodology as ops
 from runlens.plans.query import Catalog, Source
 from runlens.plans.views import View, VIEWS, duck
 from runlens.registry import ROUTE_VARIANTS, ROUTES
-from runlens.sources.workspace import artifact_route, file_facts
+from runlens.session import fresh_path
+from runlens.sources.workspace import artifact_route, file_facts, load_workspace, write_workspace
 
 catalog = Catalog()
 
@@ -242,6 +243,18 @@ def _(s: Source):
     return file_facts(s.workspace)
 
 
+@catalog.add("read_workspace", duck("v_workspace", r"""
+select cast(product as varchar) as product, file_name, text, case when starts_with(file_name, 'adr/') then 'decision' else 'step' end as kind,
+  try_cast(regexp_extract(file_name, '^([0-9]{2})-[^/]+\.md$', 1) as int) as step_no,
+  try_cast(regexp_extract(file_name, '^adr/([0-9]{3})-[^/]+\.md$', 1) as int) as decision_no
+from v_workspace where file_name like '%.md'"""))
+def _(s: Source):
+    """The trees are written and read back; only markdown files are looked at."""
+    root = fresh_path(s.spark, "workspaces")
+    write_workspace(s.workspace, root)
+    return load_workspace(s.spark, root).withColumn("text", F.expr("left(text, char_length(text) - 1)"))
+
+
 def _routes() -> str:
     rows = [(v, f, d) for v, own in ROUTE_VARIANTS.items() for f, d in [*own, *ROUTES]]
     return ", ".join(f"('{v}', '{f}', {'null' if d is None else repr(d)})" for v, f, d in rows)

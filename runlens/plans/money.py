@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators import access, audits, ledger
 from runlens.plans.query import Catalog, Source
 from runlens.plans.views import duck
-from runlens.session import settle
+from runlens.session import fresh_path, settle
+from runlens.sources import tables
 
 catalog = Catalog()
 
@@ -246,6 +250,40 @@ def _(s: Source):
     )
 
 
+@catalog.add("load_run_tables", folded("""
+select 'sessions' as "table", cast(id as varchar) as "key", concat_ws('/', slug, version, status, clarify_count, refunded,
+    len(from_json(current_options, '["varchar"]'))) as value from v_sessions
+union all select 'artifacts', concat_ws('/', session_id, write_no, step_id), cast(length(markdown) as varchar) from v_artifact_writes
+union all select 'messages', concat_ws('/', session_id, id), concat_ws(': ', role, text) from v_messages
+union all select 'adrs', concat_ws('/', session_id, n, id), title from v_adrs
+union all select 'billing', cast(user_id as varchar), concat_ws('/', free_used, paid_credits) from bal
+union all select 'payments', charge_id, concat_ws('/', user_id, amount) from credited""", "v_sessions v_artifact_writes v_messages v_adrs"))
+def _(s: Source):
+    """All six tables written in their fixed schemas and read by them."""
+    folder = fresh_path(s.spark, "tables")
+    events, credited, owners = parts(s)
+    credited = settle(credited)
+    tables.write_tables({
+        "sessions": s.sessions, "messages": s.messages, "adrs": s.adrs,
+        "artifacts": s.artifact_writes.withColumnRenamed("write_no", "id"),
+        "billing": ledger.ledger_balances(events, credited, owners).withColumnRenamed("user_id", "tg_user_id"),
+        "payments": credited.withColumnRenamed("user_id", "tg_user_id"),
+    }, folder)
+    read = tables.load_tables(s.spark, folder)
+    read["sessions"] = access.decoded_sessions(read["sessions"])
+    shown = {
+        "sessions": ("id", "concat_ws('/', slug, version, status, clarify_count, refunded, if(options is null, null, size(options)))"),
+        "artifacts": ("concat_ws('/', session_id, id, step_id)", "char_length(markdown)"),
+        "messages": ("concat_ws('/', session_id, id)", "concat_ws(': ', role, text)"),
+        "adrs": ("concat_ws('/', session_id, n, id)", "title"),
+        "billing": ("tg_user_id", "concat_ws('/', free_used, paid_credits)"),
+        "payments": ("charge_id", "concat_ws('/', tg_user_id, stars)"),
+    }
+    return reduce(DataFrame.unionByName, [
+        read[name].selectExpr(f"'{name}' as table", f"cast({key} as string) as key", f"cast({value} as string) as value")
+        for name, (key, value) in shown.items()])
+
+
 @catalog.add("constraint_audit", duck("v_sessions v_artifact_writes v_adrs v_payments_raw", """
 select 'one active run per user' as rule, concat(tg_user_id) as "key", count(*) as n from v_sessions
   where status = 'active' group by tg_user_id having count(*) > 1

@@ -493,7 +493,54 @@ def _(s: Source):
     return docs.chunk_documents(s.table("documents"))
 
 
-@catalog.add("chunk_html")
+# marked-up texts: a long line is cut before a tag that the cut would fall into; tags open at a chunk's end are closed and opened again
+CHUNK_HTML = f"""
+, marked as (select doc_id, {HTML} as text from v_markdown)
+, lines as (
+  select doc_id, unnest(string_split(text, E'\\n')) as line, unnest(range(len(string_split(text, E'\\n')))) as line_no
+  from marked where length(text) > 4096
+), cuts as (
+  select doc_id, line_no, cast(0 as bigint) as cut, cast(null as varchar) as piece, line as rest from lines
+  union all
+  select doc_id, line_no, cut + 1, left(rest, reach), substring(rest, reach + 1) from (
+    select *, case when length(rest) <= 4048 then length(rest) when opened > closed and opened > 1 then opened - 1 else 4048 end as reach from (
+      select *, case when contains(part, '<') then 4049 - strpos(reverse(part), '<') else 0 end as opened,
+        case when contains(part, '>') then 4049 - strpos(reverse(part), '>') else 0 end as closed
+      from (select *, left(rest, 4048) as part from cuts where rest <> '' or cut = 0)))
+), numbered as (
+  select *, length(piece) as size, row_number() over (partition by doc_id order by line_no, cut) as rn from cuts where cut > 0
+), packed as (
+  select distinct doc_id, cast(0 as bigint) as rn, cast(0 as bigint) as held, cast(0 as bigint) as chunk_no, '' as piece, false as kept
+  from numbered
+  union all
+  select n.doc_id, n.rn,
+    case when p.held > 0 and p.held + 1 + n.size <= 4048 then p.held + 1 + n.size else n.size end,
+    case when p.held > 0 and p.held + 1 + n.size > 4048 then p.chunk_no + 1 else p.chunk_no end,
+    n.piece, n.size > 0 or (p.held > 0 and p.held + 1 + n.size <= 4048)
+  from packed p join numbered n on n.doc_id = p.doc_id and n.rn = p.rn + 1
+), bodies as (
+  select doc_id, chunk_no, string_agg(piece, E'\\n' order by rn) as body from packed where kept group by doc_id, chunk_no
+), tagged as (
+  select *, list_transform(regexp_extract_all(body, '</?[a-zA-Z0-9]+[^>]*>'), lambda t:
+    [case when starts_with(t, '</') then '/' else '' end || lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1))]) as tags from bodies
+), balanced as (
+  select distinct doc_id, cast(-1 as bigint) as chunk_no, '' as chunk, cast([] as varchar[]) as open from bodies
+  union all
+  select doc_id, chunk_no, concat(array_to_string(list_transform(carried, lambda t: '<' || t || '>'), ''), body,
+    array_to_string(list_transform(list_reverse(open), lambda t: '</' || t || '>'), '')), open
+  from (
+    select t.doc_id, t.chunk_no, t.body, b.open as carried, list_reduce(list_concat([b.open], t.tags), lambda held, tag:
+      case when not starts_with(tag[1], '/') then list_concat(held, tag)
+        when not list_contains(held, tag[1][2:]) then held
+        else list_concat(held[1:len(held) - list_position(list_reverse(held), tag[1][2:])],
+          held[len(held) - list_position(list_reverse(held), tag[1][2:]) + 2:len(held)]) end) as open
+    from balanced b join tagged t on t.doc_id = b.doc_id and t.chunk_no = b.chunk_no + 1)
+)
+select doc_id, cast(chunk_no as int) as chunk_no, chunk from balanced where chunk_no >= 0
+union all select doc_id, 0, text from marked where length(text) <= 4096"""
+
+
+@catalog.add("chunk_html", duck("v_markdown", CHUNK_HTML, recursive=True))
 def _(s: Source):
     marked = s.markdown.select("doc_id", rules.md_to_html(F.col("text")).alias("text"))
     return docs.chunk_documents(marked)

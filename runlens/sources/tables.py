@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "sessions": "id long, tg_user_id long, slug string, version string, current_step string, status string, "
@@ -24,6 +25,15 @@ def load_tables(spark: SparkSession, folder: str, file_format: str = "parquet")
     }
 
 
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """The six tables below ``folder`` in their fixed schemas; columns that a table lacks are null."""
+    for name, schema in SCHEMAS.items():
+        have = set(tables[name].columns)
+        fields = [field.strip().split() for field in schema.split(",")]
+        columns = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in fields]
+        tables[name].select(*columns).write.parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def append_messages(messages: DataFrame, path: str) -> None:
     """Add rows to the transcript log; written rows are never touched."""
     messages.write.mode("append").parquet(path)

@@ -34,7 +34,10 @@ class TextFilesWriter(DataSourceWriter):
         return files, root.rstrip("/")
 
     def write(self, iterator: Iterator[Row]) -> Attempt:
-        """Rows (file_name, value): those of one file come together, in order; each value is a line or several."""
+        """Rows (file_name, value): those of one file come together, in order; each value is a line or several, null an empty one.
+
+        A file name may lead into folders of its own.
+        """
         files, root = self._files()
         folder, now, out = f"{root}/{STAGING}/{self.job}/{uuid.uuid4().hex}", None, None
         try:
@@ -44,8 +47,11 @@ class TextFilesWriter(DataSourceWriter):
                         files.create_dir(folder, recursive=True)
                     else:
                         out.close()
-                    now, out = row.file_name, files.open_output_stream(f"{folder}/{row.file_name.replace('/', '_')}")
-                out.write(f"{row.value}\n".encode())
+                    name = "/".join(part for part in row.file_name.split("/") if part.strip("."))  # stays below the folder
+                    if "/" in name:
+                        files.create_dir(f"{folder}/{name.rsplit('/', 1)[0]}", recursive=True)
+                    now, out = row.file_name, files.open_output_stream(f"{folder}/{name}")
+                out.write(f"{'' if row.value is None else row.value}\n".encode())
         finally:
             if out is not None:
                 out.close()

@@ -39,6 +39,13 @@ def load_workspace(spark: SparkSession, root: str) -> DataFrame:
     return file_facts(files.select(product.alias("product"), inside.alias("file_name"), F.col("value").alias("text")))
 
 
+def write_workspace(files: DataFrame, path: str) -> None:
+    """Workspaces as trees of files below ``path``: files: product, file_name, text. Each text gets a line end."""
+    files.sparkSession.dataSource.register(TextFiles)
+    name = F.concat_ws("/", F.col("product").cast("string"), "file_name")
+    files.select(name.alias("file_name"), F.col("text").alias("value")).write.format("text_files").mode("append").save(path)
+
+
 def artifact_route(files: DataFrame, variant: str) -> DataFrame:
     """Where each file goes in the repository, or that it stays: files: product, file_name."""
     routes = routes_table(files.sparkSession).filter(F.col("variant") == variant)
