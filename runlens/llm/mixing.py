@@ -6,8 +6,11 @@ Its documents are then taken floor(target / size) times, and once more those fir
 far as the remaining words reach. The cut in that order is found through a histogram over hash cells, so only one
 cell of each source is ever sorted.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows alike in doc_id,
-source and text share a hash and are taken alike; an empty table gives an empty result; other columns pass through.
+Rows alike in doc_id, source and text share a hash. Those in which the cut falls are taken as one group: as many of them as
+fit are taken once more, which of them does not matter, so reruns agree.
+
+Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty table gives an empty result;
+other columns pass through (of alike rows at the cut, one row stands for all).
 """
 
 from __future__ import annotations
@@ -83,16 +86,18 @@ def repetition_plan(sized: DataFrame, seed: int = SEED, weights: Sequence[float]
     edge = sized.withColumn("cell", cell).join(
         plan.select(F.col("source").alias("_s"), F.col("cell").alias("_c"), "_left"),
         F.col("source").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_c")))
-    ordered = Window.partitionBy("source").orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        edge.select("source", "_u", "size", "_left")
-        .withColumn("_run", F.sum("size").over(ordered))
-        .where(F.col("_run") - F.col("size") / 2 <= F.col("_left"))
-        .groupBy("source").agg(F.max("_u").alias("_cut"))
-    )
+    # alike rows are one group; the cut takes whole groups, then as many rows of the next one as fit, to the nearest row
+    groups = edge.groupBy("source", "_u").agg(F.sum("size").alias("_words"), F.max("size").alias("size"), F.max("_left").alias("_left"))
+    ordered = Window.partitionBy("source").orderBy("_u").rowsBetween(Window.unboundedPreceding, 0)
+    run = groups.withColumn("_run", F.sum("_words").over(ordered)).withColumn("_fits", F.col("_run") - F.col("size") / 2 <= F.col("_left"))
+    copies = F.floor((F.col("_left") - F.col("_run") + F.col("_words")) / F.col("size") + 0.5)
+    cuts = run.groupBy("source").agg(
+        F.max(F.when(F.col("_fits"), F.col("_u"))).alias("_cut"),
+        F.min(F.when(~F.col("_fits"), F.struct("_u", copies.cast("long").alias("copies")))).alias("_next"))
     return settled(
         plan.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select("source", "source_size", "target", "whole", "cell", "_cut"), "mixing-cuts")
+        .select("source", "source_size", "target", "whole", "cell", "_cut", F.col("_next._u").alias("_next"),
+                F.coalesce("_next.copies", F.lit(0)).cast("long").alias("_copies")), "mixing-cuts")
 
 
 def draw(name: str, seed: int) -> Column:
@@ -106,13 +111,25 @@ def cell_of(drawn: Column) -> Column:
 
 
 def with_repetitions(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs`` (with source and _u) and for each row how often the mix takes it (``_times``) and its source's figures."""
+    """``docs`` (with source and _u) and for each row how often the mix takes it (``_times``) and its source's figures.
+
+    ``_split``: of the rows alike to this one, ``_copies`` are taken once more (0: none, the row is not at a cut).
+    """
     cell = cell_of(F.col("_u"))
-    p = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", F.col("cell").alias("_c"), "_cut")
+    p = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", F.col("cell").alias("_c"), "_cut", "_next", "_copies")
     extra = F.col("_c").isNull() | (cell < F.col("_c")) | ((cell == F.col("_c")) & F.coalesce(F.col("_u") <= F.col("_cut"), F.lit(False)))
     joined = docs.join(p, F.col("source").eqNullSafe(F.col("_s")), "left")
     fraction = F.col("target") > F.col("whole") * F.col("source_size")
-    return joined.withColumn("_times", F.col("whole") + (fraction & extra).cast("int")).drop("_s", "whole", "_c", "_cut")
+    split = fraction & (cell == F.col("_c")) & (F.col("_u") == F.col("_next")) & (F.col("_copies") > 0)
+    return joined.withColumn("_times", F.col("whole") + (fraction & extra).cast("int")).withColumn(
+        "_split", F.coalesce(split, F.lit(False))).drop("_s", "whole", "_c", "_cut", "_next")
+
+
+def counted_out(groups: DataFrame, count: str) -> DataFrame:
+    """Each row ``count`` times, numbered ``_i`` from 1; in blocks, so that no long array is ever made."""
+    blocks = groups.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / 1024))))
+    first = F.col("_block") * 1024
+    return blocks.withColumn("_i", F.explode(F.sequence(first + 1, F.least(F.col(count), first + 1024)))).drop("_block")
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -123,12 +140,24 @@ def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS, m
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged."""
     names = docs.columns
     plan = repetition_plan(settled(sized(docs, seed).drop("doc_id"), "mixing-sizes"), seed, weights, max_epochs)
-    taken = with_repetitions(packed(docs, "source", draw("_u", seed)), plan).where(F.col("_times") > 0)
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*unpacked(names))
+    rows = with_repetitions(packed(docs, "source", draw("_u", seed)), plan)
+    taken = rows.where("_times > 0 and not _split").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    if plan.where("_copies > 0").isEmpty():
+        return taken.select(*unpacked(names))
+    alike = rows.where("_split").groupBy("source", "_u").agg(
+        F.first("_row").alias("_row"), (F.sum("_times") + F.max("_copies")).cast("long").alias("_all"))
+    return taken.select(*unpacked(names)).union(counted_out(alike, "_all").select(*unpacked(names)))
 
 
 def mixing_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes of it."""
     narrow = settled(sized(docs, seed), "mixing-sizes")
-    rows = with_repetitions(narrow, repetition_plan(narrow, seed))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken"), F.col("_times").alias("times"))
+    plan = repetition_plan(narrow, seed)
+    rows = with_repetitions(narrow, plan)
+    shown = ["doc_id", "size", "source_size", "target"]
+    told = [*shown, (F.col("_times") * F.col("size")).alias("taken"), F.col("_times").alias("times")]
+    if plan.where("_copies > 0").isEmpty():
+        return rows.select(*told)
+    alike = rows.where("_split").groupBy(*shown, "_times", "_copies").agg(F.count(F.lit(1)).alias("_all"))
+    split = counted_out(alike, "_all").withColumn("_times", F.col("_times") + (F.col("_i") <= F.col("_copies")).cast("int"))
+    return rows.where("not _split").select(*told).union(split.select(*told))
