@@ -47,16 +47,20 @@ DROPPED = frozenset(
     "script style noscript template head nav footer header aside form button select option textarea input label fieldset iframe object "
     "embed svg canvas audio video map dialog menu xmp noembed noframes title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# words of class and id names that say that an element is not article text
-DROPPED_NAMES = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion "
-    "disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related "
-    "remarks replies responses share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+# words of class and id names of what is not article text: readers' comments, sure ones, and such as articles use themselves
+COMMENTS = frozenset("comment comments disqus".split())
+SURE = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer masthead menu modal nav navbar "
+    "navigation newsletter overlay popup promo promoted share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar".split())
+DOUBTFUL = frozenset("discussion form header notice notices promotion related remarks replies responses skip widget".split())
+SMALL_SHARE = 0.3  # of the text around it that a part may hold to be dropped by a name that is not sure
+LINK_SHARE = 0.5  # of a part's text in links, from which on it is taken for a list of links
 # words of names that tell a state of the page or of an element, not what it is
 STATES = frozenset(
     "has have no not non with without is are show shows hide hides open opened close closed on off enabled disabled allowed active inactive hidden visible "
     "collapsed expanded fixed sticky left right free loaded ready".split())
-FRAMES = frozenset("html body main article".split())  # never dropped by class or id: they hold the text
+FRAMES = frozenset("html body main".split())  # never dropped by class or id: they hold the text
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME_PARTS = re.compile(r"[a-z]+")
 CLOSED_BY = {  # an open element (key) ends where one of these starts
     "p": BLOCK - {"option", "legend", "caption"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
@@ -65,45 +69,97 @@ CLOSED_BY = {  # an open element (key) ends where one of these starts
 SCOPES = frozenset("table td th ul ol div section article aside nav body main form blockquote dl".split())
 
 
+KEEP, SMALL, LINKS, DROP = range(4)  # what a name asks for: nothing, to be small or all links, to be all links, to be dropped
+
+
 class Element:
-    __slots__ = ("name", "parent", "dropped", "parts", "place")
+    __slots__ = ("name", "parent", "dropped", "asked", "parts", "place")
 
-    def __init__(self, name: str, parent: Element | None, dropped: bool, place: int):
-        self.name, self.parent, self.dropped, self.place = name, parent, dropped, place
+    def __init__(self, name: str, parent: Element | None, asked: int, place: int):
+        self.name, self.parent, self.dropped, self.asked, self.place = name, parent, asked == DROP, asked, place
         self.parts: list = []  # texts and elements in page order
 
 
-def furniture(names: str) -> bool:
-    """Whether a class or id (lower case) names what is not article text: a word of ``DROPPED_NAMES`` as a whole name, or as the
-    first or last word of a name that does not just state something ("has-sidebar", "nav-closed")."""
+def named(element: str, names: str, is_class: bool) -> int:
+    """What a class or id (lower case) asks for. A name says something by itself, or by its first or last word if it does not
+    just state something ("has-sidebar", "nav-closed"). Headings and leaves are text, unless a class is sure word for word."""
+    asked = KEEP
     for name in names.split():
         words = NAME_PARTS.findall(name)
-        if name in DROPPED_NAMES or (words and not {words[0], words[-1]} & STATES and (words[0] in DROPPED_NAMES or words[-1] in DROPPED_NAMES)):
-            return True
-    return False
+        ends = set() if not words or {words[0], words[-1]} & STATES else {words[0], words[-1]}
+        if element == "article":
+            asked = max(asked, DROP if (ends | {name}) & COMMENTS else KEEP)
+        elif element in HEADINGS:
+            continue
+        elif is_class and (name in SURE or name in COMMENTS):
+            return DROP
+        elif element in LEAF:
+            continue
+        elif (ends | {name}) & COMMENTS:
+            return DROP
+        elif (ends | {name}) & SURE or (is_class and name in DOUBTFUL):
+            asked = max(asked, SMALL)
+        elif (ends | {name}) & DOUBTFUL and asked == KEEP:
+            asked = LINKS
+    return asked
 
 
-def unwanted(name: str, attributes: str) -> bool:
+def unwanted(name: str, attributes: str) -> int:
     if name in DROPPED:
-        return True
+        return DROP
     if not attributes or attributes.isspace():
-        return False
+        return KEEP
+    asked = KEEP
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (values[0] or values[1] or values[2]).lower()
         if key in ("class", "id"):
-            if name not in FRAMES and furniture(value):
-                return True
+            said = KEEP if name in FRAMES else named(name, value, key == "class")
+            asked = said if asked == KEEP else max(asked, said) if DROP in (asked, said) else min(asked, said or asked)
         elif key == "role":
             if value.strip() in DROPPED_ROLES:
-                return True
+                return DROP
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-    return False
+            return DROP
+    return asked
+
+
+def judge(root: Element, elements: list[Element]) -> None:
+    """Drop the elements whose names only ask for it, by how much of the text around them they hold and how much of theirs is links.
+
+    An article inside another one is a reader's comment or a teaser if it holds the smaller part of the outer one's text.
+    """
+    doubtful = [e for e in elements if e.asked in (SMALL, LINKS) or (e.name == "article" and not e.dropped)]
+    if not any(e.asked != KEEP or inside(e, "article") for e in doubtful):
+        return
+    sizes, links = {root: 0}, {root: 0}
+    for e in elements:
+        sizes[e] = links[e] = 0
+    for e in [*reversed(elements), root]:
+        sizes[e] += sum(len(part.strip()) for part in e.parts if isinstance(part, str))
+        if e.name == "a":
+            links[e] = sizes[e]
+        if e.parent is not None and not e.dropped:
+            sizes[e.parent] += sizes[e]
+            links[e.parent] += links[e]
+    for e in doubtful:
+        frame = inside(e, "article") or inside(e, "main") or inside(e, "body") or root
+        if e.asked == KEEP:
+            e.dropped = frame.name == "article" and 2 * sizes[e] < sizes[frame]
+        else:
+            e.dropped = links[e] >= LINK_SHARE * sizes[e] or (e.asked == SMALL and sizes[e] <= SMALL_SHARE * sizes[frame])
+
+
+def inside(e: Element, name: str) -> Element | None:
+    """The nearest element of a name around this one."""
+    up = e.parent
+    while up is not None and up.name != name:
+        up = up.parent
+    return up
 
 
 def parsed(page: str) -> tuple[Element, list[Element]]:
     """The tree of a page, and its elements in page order."""
-    root = Element("#page", None, False, -1)
+    root = Element("#page", None, KEEP, -1)
     elements: list[Element] = []
     at, here, at_end = 0, root, len(page)
     while at < at_end:
@@ -146,6 +202,7 @@ def parsed(page: str) -> tuple[Element, list[Element]]:
             at = stop if end is None else page.find(">", end.start()) + 1 or at_end
         elif name not in VOID and not token[4].endswith("/"):
             here = made
+    judge(root, elements)
     return root, elements
 
 
