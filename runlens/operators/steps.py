@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions import text as rules
 from runlens.operators.compose import looked_up, states_before
 from runlens.operators.fold import fold_rows
-from runlens.operators.ordered import SEGMENT, OrderedRows, last_seen, running_max, running_sum
+from runlens.operators.ordered import SEGMENT, OrderedRows, joined_on, last_seen, running_max, running_sum
 from runlens.registry import (
     FINISH_MARKER,
     MAX_ARTIFACT_BYTES,
@@ -85,10 +85,13 @@ def step_lookup(rows: DataFrame) -> DataFrame:
 
 
 def artifact_upsert(writes: DataFrame) -> DataFrame:
-    """The current artifact per session and step: the last write. Combines before the shuffle."""
-    return writes.groupBy("session_id", "step_id").agg(
-        F.max("write_no").alias("write_no"), F.max_by("markdown", "write_no").alias("markdown")
-    )
+    """The current artifact per session and step: the last write. ``write_no`` is unique in a session.
+
+    The last number is found on narrow rows; the texts are only filtered by it, never sorted or aggregated.
+    """
+    key = ["session_id", "step_id"]
+    newest = writes.groupBy(*key).agg(F.max("write_no").alias("write_no"))
+    return joined_on(writes, newest, [*key, "write_no"], "left_semi").select(*key, "write_no", "markdown")
 
 
 def artifact_bytes(
@@ -123,9 +126,10 @@ def adr_list(adrs: DataFrame) -> DataFrame:
 
 def last_finished(sessions: DataFrame) -> DataFrame:
     """The latest finished run of each user."""
-    columns = [c for c in sessions.columns if c != "tg_user_id"]
-    newest = F.max_by(F.struct(*columns), "id").alias("run")
-    return sessions.filter("status = 'finished'").groupBy("tg_user_id").agg(newest).select("tg_user_id", "run.*")
+    finished = sessions.filter("status = 'finished'")
+    newest = finished.groupBy("tg_user_id").agg(F.max("id").alias("id"))
+    others = [c for c in sessions.columns if c != "tg_user_id"]
+    return joined_on(finished, newest, ["tg_user_id", "id"], "left_semi").select("tg_user_id", *others)
 
 
 def known_pos(step: Column, version: Column) -> Column:
