@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
 from runlens.operators.ordered import OrderedRows, last_seen, running_sum
-from runlens.registry import CLARIFY_BUDGET, HISTORY_ROWS
+from runlens.registry import CLARIFY_BUDGET, HISTORY_ROWS, TURN_ROUNDS
 
 
 
@@ -183,3 +183,41 @@ def order_gate(calls: DataFrame) -> DataFrame:
     return rows.df.withColumn(
         "fate", F.expr("case when asked > 0 then 'skipped' when gated then 'gated' else 'executed' end")
     ).drop("judged", "gated", "asked")
+
+
+def turn_outcomes(rounds: DataFrame, most_rounds: int = TURN_ROUNDS) -> DataFrame:
+    """How each turn ended, from the log of its model rounds.
+
+    rounds: turn_id, round (from 0), stop_reason, text, tools (number of tool calls), asks (one of them asks), asked (a question
+    was accepted), active and open (the run's state behind the turn: still active, a question open). A turn goes on over the first cut
+    answer and the first breach of the prose rules, and ends with the second of either, with an accepted question, or with a round that
+    calls no tool. The outcome is 'truncated', 'violation', 'silent' (nothing reached the person), 'stranded' (something was said, but
+    nothing asked and nothing is open), 'asked' or 'said'. One shuffle by turn; a turn has at most ``most_rounds`` rounds.
+    """
+    cut = F.coalesce(F.col("stop_reason") == "max_tokens", F.lit(False))
+    text = F.coalesce("text", F.lit(""))
+    prose = F.when(text != "", rules.prose_verdict(rules.cleaned(text))).otherwise("ok")
+    flagged = rounds.filter(F.col("round") < most_rounds).select(
+        "turn_id", "round", cut.alias("cut"), (~cut & ~F.col("asks") & (prose != "ok")).alias("breach"),
+        ((text != "") & (prose == "ok")).alias("clean"), "tools", "asked", "active", "open")
+    so_far = Window.partitionBy("turn_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    counted = flagged.withColumns({"cuts": F.count_if("cut").over(so_far), "breaches": F.count_if("breach").over(so_far)})
+    failed = F.when(F.col("cut") & (F.col("cuts") == 2), "truncated").when(F.col("breach") & (F.col("breaches") == 2), "violation")
+    goes_on = F.col("cut") | F.col("breach")
+    ended = counted.withColumn("failed", failed).withColumn("ends", F.col("failed").isNotNull() | (~goes_on & ((F.col("tools") == 0) | F.col("asked"))))
+    last = F.min(F.when(F.col("ends"), F.col("round"))).over(Window.partitionBy("turn_id"))
+    taken = ended.withColumn("last", last).filter("last is null or round <= last")
+    said, asked = F.bool_or(F.col("clean") & ~goes_on), F.bool_or(F.col("asked") & ~goes_on)
+    told = taken.groupBy("turn_id").agg(
+        F.count(F.lit(1)).alias("rounds"), F.max("failed").alias("failed"), said.alias("said"), asked.alias("asked"),
+        F.bool_or("cut").alias("retried_cut"), F.bool_or("breach").alias("retried_breach"),
+        F.max_by(F.struct("active", "open"), "round").alias("after"))
+    nothing = ~F.col("said") & ~F.col("asked")
+    outcome = (
+        F.when(F.col("failed").isNotNull(), F.col("failed"))
+        .when(nothing, "silent")
+        .when(~F.col("asked") & F.col("after.active") & ~F.col("after.open"), "stranded")
+        .when(F.col("asked"), "asked")
+        .otherwise("said")
+    )
+    return told.select("turn_id", "rounds", outcome.alias("outcome"), "retried_cut", "retried_breach")

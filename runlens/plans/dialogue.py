@@ -275,3 +275,30 @@ select session_id, turn_id, seq, name, accepted, owed,
   case when seq > coalesce(asked_at, seq) then 'skipped' when gated then 'gated' else 'executed' end as fate from q"""))
 def _(s: Source):
     return ops.order_gate(s.gate_calls)
+
+
+# the loop itself, round after round
+@catalog.add("turn_outcomes", duck("v_rounds", f"""
+, j as (
+  select *, coalesce(stop_reason = 'max_tokens', false) as cut, {sql.prose(sql.strip(sql.marks('text')))} as prose,
+    row_number() over (partition by turn_id order by round) as rn
+  from v_rounds where round < 6
+), r as (
+  select distinct turn_id, cast(0 as bigint) as rn, 0 as cuts, 0 as breaches, false as said, false as did_ask, cast(null as varchar) as failed,
+    false as done, false as on_now, false as open_now from j
+  union all
+  select turn_id, rn, cuts + case when cut then 1 else 0 end, breaches + case when breach then 1 else 0 end,
+    said or (not cut and not breach and coalesce(text, '') <> '' and prose = 'ok'), did_ask or (not cut and not breach and asked),
+    case when cut and cuts = 1 then 'truncated' when breach and breaches = 1 then 'violation' end,
+    (cut and cuts = 1) or (breach and breaches = 1) or (not cut and not breach and (tools = 0 or asked)), active, open
+  from (
+    select r.*, j.rn as next_rn, j.cut, j.prose, j.text, j.tools, j.asked, j.active, j.open, not j.cut and not j.asks and coalesce(j.text, '') <> '' and j.prose <> 'ok' as breach
+    from r join j on j.turn_id = r.turn_id and j.rn = r.rn + 1 where not r.done) x(turn_id, old_rn, cuts, breaches, said, did_ask, failed, done, on_now,
+      open_now, rn, cut, prose, text, tools, asked, active, open, breach)
+)
+select turn_id, rn as rounds, case when failed is not null then failed when not said and not did_ask then 'silent'
+    when not did_ask and on_now and not open_now then 'stranded' when did_ask then 'asked' else 'said' end as outcome,
+  cuts > 0 as retried_cut, breaches > 0 as retried_breach
+from (select *, row_number() over (partition by turn_id order by rn desc) as k from r) where k = 1 and rn > 0""", recursive=True))
+def _(s: Source):
+    return ops.turn_outcomes(s.rounds)

@@ -213,6 +213,21 @@ VIEWS: dict[str, View] = {
         ),
         "role <> 'system'",
     ),
+    "v_rounds": View(
+        "conversations",
+        (
+            "conv_id * 1000 + turn div 7 as turn_id",
+            "turn % 7 as round",
+            "case (conv_id + turn) % 4 when 0 then 'max_tokens' when 1 then 'end_turn' else 'tool_use' end as stop_reason",
+            "case when (conv_id * 3 + turn) % 5 = 0 then concat(text, '?') when (conv_id + turn) % 6 = 1 then '' "
+            "when (conv_id + turn) % 11 = 3 then null else text end as text",
+            "(conv_id + turn * 2) % 3 as tools",
+            "(conv_id + turn * 2) % 3 > 0 and (conv_id + turn) % 5 = 2 as asks",
+            "(conv_id + turn * 2) % 3 > 0 and (conv_id + turn) % 5 = 2 and conv_id % 2 = 0 as asked",
+            "conv_id % 3 > 0 as active",
+            "conv_id % 5 = 0 as open",
+        ),
+    ),
     "v_sessions": View(
         "conversations",
         (

@@ -42,6 +42,7 @@ MAX_ARTIFACT_BYTES = 20_000
 MAX_SESSION_BYTES = 200_000
 HISTORY_ROWS = 40
 TURN_BUDGET_S = 120.0
+TURN_ROUNDS = 6
 CALL_ATTEMPTS = 6
 MAX_WAIT_S = 30.0
 

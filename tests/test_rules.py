@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import text as rules
-from runlens.operators import dialogue, documents, methodology
+from runlens.operators import dialogue, documents, methodology, steps
 
 
 def judged(rule):
@@ -193,3 +193,35 @@ def test_waves_and_lint_of_odd_backlogs(spark):
     assert sorted(map(tuple, lint.collect())) == [(1, "T-005", "needs_missing T-099"), (3, "T-001", "needs_itself")]
     for made in (lint, methodology.backlog_waves(table)):
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_turn_outcomes(spark):
+    ok = ("tool_use", "Понял.", 1, False, False)
+    cut, breach = ("max_tokens", "Понял", 1, True, True), ("end_turn", "А что дальше?", 0, False, False)
+    turns = {
+        1: ([("end_turn", "Понял.", 0, False, False)], True, False, "stranded"), 2: ([cut, ("tool_use", "", 1, True, True)], True, True, "asked"),
+        3: ([cut, breach, cut, ok], True, False, "truncated"), 4: ([breach, cut, breach], True, False, "violation"), 5: ([("tool_use", "", 2, False, False)] * 8, True, True, "silent"),
+        6: ([ok, ("end_turn", None, 0, False, False)], False, False, "said"), 7: ([ok, ("end_turn", None, 0, False, False), cut, cut], True, True, "said"),
+        8: ([("tool_use", "Что?", 1, True, False), ("end_turn", "", 0, False, False)], True, False, "silent"),
+        9: ([(None, "Опиши боль\nНазови срок", 1, True, True)], True, True, "asked"),
+    }
+    rows = [(t, i, *r, active, is_open) for t, (rounds, active, is_open, _) in turns.items() for i, r in enumerate(rounds)]
+    table = spark.createDataFrame(rows, "turn_id long, round int, stop_reason string, text string, tools int, asks boolean, asked boolean, active boolean, open boolean")
+    found = {r.turn_id: r for r in dialogue.turn_outcomes(table).collect()}
+    assert {t: r.outcome for t, r in found.items()} == {t: expected for t, (_, _, _, expected) in turns.items()}
+    assert (found[3].rounds, found[5].rounds, found[7].rounds) == (3, 6, 2) and found[4].retried_cut and found[4].retried_breach
+    plan = dialogue.turn_outcomes(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_schema_audit_of_odd_calls(spark):
+    import json
+
+    calls = [
+        ("ask_question", {"question": "a?", "options": ["x", 1], "preamble": 3}), ("ask_question", {"question": None, "options": {}}), ("ask_question", {"question": "a?", "options": []}),
+        ("save_artifact", {"step_id": "F1", "markdown": "m"}), ("save_artifact", {"step_id": "L1"}), ("assess_answer", {"verdict": "no", "missing": []}), ("dance", {}), ("finish", "{"),
+    ]
+    rows = [(1, i, "lite", name, args if isinstance(args, str) else json.dumps(args)) for i, (name, args) in enumerate(calls)]
+    found = steps.tool_schema_audit(spark.createDataFrame(rows, "session_id long, seq long, version string, name string, args string")).orderBy("seq")
+    assert [r.problems for r in found.collect()] == [
+        "type_preamble,item_options", "missing_question,type_options", "ok", "value_step_id", "missing_markdown", "value_verdict,type_missing", "unknown_tool", "not_json"]
