@@ -62,6 +62,19 @@ def counts_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.minimum(flat, 255).astype(np.uint8).reshape(-1, WIDTH)
 
 
+def marks_of(points: np.ndarray) -> np.ndarray:
+    """64 bits of each point of which one unit in one coordinate changes one at most: for a-z whether there is one and whether there
+    are two, for the others the parity of twelve groups."""
+    marks = np.zeros(len(points), np.uint64)
+    for i in range(26):
+        for least, shift in ((1, i), (2, 26 + i)):
+            marks |= (points[:, i] >= least).astype(np.uint64) << np.uint64(shift)
+    for group in range(12):
+        odd = points[:, 26 + group :: 12].sum(axis=1) & 1
+        marks |= odd.astype(np.uint64) << np.uint64(52 + group)
+    return marks
+
+
 class Tree:
     """A k-d tree: at each node a coordinate and the largest count that goes left; leaves hold ranges of ``order``."""
 
@@ -218,7 +231,7 @@ def near_in_cell(table: pa.Table) -> pa.Table:
     home, cell = table.column("home").to_numpy(), int(table.column("cell")[0].as_py())
     raw, at = letters_of(words)
     sizes, points = np.diff(at), counts_of(raw, at)
-    held = np.flatnonzero(~query)
+    marks, held = marks_of(points), np.flatnonzero(~query)
     pairs = []
     if len(held):
         size = int(sizes[held[0]])  # all points of a cell have one length
@@ -234,6 +247,8 @@ def near_in_cell(table: pa.Table) -> pa.Table:
                 n = (end - begin)[first:last]
                 q = asking[np.repeat(which[first:last], n)]
                 p = held[tree.order[np.repeat(begin[first:last], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
+                close = np.bitwise_count(marks[q] ^ marks[p]) <= 2 - longer  # as the box of a single point would tell
+                q, p = q[close], p[close]
                 good = one_edit(raw, at[q], raw, at[p], size - longer, longer)
                 q, p = q[good], p[good]
                 if not longer:  # both words of a pair ask in their own cell: keep the one that is asked by the smaller
