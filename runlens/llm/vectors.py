@@ -37,6 +37,7 @@ REACH = 0.81  # least chance, measured, that a pair at the limit meets in a tabl
 MISS = 1e-4
 SLICE = 1024  # nodes of a bucket that one side of a block holds, about
 SALTS = 16
+PAIRS = 1 << 20  # pairs counted together, about
 
 
 def shape(largest: int, width: int) -> tuple[int, int]:
@@ -140,15 +141,16 @@ def blocks(placed: DataFrame, slice_size: int) -> DataFrame:
     return spread.select("bucket", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "node", "probe", "table")
 
 
-def first_meetings(p: np.ndarray, q: np.ndarray, probe: np.ndarray, node: np.ndarray, table: int, own: np.ndarray, probed: np.ndarray) -> np.ndarray:
-    """Which of the pairs (p, q) of a bucket of ``table`` have met in no earlier table and count here, not in the other's own bucket."""
+def first_meetings(p: np.ndarray, q: np.ndarray, table: np.ndarray, probe: np.ndarray, node: np.ndarray, own: np.ndarray,
+                   probed: np.ndarray) -> np.ndarray:
+    """Which of the pairs (p, q), met in ``table``, have met in no earlier table and count here, not in the other's own bucket."""
     fresh = np.ones(len(p), bool)
 
-    def reaches(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    def reaches(a: np.ndarray, b: np.ndarray, t) -> np.ndarray:
         return (probed[a, t] == own[b, t][:, None]).any(axis=1)
 
-    for t in range(table):
-        left = np.flatnonzero(fresh)
+    for t in range(int(table.max(initial=0))):
+        left = np.flatnonzero(fresh & (table > t))
         a, b = p[left], q[left]
         fresh[left] = ~((own[a, t] == own[b, t]) | reaches(a, b, t) | reaches(b, a, t))
     guest, host = np.where(probe[p], p, q), np.where(probe[p], q, p)
@@ -157,7 +159,7 @@ def first_meetings(p: np.ndarray, q: np.ndarray, probe: np.ndarray, node: np.nda
 
 
 def linked(met: DataFrame, nodes: DataFrame, k: int, tables: int, limit: float) -> DataFrame:
-    """Blocks and nodes -> node, links, root: what one block adds to a node's links, and the smallest node it is joined with there."""
+    """Blocks and nodes -> node, links, root: what blocks add to a node's links, and the smallest node it is joined with there."""
     schema = "node long, links long, root long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,28 @@ def linked(met: DataFrame, nodes: DataFrame, k: int, tables: int, limit: float)
             flat, at = ragged(batch.column("embedding"))
             node, size, group, slices, low, high, table = (batch.column(c).to_numpy() for c in ("node", "size", "group", "slice", "low", "high", "table"))
             probe = batch.column("probe").to_numpy(zero_copy_only=False)
-            found = []
+
+            def counted(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                """The pairs of rows of some blocks, each once, added up; codes are made once for each node among them."""
+                p, q = (np.concatenate(c) for c in zip(*pairs))
+                names, first, place = np.unique(node, return_index=True, return_inverse=True)
+                wanted = np.unique(place[np.concatenate([p, q])])
+                own, probed = np.zeros((len(names), tables), np.uint64), np.zeros((len(names), tables, PROBES), np.uint64)
+                widths = np.diff(at)[first[wanted]]
+                for width in np.unique(widths):
+                    some = wanted[widths == width]
+                    x = unit(flat[at[first[some]][:, None] + np.arange(width)])
+                    own[some], probed[some] = codes(x, group[first[some]].view(np.uint64), k, tables)
+                fresh = first_meetings(p, q, table[p], probe, node, own[place], probed[place])
+                p, q = p[fresh], q[fresh]
+                used, ends = np.unique(np.concatenate([p, q]), return_inverse=True)
+                p, q = ends[: len(p)], ends[len(p) :]
+                links = np.bincount(p, size[used[q]], len(used)) + np.bincount(q, size[used[p]], len(used))
+                root = joined_ranks(node[used], p, q)
+                return pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(links.astype(np.int64)), pa.array(np.sort(node[used])[root])],
+                                                  names=["node", "links", "root"])
+
+            held, waiting = [], 0
             for a, b in zip(starts, starts[1:]):
                 if b - a < 2 or probe[a:b].all() or at[b] - at[a] != (b - a) * (at[a + 1] - at[a]):
                     continue
@@ -179,19 +202,13 @@ def linked(met: DataFrame, nodes: DataFrame, k: int, tables: int, limit: float)
                     p, q = np.nonzero(near & inside[:, None] & ~inside[None, :])
                 if not len(p):
                     continue
-                used, places = np.unique(np.concatenate([p, q]), return_inverse=True)
-                p, q = places[: len(p)], places[len(p) :]
-                used += a
-                own, probed = codes(x[used - a], group[used].view(np.uint64), k, tables)
-                fresh = first_meetings(p, q, probe[used], node[used], int(table[a]), own, probed)
-                p, q = p[fresh], q[fresh]
-                links = np.bincount(p, size[used[q]], len(used)) + np.bincount(q, size[used[p]], len(used))
-                ids = node[used]
-                root = joined_ranks(ids, p, q)
-                has = links > 0
-                found.append((ids[has], links[has].astype(np.int64), np.sort(ids)[root[has]]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["node", "links", "root"])
+                held.append((p + a, q + a))
+                waiting += len(p)
+                if waiting > PAIRS:
+                    yield counted(held)
+                    held, waiting = [], 0
+            if held:
+                yield counted(held)
 
     held = nodes.select(F.col("node").alias("_node"), "group", "size", "embedding")
     rows = met.join(held, F.col("node") == F.col("_node")).drop("_node")
