@@ -52,7 +52,7 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES, per_range: int
     """``docs`` (or only its columns in ``carry``) with ``size`` (UTF-8 bytes + 1), ``shard`` (0 to shards - 1) and ``slot`` (from 0 in each shard)."""
     names = [c for c in carry or docs.columns if c not in ("size", "shard", "slot")]
     keyed = settled(
-        docs.select(F.struct(*names).alias("_row"), utf8_size(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_key"),
+        docs.select(F.struct(*(F.col(f"`{name}`") for name in names)).alias("_row"), utf8_size(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_key"),
                     F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)).alias("_tie")), "shard-rows")
     total = keyed.agg(F.sum("size")).first()[0] or 0
     placed = keyed.withColumn("_range", range_of(splitters(keyed, total, ranges, per_range, seed)))

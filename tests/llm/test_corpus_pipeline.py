@@ -3,6 +3,7 @@
 from collections import Counter
 
 from conftest import SMALL
+from pyspark.sql import functions as F
 from test_llm_operators import plain_components
 
 import corpus_pipeline
@@ -28,3 +29,24 @@ def test_stages(spark):
     times = {r.doc_id: r.times for r in mixing.mixing_report(seen[3]).collect()}
     assert Counter(r[0] for r in mixed) == Counter({k: v for k, v in times.items() if v})
     assert Counter(r[: len(columns)] for r in sharded) == Counter(mixed)
+
+
+ODD = [(1, None, "en", "a", 0, "x"), (1, "", None, None, 0, "x"), (None, " ".join(f"n{i}" for i in range(60)), "en", "a", None, None), (None, None, None, None, None, None)]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, shared ids, repeated rows, names that clash with the stages' own or need quotes; and no rows at all."""
+    story = " ".join(f"word{i}" for i in range(80))
+    rows = [*ODD, *[(2, story, "en", "b", 9, "x")] * 30, (2, story.replace("word", "other"), "en", "b", 9, "x"), (3, f"{story} end", "de", "b", 9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string").withColumn("a.b", F.lit(1)).withColumn("_key", F.lit("k"))
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            before = kept
+            kept = settled(stage(spark, kept, SMALL), f"odd-{name}")
+            if name != "sharding":
+                assert kept.columns == docs.columns
+            if name == "near_duplicates":
+                left = Counter(r.text for r in kept.collect())
+                assert max(left.values(), default=1) == 1 and all(any(t in x for x in left) for t in {r.text for r in before.collect()} if t and not t.endswith(" end"))
+        assert {"size", "shard", "slot"} <= set(kept.columns) and kept.count() == before.count()
