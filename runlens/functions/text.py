@@ -198,6 +198,7 @@ def md_to_html(text: Column) -> Column:
     """Markdown as the few tags a chat client takes; escaping comes first."""
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(sign), F.lit(entity))
+    # What becomes of each mark, in this order.
     for pattern, tag in (
         (r"(?d)\*\*(.+?)\*\*", "<b>$1</b>"),
         (r"(?dmU)^\s{0,3}#{1,6}\s*(.+?)\s*$", "<b>$1</b>"),
