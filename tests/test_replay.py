@@ -127,7 +127,7 @@ def test_picks_out_of_order_and_over_a_restart(spark, tmp_path):
     parts = [[(1, 40, 4, "message", None), (1, 10, 1, "pick", "lite"), (1, 20, 2, "pick", "pro"), (2, 30, 3, "message", None)],
              [(1, 50, 5, "message", None), (2, 60, 6, "pick", "full"), (1, 30, 13, "pick", "spec_only")],
              [(2, 80, 8, "message", None), (2, 70, 7, "reset", None), (1, 90, 9, "pick", "full"), (1, 100, 10, "message", None), (1, 1000, 11, "message", None)],
-             [(1, 995, 12, "pick", "lite"), (1, 400, 14, "pick", "full")]]
+             [(1, 995, 12, "pick", "lite"), (1, 95, 14, "pick", "lite")]]
     found = {}
     for i in range(0, 4, 2):
         stream = files(spark, f"{tmp_path}/u", parts[i : i + 2], schema)
