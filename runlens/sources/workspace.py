@@ -30,20 +30,24 @@ def file_facts(files: DataFrame) -> DataFrame:
 
 def load_workspace(spark: SparkSession, root: str) -> DataFrame:
     """One row per markdown file below ``root``, a folder per product."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(
-        root, wholetext=True
-    )
-    path = F.url_decode(F.col("_metadata.file_path"))
-    inside = F.regexp_extract(path, r"([^/]+)/((?:adr/)?[^/]+)$", 2)
-    product = F.regexp_extract(path, r"([^/]+)/(?:adr/)?[^/]+$", 1)
-    return file_facts(files.select(product.alias("product"), inside.alias("file_name"), F.col("value").alias("text")))
+    files = markdown_files(spark, root)
+    inside = F.regexp_extract("path", r"([^/]+)/((?:adr/)?[^/]+)$", 2)
+    product = F.regexp_extract("path", r"([^/]+)/(?:adr/)?[^/]+$", 1)
+    return file_facts(files.select(product.alias("product"), inside.alias("file_name"), "text"))
+
+
+def markdown_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, text of each file, listed by the tasks that read them: a table's own listing holds every file in the driver."""
+    spark.dataSource.register(TextFiles)
+    files = spark.read.format("text_files").option("suffix", ".md").load(root)
+    return files.select(F.col("file_name").alias("path"), F.col("content").cast("string").alias("text"))
 
 
 def write_workspace(files: DataFrame, path: str) -> None:
     """Workspaces as trees of files below ``path``: files: product, file_name, text. Each text gets a line end."""
     files.sparkSession.dataSource.register(TextFiles)
     name = F.concat_ws("/", F.col("product").cast("string"), "file_name")
-    files.select(name.alias("file_name"), F.col("text").alias("value")).write.format("text_files").mode("append").save(path)
+    files.select(name.alias("file_name"), F.col("text").alias("value")).write.format("text_files").option("folders", "true").mode("append").save(path)
 
 
 def artifact_route(files: DataFrame, variant: str) -> DataFrame:
@@ -90,11 +94,10 @@ def write_spec_texts(specs: DataFrame, path: str) -> None:
 
 def read_spec_texts(spark: SparkSession, path: str) -> DataFrame:
     """session_id, file_name, spec: the files that ``write_spec_texts`` has written."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"/(\d+-[^/]+)$", 1)
-    return files.select(
+    name = F.regexp_extract("path", r"/(\d+-[^/]+)$", 1)
+    return markdown_files(spark, path).select(
         F.regexp_extract(name, r"^(\d+)", 1).cast("bigint").alias("session_id"), F.regexp_extract(name, r"^\d+-(.*)$", 1).alias("file_name"),
-        F.col("value").alias("spec"))
+        F.col("text").alias("spec"))
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:

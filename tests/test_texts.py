@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.sources.texts import Attempt, TextFiles, TextFilesWriter
+from runlens.sources.workspace import load_workspace, write_workspace
 
 
 def lines(spark, files, n=3, parts=4):
@@ -53,3 +54,25 @@ def test_attempts_that_are_not_committed_are_not_seen(tmp_path):
     assert first != second and os.listdir(tmp_path / "out" / "_staging") == [other.job]
     other.abort([])
     assert os.listdir(tmp_path / "out" / "_staging") == []
+
+
+def test_files_are_read_back_by_the_tasks(spark, tmp_path):
+    """Names and texts as written, bytes as they are; hidden names, other suffixes and empty files are passed over."""
+    spark.dataSource.register(TextFiles)
+    lines(spark, 50).write.format("text_files").mode("append").save(f"{tmp_path}/out")
+    want = {name: text.encode() for name, text in found(f"{tmp_path}/out").items()}
+    (tmp_path / "out" / "p 1%2F" / "adr").mkdir(parents=True)
+    for name, data in (("p 1%2F/adr/001-é.md", b"a\xff\nb"), ("p 1%2F/x.txt", b"no"), ("p 1%2F/none.md", b""), ("_h.md", b"no"), ("p 1%2F/.h.md", b"no")):
+        (tmp_path / "out" / name).write_bytes(data)
+    files = spark.read.format("text_files").option("suffix", ".md").option("tasks", "3").load(f"{tmp_path}/out")
+    assert files.rdd.getNumPartitions() == 3
+    got = {r.file_name.rsplit("/", 1)[1]: bytes(r.content) for r in files.collect()}
+    assert got == {"001-é.md": b"a\xff\nb", **want}
+
+
+def test_the_driver_holds_no_list_of_workspace_files(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("product"), F.lit("adr/001-a.md").alias("file_name"), F.concat(F.lit("t"), "id").alias("text"))
+    write_workspace(rows, f"{tmp_path}/work")
+    read = load_workspace(spark, f"{tmp_path}/work")
+    assert read.inputFiles() == []
+    assert {(r.product, r.file_name, r.decision_no, r.text) for r in read.collect()} == {(str(i), "adr/001-a.md", 1, f"t{i}\n") for i in range(40)}
