@@ -9,6 +9,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from runlens.registry import PIPELINES, steps_table
 
 CHUNK_LIMIT = 4096
 TAG_RESERVE = 48
+STEP_CHARS = 1 << 20  # of chunks given out at once
 MADE_BY = "_Сгенерировано автоматически (версия: {version})._"
 
 
@@ -168,19 +170,30 @@ def chunks_of(text: str, limit: int = CHUNK_LIMIT) -> list[str]:
 
 
 def chunk_documents(documents: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
-    """(doc_id, chunk_no, chunk) of whole marked-up texts. Row by row, so no text is shuffled."""
+    """(doc_id, chunk_no, chunk) of whole marked-up texts. Row by row, so no text is shuffled.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A worker holds one text and about ``STEP_CHARS`` characters of chunks beside the batch it is given.
+    """
+    columns = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.string())])
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*rows), columns)], schema=columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = [
-                (doc_id, no, chunk)
-                for doc_id, text in zip(batch["doc_id"], batch["text"])
-                if text is not None
-                for no, chunk in enumerate(chunks_of(text, limit))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "chunk"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, chunk_no int, chunk string")
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                for no, chunk in enumerate(chunks_of(text.as_py(), limit) if text.is_valid else []):
+                    rows.append((doc_id.as_py(), no, chunk))
+                    size += len(chunk)
+                    if size >= STEP_CHARS:
+                        yield given(rows)
+                        rows, size = [], 0
+            pa.default_memory_pool().release_unused()  # a worker is used again and again
+        if rows:
+            yield given(rows)
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, chunk_no int, chunk string")
 
 
 # Keys whose content is private.

@@ -225,3 +225,19 @@ def test_schema_audit_of_odd_calls(spark):
     found = steps.tool_schema_audit(spark.createDataFrame(rows, "session_id long, seq long, version string, name string, args string")).orderBy("seq")
     assert [r.problems for r in found.collect()] == [
         "type_preamble,item_options", "missing_question,type_options", "ok", "value_step_id", "missing_markdown", "value_verdict,type_missing", "unknown_tool", "not_json"]
+
+
+def test_chunks_are_given_out_in_small_batches(spark, monkeypatch):
+    """A worker's batches are bounded by their text, not by the number of documents or the length of one."""
+    from pyspark.sql import functions as F
+
+    from runlens.operators import documents
+
+    monkeypatch.setattr(documents, "STEP_CHARS", 10_000)
+    texts = [("a" * 99 + "\n") * 1000, None, "", "short"]
+    docs = spark.createDataFrame([(2**60 + i if i != 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    chunked = documents.chunk_documents(docs)
+    sizes = chunked.mapInArrow(lambda batches: batches, chunked.schema)  # the rows pass on as they are
+    want = [(2**60 + i if i != 3 else None, no, c) for i, t in enumerate(texts) if t is not None for no, c in enumerate(documents.chunks_of(t))]
+    assert [tuple(r) for r in sizes.collect()] == want
+    assert chunked.agg(F.count("*")).first()[0] == len(want) > 20
