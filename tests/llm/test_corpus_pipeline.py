@@ -50,3 +50,11 @@ def test_stages_on_odd_rows(spark):
                 left = Counter(r.text for r in kept.collect())
                 assert max(left.values(), default=1) == 1 and all(any(t in x for x in left) for t in {r.text for r in before.collect()} if t and not t.endswith(" end"))
         assert {"size", "shard", "slot"} <= set(kept.columns) and kept.count() == before.count()
+
+
+def test_quality_sends_each_text_to_a_worker_once(spark):
+    """And counts it in small steps: the sums over a step's bytes take many times as much."""
+    rows = quality.quality_kept(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("MapInArrow") :].splitlines()[1]
+    assert below.count("text#") == 1 and quality.STEP_BYTES <= 1 << 20
