@@ -146,3 +146,22 @@ def test_transcripts_out_of_order(spark, source, tmp_path):
     results = replay.run(replay.keyed_messages(stream, lateness=50), "update", f"{tmp_path}/out", f"{tmp_path}/progress")
     got = {(r.session_id, r.id) for r in live.latest(results, ["session_id", "id"]).filter("result = 'double_user'").collect()}
     assert got == {(r.session_id, r.id) for r in double_user_rows(source.messages).collect()} and got
+
+
+def test_parts_of_many_files_stay_one_micro_batch_each(spark, tmp_path, monkeypatch):
+    """Uneven parts, one of them empty, with more tasks than one: every micro-batch is one part, in order."""
+    monkeypatch.setattr(replay, "FILE_ROWS", 25)
+    places = [*range(500), 1200, 1201, *range(1600, 2000)]  # of parts of 400: 400, 100, none, 2, 400 rows
+    rows = spark.createDataFrame([(p, f"t{p}") for p in places], "place long, text string").repartition(3)
+    stream = replay.in_files(rows, f"{tmp_path}/in", "place", 5, 0.0)
+    names = [n for n in os.listdir(tmp_path / "in") if n.startswith("part-")]
+    assert len(names) == 5 * 8
+    replay.run(stream, "append", f"{tmp_path}/out", f"{tmp_path}/progress")
+    got = {int(n.split("=")[1]): sorted(r.place for r in spark.read.schema("place long, text string").parquet(f"{tmp_path}/out/{n}").collect())
+           for n in os.listdir(tmp_path / "out") if n.startswith("batch=")}
+    assert got == {i: [p for p in places if p // 400 == i] for i in range(5)}
+
+
+def test_a_small_table_is_one_file_for_each_micro_batch(spark, tmp_path):
+    replay.in_files(spark.range(100), f"{tmp_path}/in", "id", 5, 0.8)
+    assert len([n for n in os.listdir(tmp_path / "in") if n.startswith("part-")]) == 5
