@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import (bloom, filled, joined_ranks, mixed, packed, passing, ragged, settled, slices, span_hashes, unpacked, unrepeated,
-                                whole_groups, word_hashes, words_of)
+from runlens.llm.common import (bloom, filled, for_workers, joined_ranks, mixed, packed, passing, ragged, settled, slices, span_hashes, unpacked,
+                                unrepeated, whole_groups, word_hashes, words_of)
 
 SHINGLE = 5
 PERCENT = 80
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), fixed],
                                              names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return for_workers(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -158,7 +158,7 @@ def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield unrepeated(batch.filter(pa.array(passing(bits, batch.column("doc_id").to_numpy().view(np.uint64)))))
 
-    texts = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(wanted, "doc_id long, text string").repartition("doc_id")
+    texts = for_workers(docs.select("doc_id", "text").where("doc_id is not null")).mapInArrow(wanted, "doc_id long, text string").repartition("doc_id")
     texts = texts.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"])  # equal rows once
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b")

@@ -33,13 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import bloom, filled, mixed, packed, passing, settled, slices, span_hashes, text_hashes, unpacked, words_of
+from runlens.llm.common import bloom, filled, for_workers, mixed, packed, passing, settled, slices, span_hashes, text_hashes, unpacked, words_of
 
 WINDOW = 8
 LITERALS = 5
 COVERAGE = 0.5
 RUN = 10
 GAP = 16
+STEP_BYTES = 1 << 20  # of text worked on at once: its words and windows take many times as much
 # fixed values: units of measure and currency, in lower case
 UNITS = """mm cm m km in ft yd mi g kg mg lb lbs oz t l ml cl gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week
 weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams
@@ -130,7 +131,7 @@ def marked(rows: DataFrame, key: str, bits=None, lengths: tuple[int, ...] | None
     where they stand, and ``of`` is how many windows of its kind the text has.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", STEP_BYTES):
             many, words = batch.num_rows, Words(filled(batch.column("text")))
             parts = []
             starts, owner = _within(words.moved, len(words.hashes), many, window)
@@ -166,7 +167,7 @@ def marked(rows: DataFrame, key: str, bits=None, lengths: tuple[int, ...] | None
                      pa.array([[words.value(s + i) for i in at] for s, at in zip(starts.tolist(), slots)], pa.list_(pa.string()))],
                     names=[key, "_text_key", *(name for name, _ in _MARKS)])
 
-    return rows.select(key, F.xxhash64("text").alias("_text_key"), "text").mapInArrow(
+    return for_workers(rows.select(key, F.xxhash64("text").alias("_text_key"), "text")).mapInArrow(
         run, f"{key} long, _text_key long, " + ", ".join(f"{name} {kind}" for name, kind in _MARKS))
 
 

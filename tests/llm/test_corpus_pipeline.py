@@ -2,13 +2,15 @@
 
 from collections import Counter
 
+import pyarrow as pa
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 from test_llm_operators import plain_components
 
 import corpus_pipeline
-from runlens.llm import mixing, quality, templates
-from runlens.llm.common import settled
+from runlens.llm import mixing, near, quality, templates
+from runlens.llm.common import ARROW_BYTES, BATCH_BYTES, settled
 
 
 def test_stages(spark):
@@ -58,3 +60,39 @@ def test_quality_sends_each_text_to_a_worker_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.rindex("MapInArrow") :].splitlines()[1]
     assert below.count("text#") == 1 and quality.STEP_BYTES <= 1 << 20
+
+
+def _batch_bytes(docs):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    return [r.bytes for r in docs.coalesce(1).mapInArrow(run, "bytes long").collect()]
+
+
+@pytest.mark.parametrize("ask", [quality.counted, lambda docs: near.sketches(docs, 5), lambda docs: templates.marked(docs, "doc_id"),
+                                 lambda docs: near.with_texts(docs.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), docs)])
+def test_texts_go_to_workers_in_small_batches(spark, ask):
+    """Whatever a task holds of them several times over; a longer text still goes whole."""
+    docs = spark.newSession().range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1200).alias("text"))
+    ask(docs)
+    sizes = _batch_bytes(docs)
+    assert len(sizes) > 3 and max(sizes) < 1.2 * BATCH_BYTES
+    long = docs.limit(2).withColumn("text", F.repeat("text", 1000))
+    assert len(_batch_bytes(long)) == 2 and min(_batch_bytes(long)) > BATCH_BYTES
+
+
+def test_batches_that_the_caller_has_set_stay(spark):
+    other = spark.newSession()
+    other.conf.set(ARROW_BYTES, str(1 << 20))
+    quality.counted(other.read.parquet(f"{SMALL}/documents.parquet"))
+    assert other.conf.get(ARROW_BYTES) == str(1 << 20)
+
+
+def test_decontamination_works_on_small_steps(spark):
+    """The windows of a step take many times its text; where it is cut changes nothing."""
+    assert templates.STEP_BYTES <= 1 << 20
+    story = " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("filler words here "), 400), F.when(F.col("id") % 100 == 7, story).otherwise("")).alias("text"))
+    items = spark.createDataFrame([(5, story)], "item_id long, text string")
+    assert {r.doc_id for r in templates.contaminated(docs.coalesce(1), items).collect()} == {7, 107, 207, 307}
